@@ -2,10 +2,15 @@
 
 Every report first adds up plain sums and counts and divides at the end. The
 sums can be added again, so a report may pre-aggregate at a finer grain and
-still give the same value. Money is added in DECIMAL: the total then does not
-depend on how the rows were partitioned or in which order tasks finished.
+still give the same value.
+
+Money is added as two integers, whole units and millionths. Integer sums do not
+depend on how the rows were partitioned or in which order tasks finished, and
+they stay in generated code, which sums of wide decimals do not.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,12 +30,32 @@ def delay_days() -> Column:
     return F.col("days_for_shipping_real") - F.col("days_for_shipment_scheduled")
 
 
-def money(column) -> Column:
-    return F.col(column).cast("decimal(18,6)")
+def units(column: str) -> Column:
+    """Whole units of an amount, rounded down."""
+    return F.floor(column)
+
+
+def millionths(column: str) -> Column:
+    """What :func:`units` leaves over, in millionths."""
+    return F.rint((F.col(column) - F.floor(column)) * 1e6).cast("bigint")
+
+
+def amount_sums(prefix: str, column: str) -> dict:
+    return {
+        f"{prefix}_units": lambda: F.sum(units(column)),
+        f"{prefix}_millionths": lambda: F.sum(millionths(column)),
+        f"{prefix}_n": lambda: F.count(column),
+    }
+
+
+def amount(prefix: str) -> Column:
+    """The exact total of an amount, as DECIMAL."""
+    parts = [F.col(f"{prefix}_{part}").cast("decimal(20,0)") for part in ("units", "millionths")]
+    return (parts[0] + parts[1] / F.lit(1000000)).cast("decimal(27,6)")
 
 
 # name of the sum -> aggregate over order lines
-_SUMS = {
+_SUMS: dict[str, Callable[[], Column]] = {
     "orders_n": lambda: F.count(F.lit(1)),
     "late_n": lambda: F.count_if(is_late()),
     "delay_sum": lambda: F.sum(delay_days()),
@@ -39,10 +64,8 @@ _SUMS = {
     "actual_n": lambda: F.count("days_for_shipping_real"),
     "planned_sum": lambda: F.sum("days_for_shipment_scheduled"),
     "planned_n": lambda: F.count("days_for_shipment_scheduled"),
-    "profit_sum": lambda: F.sum(money("order_profit_per_order")),
-    "profit_n": lambda: F.count("order_profit_per_order"),
-    "sales_sum": lambda: F.sum(money("sales")),
-    "sales_n": lambda: F.count("sales"),
+    **amount_sums("profit", "order_profit_per_order"),
+    **amount_sums("sales", "sales"),
     "margin_sum": lambda: F.sum("order_item_profit_ratio"),
     "margin_n": lambda: F.count("order_item_profit_ratio"),
 }
@@ -69,6 +92,11 @@ def late_pct() -> Column:
     return F.round(rate * 100, 1)
 
 
+def mean_amount(prefix: str) -> Column:
+    """Mean of an amount to two places; NULL when empty."""
+    return F.round(F.try_divide(amount(prefix).cast("double"), F.col(f"{prefix}_n")), 2)
+
+
 def total_of(prefix: str) -> Column:
-    """Sum rounded to whole units."""
-    return F.round(F.col(f"{prefix}_sum"), 0).cast("double")
+    """Total of an amount, rounded to whole units."""
+    return F.round(amount(prefix), 0).cast("double")

@@ -12,23 +12,27 @@ from pyspark.sql import functions as F
 from dockside.functions.checks import clamp_limit, validate_dimension, validate_market
 from dockside.functions.metrics import (
     add_sums,
+    amount,
     late_pct,
     line_sums,
+    mean_amount,
     mean_of,
     total_of,
 )
 from dockside.schema import CANCELED, MARKETS
 
-RISK_SUMS = ("orders_n", "late_n", "delay_sum", "delay_n", "profit_sum", "profit_n", "sales_sum")
-MARKET_SUMS = ("orders_n", "late_n", "profit_sum", "profit_n", "sales_sum")
+PROFIT = ("profit_units", "profit_millionths", "profit_n")
+SALES = ("sales_units", "sales_millionths", "sales_n")
+RISK_SUMS = ("orders_n", "late_n", "delay_sum", "delay_n", *PROFIT, *SALES)
+MARKET_SUMS = ("orders_n", "late_n", *PROFIT, *SALES)
 CATEGORY_SUMS = (
-    "orders_n", "late_n", "margin_sum", "margin_n", "sales_sum", "profit_sum", "profit_n",
+    "orders_n", "late_n", "margin_sum", "margin_n", *SALES, *PROFIT,
 )
 SHIPPING_SUMS = (
     "orders_n", "actual_sum", "actual_n", "planned_sum", "planned_n",
-    "late_n", "profit_sum", "profit_n",
+    "late_n", *PROFIT,
 )
-SEGMENT_SUMS = ("orders_n", "profit_sum", "profit_n", "sales_sum", "late_n")
+SEGMENT_SUMS = ("orders_n", *PROFIT, *SALES, "late_n")
 
 
 def _present(df: DataFrame, key: str) -> DataFrame:
@@ -53,7 +57,7 @@ def delivery_risk(df: DataFrame, group_by: str, market=None, limit=10, markets=M
         F.col("orders_n").alias("total_orders"),
         late_pct().alias("late_rate_pct"),
         mean_of("delay", 1).alias("avg_delay_days"),
-        mean_of("profit", 2).alias("avg_profit_usd"),
+        mean_amount("profit").alias("avg_profit_usd"),
         total_of("sales").alias("total_revenue_usd"),
     )
     return report.orderBy(F.desc("late_rate_pct"), F.asc("dimension")).limit(limit)
@@ -92,7 +96,7 @@ def finish_market() -> list:
     return [
         F.col("orders_n").alias("total_orders"),
         late_pct().alias("late_pct"),
-        mean_of("profit", 2).alias("avg_profit"),
+        mean_amount("profit").alias("avg_profit"),
         total_of("sales").alias("total_sales"),
     ]
 
@@ -122,7 +126,7 @@ def finish_category() -> list:
         late_pct().alias("late_pct"),
         mean_of("margin", 1, 100.0).alias("margin_pct"),
         total_of("sales").alias("revenue"),
-        mean_of("profit", 2).alias("avg_profit"),
+        mean_amount("profit").alias("avg_profit"),
     ]
 
 
@@ -142,7 +146,7 @@ def finish_shipping() -> list:
         planned.alias("avg_scheduled"),
         F.round(actual - planned, 1).alias("avg_delay"),
         late_pct().alias("late_pct"),
-        mean_of("profit", 2).alias("avg_profit"),
+        mean_amount("profit").alias("avg_profit"),
     ]
 
 
@@ -154,7 +158,7 @@ def shipping_analysis(df: DataFrame) -> DataFrame:
 def finish_segment() -> list:
     return [
         F.col("orders_n").alias("orders"),
-        mean_of("profit", 2).alias("avg_profit"),
+        mean_amount("profit").alias("avg_profit"),
         total_of("sales").alias("total_sales"),
         late_pct().alias("late_pct"),
     ]
@@ -171,14 +175,14 @@ def kpi_header(df: DataFrame) -> DataFrame:
     As in :func:`market_report`, the distinct counts run over the lines added up
     per market and category.
     """
-    names = ("orders_n", "late_n", "sales_sum")
+    names = ("orders_n", "late_n", *SALES)
     fine = df.groupBy("market", "category_name").agg(*line_sums(*names))
     sums = fine.agg(
         *add_sums(*names),
         F.count_distinct("market").alias("markets"),
         F.count_distinct("category_name").alias("categories"),
     )
-    revenue = F.round(F.col("sales_sum").cast("double") / 1e6, 1)
+    revenue = F.round(amount("sales").cast("double") / 1e6, 1)
     return sums.select(
         F.coalesce("orders_n", F.lit(0)).alias("orders"),
         "markets",
@@ -199,7 +203,7 @@ def status_share(df: DataFrame) -> DataFrame:
 
 
 def market_volume(df: DataFrame) -> DataFrame:
-    sums = df.groupBy("market").agg(*line_sums("orders_n", "sales_sum"))
+    sums = df.groupBy("market").agg(*line_sums("orders_n", *SALES))
     volume = sums.select("market", F.col("orders_n").alias("n"), total_of("sales").alias("revenue"))
     return volume.orderBy(F.desc("n"), F.asc_nulls_last("market"))
 
@@ -211,24 +215,24 @@ def mode_late(df: DataFrame) -> DataFrame:
 
 
 def segment_economics(df: DataFrame) -> DataFrame:
-    names = ("orders_n", "profit_sum", "profit_n", "sales_sum")
+    names = ("orders_n", *PROFIT, *SALES)
     sums = df.groupBy("customer_segment").agg(*line_sums(*names))
     economics = sums.select(
         "customer_segment",
         F.col("orders_n").alias("n"),
-        mean_of("profit", 2).alias("avg_profit"),
+        mean_amount("profit").alias("avg_profit"),
         total_of("sales").alias("revenue"),
     )
     return economics.orderBy(F.desc("n"), F.asc_nulls_last("customer_segment"))
 
 
 def revenue_summary(df: DataFrame) -> DataFrame:
-    sums = df.agg(*line_sums("sales_sum", "sales_n", "profit_sum", "profit_n"))
+    sums = df.agg(*line_sums(*SALES, *PROFIT))
     return sums.select(
         total_of("sales").alias("total_revenue"),
-        mean_of("sales", 2).alias("avg_sale"),
+        mean_amount("sales").alias("avg_sale"),
         total_of("profit").alias("total_profit"),
-        mean_of("profit", 2).alias("avg_profit"),
+        mean_amount("profit").alias("avg_profit"),
     )
 
 

@@ -20,49 +20,60 @@ _LOOKUPS = {
 }
 
 
-def _price() -> Column:
-    return F.col("l_extendedprice").cast("decimal(12,2)")
+def _cents(column: str) -> Column:
+    return F.rint(F.col(column) * 100)
 
 
-def _discount() -> Column:
-    return F.col("l_discount").cast("decimal(3,2)")
+def _to_cents(hundredths: Column) -> Column:
+    """Hundredths of a cent to an amount in full cents, halves away from zero.
 
-
-def _profit() -> Column:
-    cost = F.col("l_quantity").cast("decimal(6,0)") * F.col("p_retailprice").cast("decimal(10,2)")
-    return F.round(_price() * (1 - _discount()) - cost, 2).cast("double")
+    All steps work on whole numbers, so no double is rounded near a tie.
+    """
+    return F.signum(hundredths) * F.floor(F.abs(hundredths) / 100 + 0.5) / 100
 
 
-def _days_real() -> Column:
-    return F.pmod(F.datediff("l_shipdate", "o_orderdate"), F.lit(7)).cast("int")
+def _net() -> Column:
+    return _cents("l_extendedprice") * (100 - _cents("l_discount"))
 
 
-def _days_planned() -> Column:
-    return F.substring("o_orderpriority", 1, 1).cast("int")
+def _profit() -> Column:
+    return _to_cents(_net() - F.col("l_quantity") * _cents("p_retailprice") * 100)
 
 
 def _status() -> Column:
     canceled = (F.col("o_orderstatus") == "P") & (F.col("l_returnflag") == "R")
     return (
         F.when(canceled, "Shipping canceled")
-        .when(_days_real() > _days_planned(), "Late delivery")
-        .when(_days_real() == _days_planned(), "Shipping on time")
-        .when(_days_real() < _days_planned(), "Advance shipping")
+        .when(F.col("_real") > F.col("_planned"), "Late delivery")
+        .when(F.col("_real") == F.col("_planned"), "Shipping on time")
+        .when(F.col("_real") < F.col("_planned"), "Advance shipping")
     )
 
 
+# Values that several columns share, in the order they build on each other. Each
+# is computed once per row; those no wanted column reads are pruned.
+_SHARED = (
+    {
+        "_real": lambda: F.pmod(F.datediff("l_shipdate", "o_orderdate"), F.lit(7)).cast("int"),
+        # The priority starts with its number.
+        "_planned": lambda: F.ascii("o_orderpriority") - 48,
+    },
+    {"_status": _status, "_profit": _profit},
+)
+_SHARED_LOOKUPS = {"_real": "orders", "_planned": "orders", "_status": "orders", "_profit": "part"}
+
 # column -> (deepest lookups it reads, expression)
 _COLUMNS = {
     "order_id": (("orders",), lambda: F.col("o_orderkey")),
     "order_status": (("orders",), lambda: F.col("o_orderstatus")),
     "order_date_dateorders": (("orders",), lambda: F.col("o_orderdate")),
     "shipping_date_dateorders": ((), lambda: F.col("l_shipdate")),
-    "delivery_status": (("orders",), _status),
-    "days_for_shipping_real": (("orders",), _days_real),
-    "days_for_shipment_scheduled": (("orders",), _days_planned),
+    "delivery_status": (("orders",), lambda: F.col("_status")),
+    "days_for_shipping_real": (("orders",), lambda: F.col("_real")),
+    "days_for_shipment_scheduled": (("orders",), lambda: F.col("_planned")),
     "late_delivery_risk": (
         ("orders",),
-        lambda: F.when(_status() == "Late delivery", 1).otherwise(0),
+        lambda: F.when(F.col("_status") == "Late delivery", 1).otherwise(0),
     ),
     "shipping_mode": (
         ("orders",),
@@ -84,16 +95,16 @@ _COLUMNS = {
     "order_item_discount_rate": ((), lambda: F.col("l_discount")),
     "order_item_discount": (
         (),
-        lambda: F.round(_price() * _discount(), 2).cast("double"),
+        lambda: _to_cents(_cents("l_extendedprice") * _cents("l_discount")),
     ),
     "order_item_total": (
         (),
-        lambda: F.round(_price() * (1 - _discount()), 2).cast("double"),
+        lambda: _to_cents(_net()),
     ),
-    "order_profit_per_order": (("part",), _profit),
+    "order_profit_per_order": (("part",), lambda: F.col("_profit")),
     "order_item_profit_ratio": (
         ("part",),
-        lambda: F.try_divide(_profit(), F.col("l_extendedprice")),
+        lambda: F.try_divide(F.col("_profit"), F.col("l_extendedprice")),
     ),
 }
 
@@ -142,4 +153,7 @@ def sales_orders(spark: SparkSession, folder: str, columns=CLEAN_COLUMNS) -> Dat
         if table in needed:
             side = read_star(spark, folder, table)
             df = df.join(side, df[left] == side[right], "left")
+    for stage in _SHARED:
+        usable = {name: make() for name, make in stage.items() if _SHARED_LOOKUPS[name] in needed}
+        df = df.withColumns(usable) if usable else df
     return df.select(*[known[name][1]().alias(name) for name in columns])
