@@ -21,6 +21,9 @@ DIMENSIONS = 384
 # one pass ships about 3 MB of query vectors to every executor.
 QUERIES_PER_PASS = 1024
 
+# Hits are narrow rows; up to this many go to every executor to fetch their text.
+HITS_TO_BROADCAST = 100_000
+
 
 # ---- text vectors ----------------------------------------------------------
 
@@ -117,11 +120,13 @@ def knn(
     metric: str = "cosine",
     per_pass: int = QUERIES_PER_PASS,
 ) -> DataFrame:
-    """The k nearest base vectors of every query: ``query_id, doc_id, score, rank``.
+    """The k nearest base vectors of every query.
 
     ``queries`` has ``query_id`` (unique) and ``embedding``; ``base`` has
-    ``doc_id`` and ``embedding``. ``score`` is the cosine, or for ``l2sq`` the
-    squared distance. Equal scores go by ``doc_id``.
+    ``doc_id`` and ``embedding``. The result has ``query_id``, ``doc_id``,
+    ``rank``, ``closeness`` (greater is nearer) and ``score``: the cosine, or
+    for ``l2sq`` the squared distance, to four places. Equal closeness goes by
+    ``doc_id``.
 
     Each task multiplies its Arrow batches of base vectors with the query matrix
     and keeps k rows per query, so the base is read once and never shuffled;
@@ -130,29 +135,37 @@ def knn(
     larger query table is compared in several passes of about that many queries,
     each written to the shared folder before the next one starts.
     """
+    return _scored(_nearest(queries, base, clamp_k(k), metric, per_pass)[0], metric)
+
+
+def _nearest(queries, base, k, metric, per_pass) -> tuple[DataFrame, int]:
+    """Ranked rows of :func:`knn` and the number of queries."""
     if metric not in ("cosine", "l2sq"):
         raise ValueError("metric must be cosine or l2sq")
-    k = clamp_k(k)
     queries = queries.select("query_id", "embedding").where("embedding IS NOT NULL")
     base = base.select("doc_id", "embedding").where("embedding IS NOT NULL")
-    size = queries.agg(F.count("query_id").alias("n"), F.count_distinct("query_id").alias("ids")).first()
+    size = queries.agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("query_id").alias("ids")
+    ).first()
     if size.n != size.ids:
-        raise ValueError("query_id must be unique")
+        raise ValueError("query_id must be unique and not NULL")
     if size.n <= per_pass:
-        found = _one_pass(queries, base, k, metric)
-    else:
-        spark = base.sparkSession
-        passes = math.ceil(size.n / per_pass)
-        place = F.pmod(F.xxhash64("query_id"), F.lit(passes))
-        path = new_shared_path(spark, "knn")
-        for number in range(passes):
-            part = _one_pass(queries.where(place == number), base, k, metric)
-            _rank(part, k).write.mode("append").parquet(path)
-        found = spark.read.parquet(path)
+        return _rank(_one_pass(queries, base, k, metric), k), size.n
+    spark = base.sparkSession
+    passes = math.ceil(size.n / per_pass)
+    place = F.pmod(F.xxhash64("query_id"), F.lit(passes))
+    path = new_shared_path(spark, "knn")
+    for number in range(passes):
+        part = _one_pass(queries.where(place == number), base, k, metric)
+        _rank(part, k).write.mode("append").parquet(path)
+    return spark.read.parquet(path), size.n
+
+
+def _scored(ranked: DataFrame, metric: str) -> DataFrame:
     sign = -1.0 if metric == "l2sq" else 1.0
     # "+ 0.0" turns a negative zero into zero.
-    score = F.round(F.col("closeness") * sign + F.lit(0.0), 4)
-    return _rank(found, k).select("query_id", "doc_id", score.alias("score"), "closeness", "rank")
+    score = F.round(F.col("closeness") * sign + F.lit(0.0), 4).alias("score")
+    return ranked.select("query_id", "doc_id", "rank", "closeness", score)
 
 
 def _rank(found: DataFrame, k: int) -> DataFrame:
@@ -162,18 +175,26 @@ def _rank(found: DataFrame, k: int) -> DataFrame:
 
 
 def search(
-    queries: DataFrame, corpus: DataFrame, k: int = 4, metric: str = "l2sq"
+    queries: DataFrame,
+    corpus: DataFrame,
+    k: int = 4,
+    metric: str = "l2sq",
+    per_pass: int = QUERIES_PER_PASS,
 ) -> DataFrame:
     """Hits with their text: ``query_id, rank, doc_id, text, source, relevance_score``.
 
     ``corpus`` has ``id``, ``text``, ``source`` and ``embedding``. Relevance is
     one minus the distance, to three places.
     """
+    k = clamp_k(k)
     base = corpus.select(F.col("id").alias("doc_id"), "embedding")
-    hits = knn(queries, base, k, metric)
+    hits, n_queries = _nearest(queries, base, k, metric, per_pass)
+    if n_queries * k <= HITS_TO_BROADCAST:
+        # There are at most k hits per query, so their number is known here.
+        hits = F.broadcast(hits)
     distance = -F.col("closeness") if metric == "l2sq" else 1 - F.col("closeness")
     texts = corpus.select(F.col("id").alias("doc_id"), "text", "source")
-    return hits.join(texts, "doc_id").select(
+    return texts.join(hits, "doc_id").select(
         "query_id",
         "rank",
         "doc_id",

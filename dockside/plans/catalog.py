@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dockside.functions.text import strip_marks
 from dockside.operators import (
+    cells,
     cleaning,
     guarded_sql,
     knowledge,
@@ -87,6 +88,13 @@ def _knn_cosine(spark, folder):
     return hits.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def _knn_cells(spark, folder):
+    path = new_shared_path(spark, "cells")
+    cells.build_cells(_base_vectors(spark, folder), path, n_cells=16)
+    hits = cells.knn_cells(_label_vectors(spark, folder), spark, path, 10)
+    return hits.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 def _document_hits(spark, folder, k):
     docs = read_star(spark, folder, "documents").select(
         F.col("doc_id").alias("id"), "text", "source"
@@ -293,6 +301,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_cosine": _knn_cosine,
     "knn_l2_relevance": _knn_l2_relevance,
     "knn_context": _knn_context,
+    "knn_cells": _knn_cells,
     "corpus_vectors": _corpus_vectors,
     "search_corpus": _search_corpus,
     "guarded_select": _guarded_select,

@@ -259,6 +259,17 @@ KNN_COSINE = f"""
     FROM pairs)
   SELECT query_id, doc_id, ROUND(closeness, 4) + 0.0 AS score, rank FROM ranked WHERE rank <= 10"""
 
+KNN_CELLS = f"""
+  WITH {CENTROIDS},
+  pairs AS (
+    SELECT query_id, vec_id AS doc_id,
+      ROUND(pow(list_distance(CAST(embedding AS DOUBLE[]), q), 2), 10) AS distance
+    FROM questions CROSS JOIN embeddings),
+  ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank
+    FROM pairs)
+  SELECT query_id, doc_id, ROUND(distance, 4) + 0.0 AS score, rank FROM ranked WHERE rank <= 10"""
+
 DOCUMENT_HITS = f"""
   {CENTROIDS},
   pairs AS (
@@ -507,6 +518,7 @@ ORACLE_SQL: dict[str, str] = {
       SELECT source, id, substr(text, 1, 200) || '...' AS sample FROM corpus
       QUALIFY row_number() OVER (PARTITION BY source ORDER BY id) = 1"""),
     "knn_cosine": KNN_COSINE,
+    "knn_cells": KNN_CELLS,
     "knn_l2_relevance": f"WITH {DOCUMENT_HITS} SELECT * FROM hits",
     "knn_context": f"""WITH {DOCUMENT_HITS}
       SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context
