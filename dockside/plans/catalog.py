@@ -16,6 +16,7 @@ from dockside.operators import (
     requests,
     vectors,
 )
+from dockside.schema import FREQUENCY_COLUMNS, PII_COLUMNS, USEFULNESS_COLUMNS
 from dockside.session import materialize, new_shared_path
 from dockside.sources.csv_orders import normalize_columns
 from dockside.sources.star import CLEAN_COLUMNS, RAW_COLUMNS, read_star, sales_orders
@@ -47,8 +48,17 @@ ORDER BY n DESC, category_name, market
 """
 
 
-def _orders(columns=CLEAN_COLUMNS):
-    return lambda spark, folder: sales_orders(spark, folder, columns)
+# Columns the reports read. The wide table is joined from its parts here, so a
+# query names what it reads and joins only those parts.
+PROFIT = ("order_profit_per_order",)
+DAYS = ("days_for_shipping_real", "days_for_shipment_scheduled")
+STATUS = ("delivery_status",)
+RISK = (*STATUS, *DAYS, *PROFIT, "sales")
+MARKET = ("market", "category_name", "shipping_mode", *STATUS, *PROFIT, "sales")
+CATEGORY = ("category_name", *STATUS, "order_item_profit_ratio", *PROFIT, "sales")
+SHIPPING = ("shipping_mode", *STATUS, *DAYS, *PROFIT)
+SEGMENT = ("customer_segment", *STATUS, *PROFIT, "sales")
+CORPUS = tuple(dict.fromkeys((*MARKET, *CATEGORY, *SHIPPING, *SEGMENT)))
 
 
 def _on_orders(operator: Callable[[DataFrame], DataFrame], columns=CLEAN_COLUMNS):
@@ -57,7 +67,8 @@ def _on_orders(operator: Callable[[DataFrame], DataFrame], columns=CLEAN_COLUMNS
 
 def _risk(dimension, market=None):
     return _on_orders(
-        lambda df: reports.delivery_risk(df, dimension, market, 20, markets=TEST_MARKETS)
+        lambda df: reports.delivery_risk(df, dimension, market, 20, markets=TEST_MARKETS),
+        tuple(dict.fromkeys((dimension, *RISK, *(("market",) if market else ())))),
     )
 
 
@@ -70,10 +81,6 @@ def _messy(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(name).alias(header) for name, header in MESSY_HEADERS.items()])
 
 
-def _category_frequencies(df: DataFrame) -> DataFrame:
-    return profiling.category_frequencies(df)
-
-
 def _label_vectors(spark, folder) -> DataFrame:
     vecs = read_star(spark, folder, "embeddings")
     return vectors.mean_vectors(vecs, "label", "embedding", VECTOR_LENGTH)
@@ -113,7 +120,7 @@ def _knn_context(spark, folder):
 
 
 def _corpus(spark, folder) -> DataFrame:
-    return materialize(knowledge.knowledge_corpus(sales_orders(spark, folder)))
+    return materialize(knowledge.knowledge_corpus(sales_orders(spark, folder, CORPUS)))
 
 
 def _corpus_vectors(spark, folder):
@@ -240,10 +247,6 @@ def _duplicates(spark, folder):
     return profiling.duplicate_profile(read_star(spark, folder, "documents").select("text", "lang"))
 
 
-def _schema_listing(df: DataFrame) -> DataFrame:
-    return profiling.describe_schema(df)
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "risk_by_market": _risk("market"),
     "risk_by_category": _risk("category_name"),
@@ -252,51 +255,65 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "risk_by_region": _risk("order_region"),
     "risk_by_segment": _risk("customer_segment"),
     "risk_category_in_market": _risk("category_name", "EUROPE"),
-    "risk_report_json": _on_orders(lambda df: reports.risk_json(df, "shipping_mode")),
-    "market_report": _on_orders(reports.market_report),
-    "category_profile": _on_orders(reports.category_profile),
-    "shipping_analysis": _on_orders(reports.shipping_analysis),
-    "segment_profile": _on_orders(reports.segment_profile),
-    "kpi_header": _on_orders(reports.kpi_header),
-    "status_share": _on_orders(reports.status_share),
-    "market_volume": _on_orders(reports.market_volume),
-    "mode_late": _on_orders(reports.mode_late),
-    "segment_economics": _on_orders(reports.segment_economics),
-    "revenue_summary": _on_orders(reports.revenue_summary),
+    "risk_report_json": _on_orders(
+        lambda df: reports.risk_json(df, "shipping_mode"), ("shipping_mode", *RISK)
+    ),
+    "market_report": _on_orders(reports.market_report, MARKET),
+    "category_profile": _on_orders(reports.category_profile, CATEGORY),
+    "shipping_analysis": _on_orders(reports.shipping_analysis, SHIPPING),
+    "segment_profile": _on_orders(reports.segment_profile, SEGMENT),
+    "kpi_header": _on_orders(
+        reports.kpi_header, ("market", "category_name", *STATUS, "sales")
+    ),
+    "status_share": _on_orders(reports.status_share, STATUS),
+    "market_volume": _on_orders(reports.market_volume, ("market", "sales")),
+    "mode_late": _on_orders(reports.mode_late, ("shipping_mode", *STATUS)),
+    "segment_economics": _on_orders(
+        reports.segment_economics, ("customer_segment", *PROFIT, "sales")
+    ),
+    "revenue_summary": _on_orders(reports.revenue_summary, (*PROFIT, "sales")),
     "canceled_in_market": _on_orders(
-        lambda df: reports.canceled_in_market(df, "EUROPE", TEST_MARKETS)
+        lambda df: reports.canceled_in_market(df, "EUROPE", TEST_MARKETS), ("market", *STATUS)
     ),
-    "canceled_by_market": _on_orders(reports.canceled_by_market),
-    "schema_listing": _on_orders(_schema_listing, RAW_COLUMNS),
+    "canceled_by_market": _on_orders(reports.canceled_by_market, ("market", *STATUS)),
+    "schema_listing": _on_orders(profiling.describe_schema, RAW_COLUMNS),
     "table_shape": _on_orders(profiling.table_shape, RAW_COLUMNS),
-    "normalize_columns": _on_orders(lambda df: normalize_columns(_messy(df))),
+    "normalize_columns": _on_orders(
+        lambda df: normalize_columns(_messy(df)), tuple(MESSY_HEADERS)
+    ),
     "null_profile": _on_orders(profiling.null_profile, RAW_COLUMNS),
     "duplicate_profile": _duplicates,
-    "pii_presence": _on_orders(profiling.pii_sample, RAW_COLUMNS),
-    "non_null_counts": _on_orders(profiling.non_null_counts, RAW_COLUMNS),
-    "delivery_status_counts": _on_orders(lambda df: profiling.value_counts(df, "delivery_status")),
+    "pii_presence": _on_orders(profiling.pii_sample, PII_COLUMNS),
+    "non_null_counts": _on_orders(profiling.non_null_counts, USEFULNESS_COLUMNS),
+    "delivery_status_counts": _on_orders(
+        lambda df: profiling.value_counts(df, "delivery_status"), STATUS
+    ),
     "order_status_counts": _on_orders(
-        lambda df: profiling.value_counts(df, "order_status", order=True)
+        lambda df: profiling.value_counts(df, "order_status", order=True), ("order_status",)
     ),
     "column_samples": _on_orders(profiling.column_samples, RAW_COLUMNS),
-    "category_frequencies": _on_orders(_category_frequencies),
-    "top_categories": _on_orders(lambda df: profiling.top_values(df, "category_name", 10)),
-    "distinct_markets": _on_orders(lambda df: profiling.distinct_values(df, "market")),
+    "category_frequencies": _on_orders(profiling.category_frequencies, FREQUENCY_COLUMNS),
+    "top_categories": _on_orders(
+        lambda df: profiling.top_values(df, "category_name", 10), ("category_name",)
+    ),
+    "distinct_markets": _on_orders(
+        lambda df: profiling.distinct_values(df, "market"), ("market",)
+    ),
     "clean_orders": _on_orders(cleaning.clean_orders, RAW_COLUMNS),
     "clean_report": _clean_report,
     "remaining_nulls": _on_orders(
         lambda df: cleaning.remaining_nulls(cleaning.clean_orders(df)), RAW_COLUMNS
     ),
-    "docs_market": _on_orders(knowledge.market_docs),
-    "docs_category": _on_orders(knowledge.category_docs),
-    "docs_shipping": _on_orders(knowledge.shipping_docs),
-    "docs_segment": _on_orders(knowledge.segment_docs),
-    "knowledge_corpus": _on_orders(knowledge.knowledge_corpus),
+    "docs_market": _on_orders(knowledge.market_docs, MARKET),
+    "docs_category": _on_orders(knowledge.category_docs, CATEGORY),
+    "docs_shipping": _on_orders(knowledge.shipping_docs, SHIPPING),
+    "docs_segment": _on_orders(knowledge.segment_docs, SEGMENT),
+    "knowledge_corpus": _on_orders(knowledge.knowledge_corpus, CORPUS),
     "corpus_by_source": _on_orders(
-        lambda df: knowledge.corpus_by_source(knowledge.knowledge_corpus(df))
+        lambda df: knowledge.corpus_by_source(knowledge.knowledge_corpus(df)), CORPUS
     ),
     "corpus_samples": _on_orders(
-        lambda df: knowledge.corpus_samples(knowledge.knowledge_corpus(df))
+        lambda df: knowledge.corpus_samples(knowledge.knowledge_corpus(df)), CORPUS
     ),
     "knn_cosine": _knn_cosine,
     "knn_l2_relevance": _knn_l2_relevance,

@@ -59,4 +59,5 @@ def as_rows(df):
 
 
 def plan_of(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+    """The plan to run, or the final one after the frame was used."""
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
