@@ -60,6 +60,8 @@ def knn_cells(queries: DataFrame, spark: SparkSession, path: str, k: int = 4) ->
     held = asked.limit(QUERIES_PER_PASS + 1).collect()
     if not held or len(held) > QUERIES_PER_PASS:
         return knn(asked, stored, k, "l2sq")
+    # Few rows; from here on they need not be computed again.
+    asked = spark.createDataFrame(held, asked.schema)
     cells = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()
     points = np.array([row.embedding for row in held], dtype="float64")
     centres = np.array([row.centre for row in cells])

@@ -3,6 +3,8 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, IDF, Normalizer, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
@@ -95,21 +97,21 @@ def mean_vectors(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
 # ---- nearest neighbours ----------------------------------------------------
 
 
-def _one_pass(queries: DataFrame, base: DataFrame, k: int, metric: str) -> DataFrame:
-    held = queries.toArrow().combine_chunks()
+def _one_pass(held: pa.Table, base: DataFrame, k: int, metric: str, id_type) -> DataFrame:
+    """Closest base rows of the held queries; at most k per query and task."""
     schema = T.StructType(
         [
-            T.StructField("query_id", queries.schema["query_id"].dataType),
+            T.StructField("query_id", id_type),
             T.StructField("doc_id", base.schema["doc_id"].dataType),
             T.StructField("closeness", T.DoubleType()),
         ]
     )
     if not held.num_rows:
         return base.sparkSession.createDataFrame([], schema)
+    held = held.combine_chunks()
     vectors = held["embedding"].combine_chunks()
-    dims = len(vectors[0])
     query_ids = held["query_id"].combine_chunks()
-    scan = nearest_in_task(query_ids, matrix(vectors, dims), k, metric)
+    scan = nearest_in_task(query_ids, matrix(vectors, len(vectors[0])), k, metric)
     return base.mapInArrow(scan, schema)
 
 
@@ -144,23 +146,31 @@ def _nearest(queries, base, k, metric, per_pass) -> tuple[DataFrame, int]:
         raise ValueError("metric must be cosine or l2sq")
     queries = queries.select("query_id", "embedding").where("embedding IS NOT NULL")
     base = base.select("doc_id", "embedding").where("embedding IS NOT NULL")
+    id_type = queries.schema["query_id"].dataType
+    held = queries.limit(per_pass + 1).toArrow()
+    if held.num_rows <= per_pass:
+        _require_unique(held.num_rows, pc.count_distinct(held["query_id"], "only_valid").as_py())
+        return _rank(_one_pass(held, base, k, metric, id_type), k), held.num_rows
     size = queries.agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("query_id").alias("ids")
     ).first()
-    if size.n != size.ids:
-        raise ValueError("query_id must be unique and not NULL")
-    if size.n <= per_pass:
-        return _rank(_one_pass(queries, base, k, metric), k), size.n
+    _require_unique(size.n, size.ids)
     spark = base.sparkSession
     passes = math.ceil(size.n / per_pass)
     place = F.pmod(F.xxhash64("query_id"), F.lit(passes))
     path = new_shared_path(spark, "knn")
     for number in range(passes):
-        part = _one_pass(queries.where(place == number), base, k, metric)
+        held = queries.where(place == number).toArrow()
+        part = _one_pass(held, base, k, metric, id_type)
         _rank(part, k).write.mode("append").parquet(path)
     return spark.read.parquet(path), size.n
 
 
+def _require_unique(rows: int, ids: int) -> None:
+    if rows != ids:
+        raise ValueError("query_id must be unique and not NULL")
+
+
 def _scored(ranked: DataFrame, metric: str) -> DataFrame:
     sign = -1.0 if metric == "l2sq" else 1.0
     # "+ 0.0" turns a negative zero into zero.

@@ -10,6 +10,36 @@ splits hot keys of the joins it shuffles.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Columns of the tables. With a known schema a read needs no job
+# that opens file footers first.
+_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": (
+        "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    ),
+    "part": (
+        "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int,"
+        " p_retailprice double"
+    ),
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+        " o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+        " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+        " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "events": (
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double,"
+        " props string"
+    ),
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
 # lookup -> (key in the row so far, key of the table, lookups it builds on)
 _LOOKUPS = {
     "orders": ("l_orderkey", "o_orderkey", ()),
@@ -138,7 +168,7 @@ RAW_COLUMNS = (*_COLUMNS, *_RAW_COLUMNS)
 
 
 def read_star(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    return spark.read.schema(_SCHEMAS[table]).parquet(f"{folder}/{table}.parquet")
 
 
 def sales_orders(spark: SparkSession, folder: str, columns=CLEAN_COLUMNS) -> DataFrame:
@@ -152,7 +182,7 @@ def sales_orders(spark: SparkSession, folder: str, columns=CLEAN_COLUMNS) -> Dat
     for table, (left, right, _) in _LOOKUPS.items():
         if table in needed:
             side = read_star(spark, folder, table)
-            df = df.join(side, df[left] == side[right], "left")
+            df = df.join(side, F.col(left) == F.col(right), "left")
     for stage in _SHARED:
         usable = {name: make() for name, make in stage.items() if _SHARED_LOOKUPS[name] in needed}
         df = df.withColumns(usable) if usable else df
