@@ -9,6 +9,9 @@ from pyspark import cloudpickle
 # Tasks get these functions by value, so workers need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Base rows compared at a time: bounds the score matrix of a task's step.
+ROWS_PER_STEP = 2048
+
 
 def matrix(column: pa.Array, dims: int) -> np.ndarray:
     lengths = np.asarray(column.value_lengths())
@@ -37,15 +40,19 @@ def best_per_query(found: pa.Table, k: int) -> pa.Table:
     return found.filter(pa.array(place < k))
 
 
+def _steps(batches):
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS_PER_STEP):
+            yield batch.slice(start, ROWS_PER_STEP)
+
+
 def nearest_in_task(query_ids, queries, k, metric):
     """Function for ``mapInArrow``: at most k rows per query leave each task."""
 
     def scan(batches):
         best = None
         floor = np.full(len(queries), -np.inf)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _steps(batches):
             ids = batch.column(0)
             scores = closeness(matrix(batch.column(1), queries.shape[1]), queries, metric)
             # Equal vectors must tie exactly, whichever task computes them.

@@ -18,7 +18,9 @@ BLOCKED = (
 # Functions that reach past the views given to the statement.
 OUTSIDE_CALLS = ("java_method", "reflect", "input_file")
 
+# Reasons given with a refused statement.
 NOT_SELECT = "Only SELECT statements are permitted"
+BLOCKED_WORD = "Blocked keyword in query: '{}'"
 
 
 class GuardError(ValueError):
@@ -56,7 +58,7 @@ def check_statement(sql: str) -> None:
     lowered = sql.lower()
     for word in BLOCKED:
         if word in lowered:
-            raise GuardError(f"Blocked keyword in query: '{word}'")
+            raise GuardError(BLOCKED_WORD.format(word))
     for call in OUTSIDE_CALLS:
         if call in lowered:
             raise GuardError(f"Function not permitted: '{call}'")

@@ -10,6 +10,7 @@ MAX_CHARS = 1500
 REQUESTS_PER_WINDOW = 10
 WINDOW = "1 minute"
 
+# Reasons given with a refused request.
 EMPTY_MESSAGE = "Please type a message."
 LONG_MESSAGE = "Query too long. Max {} characters."
 

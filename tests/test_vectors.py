@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from conftest import as_rows, plan_of
+from dockside.functions import nearest
 from dockside.operators import cells, vectors
 
 SCHEMA = "{} long, embedding array<float>"
@@ -54,6 +55,22 @@ def test_knn_equals_brute_force(spark, points, metric, per_pass):
     assert found_by(hits) == brute(queries, base, 6, metric)
 
 
+def test_knn_in_small_steps(spark, points, monkeypatch):
+    queries, base = points
+    monkeypatch.setattr(nearest, "ROWS_PER_STEP", 37)
+    hits = vectors.knn(frame(spark, "query_id", queries), frame(spark, "doc_id", base), 10)
+    assert found_by(hits) == brute(queries, base, 10, "cosine")
+
+
+def test_text_ids_and_ties(spark):
+    base = spark.createDataFrame(
+        [(name, [1.0, 0.0]) for name in ("é", "b", "a", "Z")], "doc_id string, embedding array<float>"
+    )
+    query = frame(spark, "query_id", np.array([[2, 0]]))
+    hits = vectors.knn(query, base.repartition(3), 3).orderBy("rank")
+    assert [row.doc_id for row in hits.collect()] == ["Z", "a", "b"]
+
+
 def test_knn_edge_cases(spark):
     base = frame(spark, "doc_id", np.array([[1, 0], [-1, 0], [0, 1], [0, 0]]))
     query = frame(spark, "query_id", np.array([[1, 0]]))
