@@ -6,10 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_file
+from dockside.plans.catalog import QUERIES
+from dockside.plans.oracle import ORACLE_SQL as SQL
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = entry_file.queries()
-SQL = entry_file.oracle_sql()
 
 pytestmark = pytest.mark.skipif(
     not pathlib.Path(FOLDER).exists(), reason="the test tables are not here"
@@ -32,6 +32,8 @@ def comparable(columns, rows):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry_file.queries())
+    assert set(SQL) <= set(entry_file.oracle_sql()) <= set(entry_file.queries())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
