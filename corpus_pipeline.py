@@ -1,14 +1,83 @@
-"""A corpus from raw documents: five stages, each over all that the one before kept."""
+"""A corpus from raw documents: five stages, each over all that the one before kept.
+
+Every stage but the last returns the columns of ``documents``. Scores, fingerprints,
+windows, postings and queues are made from all rows a stage gets; only the
+toxicity model is fitted on a bounded sample of labelled rows.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dockside.llm import decontaminate, packing, simhash, substring_dedup, toxicity
+from dockside.llm.catalog import read, vocabulary
+from dockside.llm.common import store
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose ``doc_id`` is not among ``ids``; rows without one stay."""
+    return docs.join(store(ids.select("doc_id").distinct(), "dropped"), "doc_id", "left_anti").select(
+        *docs.columns
+    )
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not call toxic."""
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id.
+
+    Rows that share that id are the same document and stay; so do rows without id.
+    """
+    found = simhash.near_duplicates(docs)
+    return without(docs, found.where("doc_id <> component_id"))
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that a document with a smaller id has, too.
+
+    Where nothing is left of a document that had words, it goes.
+    """
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    kept = substring_dedup.remove_repeats(docs, with_text=True, carry=others)
+    kept = kept.where("n_words = 0 OR n_removed < n_words")
+    columns = {
+        "doc_id": F.col("doc_id"),
+        "text": F.col("kept_text").alias("text"),
+        "n_chars": F.char_length("kept_text").cast("long").alias("n_chars"),
+    }
+    return kept.select(*[columns.get(c, F.col(f"carried.{c}").alias(c)) for c in docs.columns])
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the contract's rule does not call contaminated."""
+    found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"))
+    return without(docs, found.where("contaminated"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences, every window with the corpus's mix of sources."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash near-dedup", drop_near_duplicates),
+    ("substring dedup", drop_repeated_passages),
+    ("benchmark decontamination", drop_contaminated),
+    ("packing", pack_sequences),
+]
 
-STAGES = []
+# A fitted classifier has no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, on the documents of a folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages on the documents of a folder, each written and read again."""
+    docs = read(spark, sf_dir, "documents")
+    *first, (_, last) = STAGES
+    for name, stage in first:
+        docs = store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return last(spark, docs, sf_dir)

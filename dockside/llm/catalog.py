@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from dockside.llm import (
     decontaminate,
+    html_extract,
     licenses,
+    neighbours,
     packing,
     sharding,
     simhash,
     substring_dedup,
     token_counts,
+    toxicity,
 )
 
 
@@ -27,6 +30,10 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op1_html_extraction(spark, folder):
+    return html_extract.extract_text(read(spark, folder, "pages"))
+
+
 def op2_packing(spark, folder):
     return packing.pack(read(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -37,6 +44,10 @@ def op3_decontamination(spark, folder):
     )
 
 
+def op4_nearest(spark, folder):
+    return neighbours.nearest(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_token_counts(spark, folder):
     return token_counts.token_counts(
         read(spark, folder, "documents"), vocabulary("byte_bpe_50k.json")
@@ -64,6 +75,11 @@ def op8_sharding(spark, folder):
     )
 
 
+def op9_toxicity(spark, folder):
+    docs = read(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, folder, "labels")))
+
+
 def op10_simhash(spark, folder):
     return simhash.near_duplicates(read(spark, folder, "documents"))
 
@@ -71,12 +87,15 @@ def op10_simhash(spark, folder):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_html_extraction,
         op2_packing,
         op3_decontamination,
+        op4_nearest,
         op5_token_counts,
         op6_substring_dedup,
         op7_license_scan,
         op8_sharding,
+        op9_toxicity,
         op10_simhash,
     )
 }
