@@ -13,6 +13,9 @@ its words with array operations and sends each window it holds once, with the
 smallest ``doc_id`` it has for it, so a passage shared by a third of all
 documents is one row per block, not one per document. Windows go by 128 bits of
 hash from the second level on.
+
+A text that a smaller ``doc_id`` has as a whole is known beforehand by its digest:
+each of its windows starts in that document, so the copy sends none.
 """
 
 import hashlib
@@ -20,13 +23,18 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from dockside.llm.common import partitions_for, store, text_bytes
+from dockside.llm.common import partitions_for, store, text_bytes, worker_memo
 
 # Bytes of text in a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+
+# Bytes whose words are hashed at a time.
+STEP_BYTES = 1 << 20
 
 # Bytes of text whose windows one task compares at a time.
 TASK_BYTES = 64 << 20
@@ -59,9 +67,13 @@ def powers(base: int, n: int) -> np.ndarray:
 class Block:
     """Words of some documents as hashes, in an order that the rows alone decide."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, notes: pa.Table):
         rows = list(zip(table["doc_id"].to_pylist(), table["text"].to_pylist()))
-        rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        #: Places of the rows in ``table``.
+        self.order = sorted(
+            range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, rows[i][1])
+        )
+        rows = [rows[i] for i in self.order]
         self.ids = [r[0] for r in rows]
         self.texts = [r[1] for r in rows]
         data = np.frombuffer(b" ".join([b"", *self.texts, b""]), np.uint8)
@@ -70,29 +82,32 @@ class Block:
         inside = ~BLANKS[data]
         turns = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         begins, ends = turns[0::2], turns[1::2]
-        power = powers(BYTE_BASE, len(data))
-        sums = np.concatenate(
-            [np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1])]
-        )
-        inverse = pow(BYTE_BASE, -1, 1 << 64)
-        undo = powers(inverse, len(data))
-        self.words = mixed((sums[ends] - sums[begins]) * undo[begins])
+        self.words = word_hashes(data, begins, ends)
         # The document of each word, and how many words each has.
         self.doc = np.searchsorted(bounds, begins, side="right") - 1
         self.n_words = np.bincount(self.doc, minlength=len(rows))
         self.first = np.cumsum(self.n_words) - self.n_words
         self.known = np.array([NO_DOC if i is None else i for i in self.ids], np.int64)
+        #: Rows whose text a smaller id has, too.
+        self.copy = np.zeros(len(rows), bool)
+        digests = notes.filter(pc.is_valid(notes["digest"]))
+        twins = set(zip(digests["a"].to_pylist(), digests["digest"].to_pylist()))
+        if twins:
+            some = {i for i, _ in twins}
+            for n, (i, text) in enumerate(rows):
+                self.copy[n] = i in some and (i, hashlib.md5(text).digest()) in twins
 
     def windows(self, size: int, base: int) -> np.ndarray:
         """Hash of the ``size`` words from each place on, by doubling; no check of borders."""
         return window_hash(self.words, size, base)
 
     def whole(self, size: int) -> np.ndarray:
-        """Whether the window from each place on stays in its document, which has an id."""
+        """Whether the window from each place on stays in its document, one with an id and no copy."""
         if len(self.words) < size:
             return np.zeros(0, bool)
         doc = self.doc[: len(self.words) - size + 1]
-        return (doc == self.doc[size - 1 :]) & (self.known[doc] != NO_DOC)
+        usable = (self.known != NO_DOC) & ~self.copy
+        return (doc == self.doc[size - 1 :]) & usable[doc]
 
     def halves(self, size: int) -> np.ndarray:
         """For each window the smallest hash of the half windows in it."""
@@ -101,6 +116,31 @@ class Block:
         return sliding_least(grams, size - half + 1)
 
 
+def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each word ``data[begin:end]``, from sums over the bytes up to its ends."""
+    out = np.empty(len(begins), np.uint64)
+    first = 0
+    while first < len(begins):
+        base = begins[first]
+        last = max(first + 1, int(np.searchsorted(ends, base + STEP_BYTES, side="right")))
+        part = data[base : ends[last - 1]]
+        power, undo = _power_tables(max(len(part), STEP_BYTES))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=sums[1:])
+        a, b = begins[first:last] - base, ends[first:last] - base
+        out[first:last] = (sums[b] - sums[a]) * undo[a]
+        first = last
+    return mixed(out)
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    memo = worker_memo("substring_powers")
+    if len(memo.get("power", ())) < n:
+        memo["power"] = powers(BYTE_BASE, n)
+        memo["undo"] = powers(pow(BYTE_BASE, -1, 1 << 64), n)
+    return memo["power"], memo["undo"]
+
+
 def window_hash(words: np.ndarray, size: int, base: int) -> np.ndarray:
     if len(words) < size:
         return np.zeros(0, np.uint64)
@@ -134,22 +174,51 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(held[: len(held) - extra], held[extra:]) if extra else held
 
 
-def blocks_of(docs: DataFrame) -> tuple[DataFrame, int]:
-    """``_block, doc_id, text`` and the bytes of all texts; rows without id go by their text."""
-    texts = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"))
+def blocks_of(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """``_block, doc_id, text, _carried`` and the bytes of all texts; rows without id go by their text."""
+    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("int")
+    texts = docs.select(
+        F.col("doc_id").cast("long"), text_bytes().alias("text"), carried.alias("_carried")
+    )
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_BYTES))
     key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    return texts.select(F.pmod(key, F.lit(n)).alias("_block"), "doc_id", "text"), total
+    return texts.select(F.pmod(key, F.lit(n)).alias("_block"), "doc_id", "text", "_carried"), total
+
 
+# What a block is told: copies (``a`` id, ``digest`` of the text), halves (``a``), or
+# repeated windows (``a`` place, ``b`` smallest id).
+NOTES = "_block long, a long, b long, digest binary"
 
-def first_level(blocks: DataFrame, parts: int, size: int) -> DataFrame:
-    """``_block, half``: smallest halves of windows that more than one document has."""
+
+def whole_copies(blocks: DataFrame) -> DataFrame:
+    """Rows whose whole text a smaller ``doc_id`` has, too, as notes in the shared folder."""
+    marked = blocks.where("doc_id IS NOT NULL AND octet_length(text) > 0").select(
+        "_block", "doc_id", F.unhex(F.md5("text")).alias("digest")
+    )
+    # Minima are combined before the shuffle, so a hot text is a row per task.
+    least = marked.groupBy("digest").agg(
+        F.min("doc_id").alias("least"), F.max("doc_id").alias("most")
+    )
+    repeated = least.where("least < most").select("digest", "least")
+    found = marked.join(repeated, "digest").where("doc_id > least")
+    return store(
+        found.select(
+            "_block", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "digest"
+        ),
+        "copies",
+    )
+
+
+def first_level(blocks: DataFrame, copies: DataFrame, parts: int, size: int) -> DataFrame:
+    """Notes of the smallest halves of windows that more than one document has."""
     sent = pa.schema([("half", pa.int64()), ("_block", pa.int64()), ("many", pa.bool_())])
-    back = pa.schema([("_block", pa.int64()), ("half", pa.int64())])
+    back = pa.schema([("_block", pa.int64()), ("a", pa.int64())])
 
-    def send(key, table):
-        block = Block(table)
+    def send(key, table, notes):
+        if not table.num_rows:
+            return pa.Table.from_batches([], sent)
+        block = Block(table, notes)
         whole = block.whole(size)
         halves = block.halves(size)[whole]
         doc = block.known[block.doc[: len(whole)][whole]]
@@ -177,8 +246,13 @@ def first_level(blocks: DataFrame, parts: int, size: int) -> DataFrame:
         kept = np.repeat((sizes > 1) | np.logical_or.reduceat(many, first), sizes)
         yield pa.RecordBatch.from_arrays([pa.array(block[kept]), pa.array(half[kept])], schema=back)
 
-    halves = blocks.groupBy("_block").applyInArrow(send, "half long, _block long, many boolean")
-    return halves.repartition(parts, "half").mapInArrow(repeated, "_block long, half long")
+    halves = (
+        blocks.groupBy("_block")
+        .cogroup(copies.groupBy("_block"))
+        .applyInArrow(send, "half long, _block long, many boolean")
+    )
+    found = halves.repartition(parts, "half").mapInArrow(repeated, "_block long, a long")
+    return found.selectExpr("_block", "a", "CAST(NULL AS LONG) AS b", "CAST(NULL AS BINARY) AS digest")
 
 
 def distinct_windows(block: Block, size: int, at: np.ndarray):
@@ -193,21 +267,22 @@ def distinct_windows(block: Block, size: int, at: np.ndarray):
     return order, first, one[first], two[first]
 
 
-def second_level(blocks: DataFrame, halves: DataFrame, parts: int, size: int) -> DataFrame:
-    """``_block, place, least``: repeated windows by their first place in the block.
+def second_level(blocks: DataFrame, copies: DataFrame, halves: DataFrame, parts: int, size: int) -> DataFrame:
+    """Notes of repeated windows: first place in the block and smallest ``doc_id`` of all.
 
-    ``least`` is the smallest ``doc_id`` of all documents that have the window.
+    A block is told only of windows that it has in a document beside that one.
     """
     sent = pa.schema(
         [(n, pa.int64()) for n in ("one", "two", "_block", "place", "least")] + [("many", pa.bool_())]
     )
-    back = pa.schema([(n, pa.int64()) for n in ("_block", "place", "least")])
+    back = pa.schema([(n, pa.int64()) for n in ("_block", "a", "b")])
 
-    def send(key, table, survivors):
+    def send(key, table, notes):
+        survivors = notes.filter(pc.is_null(notes["digest"]))
         if not table.num_rows or not survivors.num_rows:
             return pa.Table.from_batches([], sent)
-        block = Block(table)
-        kept = np.sort(survivors["half"].to_numpy().view(np.uint64))
+        block = Block(table, notes)
+        kept = np.sort(survivors["a"].to_numpy().view(np.uint64))
         halves = block.halves(size)
         spot = np.searchsorted(kept, halves)
         spot[spot == len(kept)] = 0
@@ -238,27 +313,30 @@ def second_level(blocks: DataFrame, halves: DataFrame, parts: int, size: int) ->
         )
         first = np.flatnonzero(np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
         sizes = np.diff(np.append(first, len(one)))
-        kept = np.repeat((sizes > 1) | np.logical_or.reduceat(many, first), sizes)
-        least = np.repeat(np.minimum.reduceat(least, first), sizes)
-        columns = [pa.array(x[kept]) for x in (block, place, least)]
+        smallest = np.repeat(np.minimum.reduceat(least, first), sizes)
+        # Else the block has the window in the document with the smallest id alone.
+        kept = many | (smallest < least)
+        columns = [pa.array(x[kept]) for x in (block, place, smallest)]
         yield pa.RecordBatch.from_arrays(columns, schema=back)
 
     windows = (
         blocks.groupBy("_block")
-        .cogroup(halves.groupBy("_block"))
+        .cogroup(copies.unionByName(halves).groupBy("_block"))
         .applyInArrow(send, "one long, two long, _block long, place long, least long, many boolean")
     )
-    return windows.repartition(parts, "one", "two").mapInArrow(
-        repeated, "_block long, place long, least long"
+    found = windows.repartition(parts, "one", "two").mapInArrow(
+        repeated, "_block long, a long, b long"
     )
+    return copies.unionByName(found.withColumn("digest", F.lit(None).cast("binary")))
 
 
-def covered_words(block: Block, repeats: pa.Table, size: int) -> np.ndarray:
+def covered_words(block: Block, notes: pa.Table, size: int) -> np.ndarray:
     """Which words of a block lie in a window that a smaller ``doc_id`` has, too."""
     edges = np.zeros(len(block.words) + 1, np.int32)
+    repeats = notes.filter(pc.is_null(notes["digest"]))
     if repeats.num_rows:
-        place = repeats["place"].to_numpy()
-        least = repeats["least"].to_numpy()
+        place = repeats["a"].to_numpy()
+        least = repeats["b"].to_numpy()
         at = np.flatnonzero(block.whole(size))
         one, two = (block.windows(size, base) for base in WORD_BASES)
         order = np.argsort(one[place], kind="stable")
@@ -275,23 +353,28 @@ def covered_words(block: Block, repeats: pa.Table, size: int) -> np.ndarray:
             low = low + 1
             rest = ~same & (low < high)
             at, low, high = at[rest], low[rest], high[rest]
-    return np.cumsum(edges[:-1]) > 0
+    whole = block.copy & (block.n_words >= size)
+    return (np.cumsum(edges[:-1]) > 0) | whole[block.doc]
 
 
-def remove_repeats(docs: DataFrame, size: int = 13, with_text: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, size: int = 13, with_text: bool = False, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """Every row of ``docs`` without the words of windows that a smaller ``doc_id`` has, too.
 
     Columns ``doc_id, n_words, n_removed, kept_sha256`` and, if asked for,
     ``kept_text``: the kept words joined by one blank, or the text as it was where
-    nothing is removed (NULL becomes empty). Words are what stands between ASCII
+    nothing is removed (NULL becomes empty), and a struct ``carried`` of the columns
+    named in ``carry``. Words are what stands between ASCII
     blanks. Windows are judged on the input. NULL and empty texts have no words; a
     row with NULL ``doc_id`` keeps all words and takes none from others; rows with
     one ``doc_id`` take nothing from each other; other columns are ignored.
     """
-    blocks, total = blocks_of(docs)
+    blocks, total = blocks_of(docs, carry)
     parts = partitions_for(docs, total, TASK_BYTES)
-    halves = first_level(blocks, parts, size)
-    repeats = second_level(blocks, halves, parts, size)
+    copies = whole_copies(blocks)
+    halves = first_level(blocks, copies, parts, size)
+    notes = second_level(blocks, copies, halves, parts, size)
     fields = [
         ("doc_id", pa.int64()),
         ("n_words", pa.int64()),
@@ -300,10 +383,14 @@ def remove_repeats(docs: DataFrame, size: int = 13, with_text: bool = False) ->
     ]
     if with_text:
         fields.append(("kept_text", pa.string()))
+    names = [name for name, _ in fields]
     schema = pa.schema(fields)
 
     def finish(key, table, found):
-        block = Block(table)
+        if not table.num_rows:
+            empty = schema.append(table.schema.field("_carried").with_name("carried")) if carry else schema
+            return empty.empty_table()
+        block = Block(table, found)
         gone = covered_words(block, found, size)
         removed = np.bincount(block.doc[gone], minlength=len(block.ids))
         hashes, texts = [], []
@@ -317,16 +404,18 @@ def remove_repeats(docs: DataFrame, size: int = 13, with_text: bool = False) ->
             if with_text:
                 texts.append((kept if removed[i] else text).decode())
         columns = [block.ids, block.n_words, removed, hashes, *([texts] if with_text else [])]
-        return pa.table(columns, schema=schema)
+        done = pa.table(columns, schema=schema)
+        if carry:
+            done = done.append_column("carried", table["_carried"].take(block.order))
+        return done
 
+    result = T.StructType(
+        [T.StructField(n, T.StringType() if n.startswith("kept") else T.LongType()) for n in names]
+    )
+    if carry:
+        result.add("carried", blocks.schema["_carried"].dataType)
     return (
-        blocks.groupBy("_block")
-        .cogroup(repeats.groupBy("_block"))
-        .applyInArrow(
-            finish,
-            "doc_id long, n_words long, n_removed long, kept_sha256 string"
-            + (", kept_text string" if with_text else ""),
-        )
+        blocks.groupBy("_block").cogroup(notes.groupBy("_block")).applyInArrow(finish, result)
     )
 
 
@@ -334,39 +423,37 @@ def _holders(size: int):
     """Function for a co-group: documents of a block with a repeated window."""
     schema = pa.schema([("doc_id", pa.int64())])
 
-    def held(key, table, repeats):
-        if not table.num_rows or not repeats.num_rows:
+    def held(key, table, notes):
+        if not table.num_rows:
             return pa.Table.from_batches([], schema)
-        block = Block(table)
-        one = block.windows(size, WORD_BASES[0])
-        kept = np.isin(one, one[repeats["place"].to_numpy()]) & block.whole(size)
-        ids = np.unique(block.known[block.doc[: len(kept)][kept]])
+        block = Block(table, notes)
+        gone = covered_words(block, notes, size)
+        ids = np.unique(block.known[block.doc[gone]])
         return pa.table([ids], schema=schema)
 
     return held
 
 
 def longest_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
-    """``doc_id, longest``: the longest of the lengths size, 2 size, 4 size ... that repeats.
+    """``doc_id, longest``: the longest of the lengths size, 2 size, 4 size ... at which a
+    window of the document also starts in one with a smaller ``doc_id``.
 
-    The doubling goes on until no window survives; rows of which no window
-    repeats are left out.
+    The doubling goes on until no window survives; documents without such a
+    window are left out.
     """
     blocks, total = blocks_of(docs)
     parts = partitions_for(docs, total, TASK_BYTES)
+    copies = whole_copies(blocks)
     found = None
     while True:
-        repeats = second_level(blocks, first_level(blocks, parts, size), parts, size)
-        grouped = blocks.groupBy("_block").cogroup(repeats.groupBy("_block"))
+        halves = first_level(blocks, copies, parts, size)
+        notes = second_level(blocks, copies, halves, parts, size)
+        grouped = blocks.groupBy("_block").cogroup(notes.groupBy("_block"))
         holders = grouped.applyInArrow(_holders(size), "doc_id long").distinct()
         level = store(holders.withColumn("longest", F.lit(size).cast("long")), "repeats")
         if level.isEmpty():
             break
         found = level if found is None else found.unionByName(level)
-        # Only documents with a window of this length can have one of twice the length.
-        blocks = blocks.join(level.select("doc_id"), "doc_id", "left_semi").select(
-            "_block", "doc_id", "text"
-        )
         size *= 2
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, longest long")

@@ -45,6 +45,19 @@ def test_text_is_kept(make_docs):
     assert got == {1: " ".join(words), 2: "x y z", 3: "p  q"}
 
 
+def test_other_columns_are_carried(make_docs):
+    words = " ".join(f"a{i}" for i in range(20))
+    rows = [(1, words), (2, words), (3, "x"), (None, words), (2, "y")]
+    got = remove_repeats(make_docs(rows), with_text=True, carry=("source", "fp")).collect()
+    assert sorted((str(r.doc_id), r.kept_text, r.carried.source) for r in got) == [
+        ("1", words, "s1"),
+        ("2", "", "s2"),
+        ("2", "y", "s2"),
+        ("3", "x", "s0"),
+        ("None", words, "s0"),
+    ]
+
+
 def test_empty_table(make_docs):
     assert remove_repeats(make_docs([])).collect() == []
     assert longest_repeats(make_docs([])).collect() == []
@@ -52,6 +65,6 @@ def test_empty_table(make_docs):
 
 def test_longest(make_docs):
     words = [f"a{i}" for i in range(60)]
-    rows = [(1, " ".join(words)), (2, " ".join(words[:14])), (3, " ".join(words[5:40])), (4, "b")]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:14])), (3, " ".join(words[5:40])), (4, "b"), (5, "b")]
     got = {r.doc_id: r.longest for r in longest_repeats(make_docs(rows)).collect()}
-    assert got == {1: 26, 2: 13, 3: 26}
+    assert got == {2: 13, 3: 26}
