@@ -5,7 +5,7 @@ from dockside.schema import DIMENSIONS, MARKETS
 
 def validate_dimension(name: str) -> str:
     if name not in DIMENSIONS:
-        raise ValueError(f"group_by must be one of: {sorted(DIMENSIONS)}")
+        raise ValueError(f"cannot group by {name!r}; known dimensions: {sorted(DIMENSIONS)}")
     return name
 
 
@@ -14,7 +14,7 @@ def validate_market(name: str | None, allowed=MARKETS) -> str | None:
     if not name:
         return None
     if name not in allowed:
-        raise ValueError(f"market must be one of: {sorted(allowed)}")
+        raise ValueError(f"unknown market {name!r}; known markets: {sorted(allowed)}")
     return name
 
 
@@ -26,9 +26,13 @@ def clamp_limit(n, default=10, top=20) -> int:
     return min(n, top)
 
 
-def clamp_k(k=4, top=10) -> int:
-    """Hits per query: at most ``top``, at least one."""
+def at_least_one(k) -> int:
     k = int(k)
     if k < 1:
         raise ValueError("k must be at least 1")
-    return min(k, top)
+    return k
+
+
+def clamp_k(k=4, top=10) -> int:
+    """Hits per query of a search tool: at most ``top``, at least one."""
+    return min(at_least_one(k), top)

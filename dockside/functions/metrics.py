@@ -21,18 +21,21 @@ def is_late() -> Column:
     return F.col("delivery_status") == LATE
 
 
-def late_flag() -> Column:
-    """1.0 for a late delivery, 0.0 for everything else, NULL status included."""
-    return F.when(is_late(), F.lit(1.0)).otherwise(F.lit(0.0))
-
-
 def delay_days() -> Column:
     return F.col("days_for_shipping_real") - F.col("days_for_shipment_scheduled")
 
 
+def finite_amount(column: str) -> Column:
+    """An amount as it is; one that integers cannot hold stops the job."""
+    value = F.col(column)
+    odd = F.isnan(value) | (F.abs(value) > 9e15)
+    message = F.lit(f"{column} is not a finite amount")
+    return F.when(odd, F.raise_error(message).cast("double")).otherwise(value)
+
+
 def units(column: str) -> Column:
     """Whole units of an amount, rounded down."""
-    return F.floor(column)
+    return F.floor(finite_amount(column))
 
 
 def millionths(column: str) -> Column:
@@ -66,8 +69,7 @@ _SUMS: dict[str, Callable[[], Column]] = {
     "planned_n": lambda: F.count("days_for_shipment_scheduled"),
     **amount_sums("profit", "order_profit_per_order"),
     **amount_sums("sales", "sales"),
-    "margin_sum": lambda: F.sum("order_item_profit_ratio"),
-    "margin_n": lambda: F.count("order_item_profit_ratio"),
+    **amount_sums("margin", "order_item_profit_ratio"),
 }
 
 
@@ -97,6 +99,12 @@ def mean_amount(prefix: str) -> Column:
     return F.round(F.try_divide(amount(prefix).cast("double"), F.col(f"{prefix}_n")), 2)
 
 
+def mean_share(prefix: str) -> Column:
+    """Mean of a ratio in percent to one place; NULL when empty."""
+    mean = F.try_divide(amount(prefix).cast("double"), F.col(f"{prefix}_n"))
+    return F.round(mean * 100, 1)
+
+
 def total_of(prefix: str) -> Column:
     """Total of an amount, rounded to whole units."""
     return F.round(amount(prefix), 0).cast("double")

@@ -4,7 +4,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dockside.functions.text import BLANKS
@@ -16,12 +16,23 @@ BLOCKED = (
 )
 
 # Functions that reach past the views given to the statement.
-OUTSIDE_CALLS = ("java_method", "reflect", "input_file")
+OUTSIDE_CALLS = (
+    "java_method", "reflect", "try_reflect", "input_file_name", "input_file_block_start",
+    "input_file_block_length",
+)
+
+# String literals, which are no calls, and calls of the functions above.
+LITERAL = r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*\""""
+CALL = rf"(?i)`?\b({'|'.join(OUTSIDE_CALLS)})`?\s*\("
 
 # Reasons given with a refused statement.
 NOT_SELECT = "Only SELECT statements are permitted"
 BLOCKED_WORD = "Blocked keyword in query: '{}'"
 
+OUTSIDE_CALL = "function not permitted: '{}'"
+OUTSIDE_TABLE = "only the given views may be read, not '{}'"
+PRODUCT = "joins need a condition"
+
 
 class GuardError(ValueError):
     """A statement that was refused or failed; the text says why."""
@@ -34,6 +45,8 @@ def sql_verdict(statement: Column) -> tuple[Column, Column]:
     found = F.lit(None).cast("string")
     for word in reversed(BLOCKED):
         found = F.when(lowered.contains(word), F.lit(word)).otherwise(found)
+    call = F.lower(F.regexp_extract(F.regexp_replace(statement, LITERAL, "''"), CALL, 1))
+    found = F.coalesce(found, F.nullif(call, F.lit("")))
     found = F.when(is_select, found)
     verdict = (
         F.when(~is_select, "not_select").when(found.isNotNull(), "blocked").otherwise("ok")
@@ -52,25 +65,60 @@ def audit_counts(audited: DataFrame) -> DataFrame:
 
 
 def check_statement(sql: str) -> None:
-    """Raise :class:`GuardError` for a statement that must not run."""
+    """Raise :class:`GuardError` for a statement that :func:`sql_verdict` does not pass."""
     if not re.match(r"^\s*SELECT\b", sql, re.IGNORECASE):
         raise GuardError(NOT_SELECT)
     lowered = sql.lower()
-    for word in BLOCKED:
-        if word in lowered:
-            raise GuardError(BLOCKED_WORD.format(word))
-    for call in OUTSIDE_CALLS:
-        if call in lowered:
-            raise GuardError(f"Function not permitted: '{call}'")
+    word = next((word for word in BLOCKED if word in lowered), None)
+    if word:
+        raise GuardError(BLOCKED_WORD.format(word))
+    call = re.search(CALL, re.sub(LITERAL, "''", sql))
+    if call:
+        raise GuardError(OUTSIDE_CALL.format(call[1].lower()))
+
+
+def check_plan(session: SparkSession, sql: str, views) -> None:
+    """Raise :class:`GuardError` for a relation that is not one of ``views``, or a cross join.
+
+    Looks at the parsed statement, subqueries included, before any name is resolved.
+    """
+    plan = session._jsparkSession.sessionState().sqlParser().parsePlan(sql).toString()
+    allowed = {name.lower() for name in views}
+    for name in re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan):
+        if name.lower() not in allowed:
+            raise GuardError(OUTSIDE_TABLE.format(name.replace(", ", ".")))
+    function = re.search(r"UnresolvedTableValuedFunction \[([^\]]*)\]", plan)
+    if function:
+        raise GuardError(OUTSIDE_TABLE.format(function[1]))
+    if re.search(r"Join Cross\b", plan):
+        raise GuardError(PRODUCT)
 
 
 class GuardedResult:
-    """Result of a guarded SELECT: a capped frame, or its rows as a record."""
+    """Result of a guarded SELECT: a capped frame, or its rows as a record.
+
+    ``frame`` has the statement's columns and, with every row, ``row_count``, the rows
+    given, and ``truncated``, whether there were more. It comes from one plan of at
+    most ``limit + 1`` rows.
+    """
 
     def __init__(self, frame: DataFrame, limit: int):
         self._probe = frame.limit(limit + 1)
         self._limit = limit
-        self.frame = frame.limit(limit)
+        self._columns = frame.columns
+        # At most limit + 1 rows meet in this window.
+        place, total = F.monotonically_increasing_id(), F.count(F.lit(1)).over(Window.partitionBy())
+        numbered = self._probe.select("*", place.alias("_place"), total.alias("_total"))
+        rank = F.row_number().over(Window.orderBy("_place"))
+        self.frame = (
+            numbered.select("*", rank.alias("_rank"))
+            .where(F.col("_rank") <= limit)
+            .select(
+                *[numbered[c] for c in frame.columns],
+                F.least("_total", F.lit(limit)).cast("long").alias("row_count"),
+                (F.col("_total") > limit).alias("truncated"),
+            )
+        )
 
     def collect(self) -> dict:
         """Columns, at most ``limit`` rows, their count, and whether rows were cut."""
@@ -80,13 +128,24 @@ class GuardedResult:
             raise GuardError(str(error)) from error
         kept = [list(row) for row in rows[: self._limit]]
         return {
-            "columns": self.frame.columns,
+            "columns": self._columns,
             "rows": kept,
             "row_count": len(kept),
             "truncated": len(rows) > self._limit,
         }
 
 
+def _child_session(spark: SparkSession) -> SparkSession:
+    """A session with the settings of ``spark`` that reads no files by path and joins no products."""
+    child = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            child.conf.set(key, value)
+    child.conf.set("spark.sql.runSQLOnFiles", "false")
+    child.conf.set("spark.sql.crossJoin.enabled", "false")
+    return child
+
+
 def guarded_select(
     spark: SparkSession,
     sql: str,
@@ -95,17 +154,20 @@ def guarded_select(
 ) -> GuardedResult:
     """Run one SELECT over the given views only.
 
-    The statement runs in a child session that has just these views and may not
-    read files by path. The limit is part of the plan: the full result is never
-    fetched.
+    The statement runs in a child session that has the caller's settings and may
+    name just these views: no table of the catalog, no global view, no file, no
+    table function. The limit is part of the plan: the full result is never fetched.
     """
     check_statement(sql)
-    child = spark.newSession()
-    child.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
-    child.conf.set("spark.sql.runSQLOnFiles", "false")
-    for name, load in views.items():
-        load(child).createOrReplaceTempView(name)
+    child = _child_session(spark)
     try:
-        return GuardedResult(child.sql(sql), limit)
+        check_plan(child, sql, views)
+        for name, load in views.items():
+            load(child).createOrReplaceTempView(name)
+        frame = child.sql(sql)
+        clash = {"row_count", "truncated"} & {c.lower() for c in frame.columns}
+        if clash or len(set(frame.columns)) < len(frame.columns):
+            raise GuardError("columns of the result need names of their own")
+        return GuardedResult(frame, limit)
     except PySparkException as error:
         raise GuardError(str(error)) from error

@@ -129,9 +129,9 @@ def category_frequencies(df: DataFrame, columns=FREQUENCY_COLUMNS) -> DataFrame:
     return counts.agg(F.count(F.lit(1)).alias("n")).orderBy("column_name", F.desc("n"), "value")
 
 
-def top_values(df: DataFrame, column: str, n: int = 10) -> DataFrame:
-    """The ``n`` most frequent values; equal counts go by value."""
-    return value_counts(df, column, dropna=True, order=True).limit(n)
+def top_values(df: DataFrame, column: str, n: int = 10, dropna: bool = True) -> DataFrame:
+    """The ``n`` most frequent values; equal counts go by value, NULL last if it counts."""
+    return value_counts(df, column, dropna=dropna, order=True).limit(n)
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

@@ -17,6 +17,7 @@ from dockside.functions.metrics import (
     line_sums,
     mean_amount,
     mean_of,
+    mean_share,
     total_of,
 )
 from dockside.schema import CANCELED, MARKETS
@@ -26,7 +27,7 @@ SALES = ("sales_units", "sales_millionths", "sales_n")
 RISK_SUMS = ("orders_n", "late_n", "delay_sum", "delay_n", *PROFIT, *SALES)
 MARKET_SUMS = ("orders_n", "late_n", *PROFIT, *SALES)
 CATEGORY_SUMS = (
-    "orders_n", "late_n", "margin_sum", "margin_n", *SALES, *PROFIT,
+    "orders_n", "late_n", "margin_units", "margin_millionths", "margin_n", *SALES, *PROFIT,
 )
 SHIPPING_SUMS = (
     "orders_n", "actual_sum", "actual_n", "planned_sum", "planned_n",
@@ -89,7 +90,7 @@ def risk_json(df: DataFrame, group_by: str, market=None, limit=10, markets=MARKE
         F.lit(validate_market(market, markets) or "all markets").alias("market_filter"),
         F.col("ranked.line").alias("results"),
     )
-    return ranked.select(F.to_json(body).alias("report"))
+    return ranked.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("report"))
 
 
 def finish_market() -> list:
@@ -124,7 +125,7 @@ def finish_category() -> list:
     return [
         F.col("orders_n").alias("orders"),
         late_pct().alias("late_pct"),
-        mean_of("margin", 1, 100.0).alias("margin_pct"),
+        mean_share("margin").alias("margin_pct"),
         total_of("sales").alias("revenue"),
         mean_amount("profit").alias("avg_profit"),
     ]

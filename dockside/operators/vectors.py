@@ -1,30 +1,24 @@
 """Text vectors and nearest-neighbour search for a table of queries."""
 
-import math
-
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, IDF, Normalizer, RegexTokenizer, SQLTransformer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dockside.functions.checks import clamp_k
-from dockside.functions.nearest import matrix, nearest_in_task
-from dockside.session import new_shared_path
+from dockside.functions.checks import at_least_one, clamp_k
+from dockside.functions.nearest import nearest_in_pairs, pack
+from dockside.session import store
 
 # Fixed value: length of a text vector.
 DIMENSIONS = 384
 
-# Queries compared in one pass over the base vectors. With 384 doubles each,
-# one pass ships about 3 MB of query vectors to every executor.
-QUERIES_PER_PASS = 1024
-
-# Hits are narrow rows; up to this many go to every executor to fetch their text.
-HITS_TO_BROADCAST = 100_000
+# Rows packed into one: bounds what a task compares at a time.
+QUERIES_PER_BLOCK = 1024
+ROWS_PER_CHUNK = 8192
 
 
 # ---- text vectors ----------------------------------------------------------
@@ -37,7 +31,7 @@ def fit_vectorizer(corpus: DataFrame, text_col: str = "text", dims: int = DIMENS
     fitting is one distributed pass that counts documents per bucket.
     """
     words = RegexTokenizer(
-        inputCol=text_col, outputCol="_words", pattern="[a-z0-9]+", gaps=False, toLowercase=True
+        inputCol=text_col, outputCol="_words", pattern="[\\p{L}\\p{N}]+", gaps=False, toLowercase=True
     )
     buckets = SQLTransformer(
         statement=(
@@ -78,41 +72,92 @@ def embed_with_model(df: DataFrame, load_model, text_col="text", batch_rows: int
     return df.mapInPandas(encode, schema)
 
 
-def mean_vectors(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
+def finite(vector: str) -> Column:
+    """Whether a vector is there and has only finite numbers."""
+    return F.col(vector).isNotNull() & F.forall(
+        vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    )
+
+
+def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     """One mean vector of unit length per key: ``query_id``, ``embedding``.
 
-    One average per position keeps the rows whole; nothing is exploded.
+    Vectors that are NULL or hold a NULL or non-finite number are left out; those of
+    different lengths under one key stop the job. A zero mean stays zero.
     """
-    means = df.groupBy(F.col(key).alias("query_id")).agg(
-        *[F.avg(F.col(vector)[i].cast("double")).alias(f"m{i}") for i in range(dims)]
-    )
-    mean = means.select("query_id", F.array(*[f"m{i}" for i in range(dims)]).alias("mean"))
+    usable = df.where(finite(vector))
+    points = array_to_vector(F.col(vector).cast("array<double>"))
+    means = usable.groupBy(F.col(key).alias("query_id")).agg(Summarizer.mean(points).alias("mean"))
+    mean = means.select("query_id", vector_to_array("mean").alias("mean"))
     length = F.sqrt(F.aggregate("mean", F.lit(0.0), lambda acc, x: acc + x * x))
-    return mean.select(
-        "query_id",
-        F.transform("mean", lambda x: F.try_divide(x, length)).alias("embedding"),
-    )
+    unit = F.transform("mean", lambda x: F.coalesce(F.try_divide(x, length), F.lit(0.0)))
+    return mean.select("query_id", unit.alias("embedding"))
 
 
 # ---- nearest neighbours ----------------------------------------------------
 
 
-def _one_pass(held: pa.Table, base: DataFrame, k: int, metric: str, id_type) -> DataFrame:
-    """Closest base rows of the held queries; at most k per query and task."""
+def packed_queries(queries: DataFrame, rows: int = QUERIES_PER_BLOCK) -> DataFrame:
+    """Queries in blocks: ``query_ids, query_dims, query_vectors``.
+
+    Ids must be unique and not NULL, vectors finite; one look at the queries, which
+    are then read from the shared folder, makes sure of it.
+    """
+    asked = store(queries.select("query_id", "embedding").where("embedding IS NOT NULL"), "queries")
+    seen = asked.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("query_id").alias("ids"),
+        F.count_if(~finite("embedding")).alias("odd"),
+    ).first()
+    if seen.n != seen.ids:
+        raise ValueError("query_id must be unique and not NULL")
+    if seen.odd:
+        raise ValueError("query vectors must be finite")
+    id_type = asked.schema["query_id"].dataType.simpleString()
+    names = ("query_ids", "query_dims", "query_vectors")
+    return asked.mapInArrow(
+        pack(rows, names), f"query_ids array<{id_type}>, query_dims int, query_vectors binary"
+    )
+
+
+def packed_base(base: DataFrame, rows: int = ROWS_PER_CHUNK, by: str | None = None) -> DataFrame:
+    """Comparable base vectors in chunks: ``doc_ids, doc_dims, doc_vectors``.
+
+    With ``by``, an int column, a chunk has one value of it, which is a column, too.
+    """
+    id_type = base.schema["doc_id"].dataType.simpleString()
+    names = ("doc_ids", "doc_dims", "doc_vectors")
+    usable = base.select("doc_id", "embedding", *([by] if by else [])).where(finite("embedding"))
+    kind = f", {by} int" if by else ""
+    return usable.mapInArrow(
+        pack(rows, (*names, by) if by else names),
+        f"doc_ids array<{id_type}>, doc_dims int, doc_vectors binary{kind}",
+    )
+
+
+def pair_search(pairs: DataFrame, part: Column, k: int, metric: str) -> DataFrame:
+    """The k nearest of every query over pairs of packed queries and base vectors.
+
+    Ranked twice: within ``part``, a number that many pairs share, and then over
+    what these leave, so a query's rows never meet in one task before most are gone.
+    """
+    ids = {n: pairs.schema[n].dataType.elementType for n in ("query_ids", "doc_ids")}
     schema = T.StructType(
         [
-            T.StructField("query_id", id_type),
-            T.StructField("doc_id", base.schema["doc_id"].dataType),
+            T.StructField("query_id", ids["query_ids"]),
+            T.StructField("doc_id", ids["doc_ids"]),
             T.StructField("closeness", T.DoubleType()),
+            T.StructField("part", T.IntegerType()),
         ]
     )
-    if not held.num_rows:
-        return base.sparkSession.createDataFrame([], schema)
-    held = held.combine_chunks()
-    vectors = held["embedding"].combine_chunks()
-    query_ids = held["query_id"].combine_chunks()
-    scan = nearest_in_task(query_ids, matrix(vectors, len(vectors[0])), k, metric)
-    return base.mapInArrow(scan, schema)
+    names = ("query_ids", "query_dims", "query_vectors", "doc_ids", "doc_dims", "doc_vectors")
+    found = pairs.select(*names, part.cast("int").alias("part")).mapInArrow(
+        nearest_in_pairs(k, metric), schema
+    )
+    for keys in (("query_id", "part"), ("query_id",)):
+        order = Window.partitionBy(*keys).orderBy(F.desc("closeness"), F.asc("doc_id"))
+        found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.select("query_id", "doc_id", "closeness", "rank")
 
 
 def knn(
@@ -120,7 +165,7 @@ def knn(
     base: DataFrame,
     k: int = 4,
     metric: str = "cosine",
-    per_pass: int = QUERIES_PER_PASS,
+    per_block: int = QUERIES_PER_BLOCK,
 ) -> DataFrame:
     """The k nearest base vectors of every query.
 
@@ -128,47 +173,27 @@ def knn(
     ``doc_id`` and ``embedding``. The result has ``query_id``, ``doc_id``,
     ``rank``, ``closeness`` (greater is nearer) and ``score``: the cosine, or
     for ``l2sq`` the squared distance, to four places. Equal closeness goes by
-    ``doc_id``.
-
-    Each task multiplies its Arrow batches of base vectors with the query matrix
-    and keeps k rows per query, so the base is read once and never shuffled;
-    only these rows meet in the final ranking. The query side travels with the
-    tasks and is bounded: up to ``per_pass`` queries make one lazy pass. A
-    larger query table is compared in several passes of about that many queries,
-    each written to the shared folder before the next one starts.
-    """
-    return _scored(_nearest(queries, base, clamp_k(k), metric, per_pass)[0], metric)
-
+    ``doc_id``. Base vectors that are NULL or hold a NULL or non-finite number are
+    not comparable and never found; the cosine with a zero vector is 0.
 
-def _nearest(queries, base, k, metric, per_pass) -> tuple[DataFrame, int]:
-    """Ranked rows of :func:`knn` and the number of queries."""
+    The base is read once, in chunks of packed rows that are dealt to as many parts
+    as there are shuffle partitions; every part gets each block of queries. The
+    plan is the same for any number of queries.
+    """
     if metric not in ("cosine", "l2sq"):
         raise ValueError("metric must be cosine or l2sq")
-    queries = queries.select("query_id", "embedding").where("embedding IS NOT NULL")
-    base = base.select("doc_id", "embedding").where("embedding IS NOT NULL")
-    id_type = queries.schema["query_id"].dataType
-    held = queries.limit(per_pass + 1).toArrow()
-    if held.num_rows <= per_pass:
-        _require_unique(held.num_rows, pc.count_distinct(held["query_id"], "only_valid").as_py())
-        return _rank(_one_pass(held, base, k, metric, id_type), k), held.num_rows
-    size = queries.agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("query_id").alias("ids")
-    ).first()
-    _require_unique(size.n, size.ids)
-    spark = base.sparkSession
-    passes = math.ceil(size.n / per_pass)
-    place = F.pmod(F.xxhash64("query_id"), F.lit(passes))
-    path = new_shared_path(spark, "knn")
-    for number in range(passes):
-        held = queries.where(place == number).toArrow()
-        part = _one_pass(held, base, k, metric, id_type)
-        _rank(part, k).write.mode("append").parquet(path)
-    return spark.read.parquet(path), size.n
-
-
-def _require_unique(rows: int, ids: int) -> None:
-    if rows != ids:
-        raise ValueError("query_id must be unique and not NULL")
+    return _scored(_nearest(queries, base, at_least_one(k), metric, per_block), metric)
+
+
+def _nearest(queries, base, k, metric, per_block=QUERIES_PER_BLOCK) -> DataFrame:
+    """Ranked rows of :func:`knn`."""
+    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int")
+    chunks = packed_base(base).withColumn("part", number)
+    blocks = packed_queries(queries, per_block).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    )
+    return pair_search(chunks.join(blocks, "part"), F.col("part"), k, metric)
 
 
 def _scored(ranked: DataFrame, metric: str) -> DataFrame:
@@ -178,33 +203,24 @@ def _scored(ranked: DataFrame, metric: str) -> DataFrame:
     return ranked.select("query_id", "doc_id", "rank", "closeness", score)
 
 
-def _rank(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("closeness"), F.asc("doc_id"))
-    plain = found.select("query_id", "doc_id", "closeness")
-    return plain.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def search(
     queries: DataFrame,
-    corpus: DataFrame,
+    base: DataFrame,
+    texts: DataFrame,
     k: int = 4,
     metric: str = "l2sq",
-    per_pass: int = QUERIES_PER_PASS,
 ) -> DataFrame:
     """Hits with their text: ``query_id, rank, doc_id, text, source, relevance_score``.
 
-    ``corpus`` has ``id``, ``text``, ``source`` and ``embedding``. Relevance is
-    one minus the distance, to three places.
+    ``base`` has ``doc_id`` and ``embedding``, ``texts`` has ``doc_id``, ``text`` and
+    ``source``: only hits meet texts. At most ten hits per query, as a search tool
+    gives. Relevance is one minus the distance, to three places.
     """
-    k = clamp_k(k)
-    base = corpus.select(F.col("id").alias("doc_id"), "embedding")
-    hits, n_queries = _nearest(queries, base, k, metric, per_pass)
-    if n_queries * k <= HITS_TO_BROADCAST:
-        # There are at most k hits per query, so their number is known here.
-        hits = F.broadcast(hits)
+    if metric not in ("cosine", "l2sq"):
+        raise ValueError("metric must be cosine or l2sq")
+    hits = _nearest(queries, base, clamp_k(k), metric)
     distance = -F.col("closeness") if metric == "l2sq" else 1 - F.col("closeness")
-    texts = corpus.select(F.col("id").alias("doc_id"), "text", "source")
-    return texts.join(hits, "doc_id").select(
+    return texts.select("doc_id", "text", "source").join(hits, "doc_id").select(
         "query_id",
         "rank",
         "doc_id",

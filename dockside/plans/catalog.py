@@ -16,16 +16,22 @@ from dockside.operators import (
     requests,
     vectors,
 )
-from dockside.schema import FREQUENCY_COLUMNS, PII_COLUMNS, USEFULNESS_COLUMNS
+from dockside.schema import FREQUENCY_COLUMNS, ORDER_TYPES, PII_COLUMNS, USEFULNESS_COLUMNS
 from dockside.session import materialize, new_shared_path
-from dockside.sources.csv_orders import normalize_columns
-from dockside.sources.star import CLEAN_COLUMNS, RAW_COLUMNS, read_star, sales_orders
-from dockside.streaming.throttle import run_to_table, throttle_stream
+from dockside.sources.csv_orders import normalize_columns, read_orders_csv
+from dockside.sources.star import (
+    CLEAN_COLUMNS,
+    RAW_COLUMNS,
+    lookup_keys,
+    read_star,
+    sales_orders,
+)
+from dockside.sources.tables import load_knowledge, load_orders, write_knowledge, write_table
+from dockside.streaming.throttle import over_limit, run_to_table, throttle_counts
 
 # Fixed values of the test tables.
 TEST_MARKETS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
-VECTOR_LENGTH = 64
 
 SYSTEM_PROMPT = "Answer questions about orders and deliveries."
 
@@ -83,7 +89,7 @@ def _messy(df: DataFrame) -> DataFrame:
 
 def _label_vectors(spark, folder) -> DataFrame:
     vecs = read_star(spark, folder, "embeddings")
-    return vectors.mean_vectors(vecs, "label", "embedding", VECTOR_LENGTH)
+    return vectors.mean_vectors(vecs, "label", "embedding")
 
 
 def _base_vectors(spark, folder) -> DataFrame:
@@ -95,19 +101,33 @@ def _knn_cosine(spark, folder):
     return hits.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def _knn_many(spark, folder):
+    """More hits than a search tool gives, in more blocks than one."""
+    hits = vectors.knn(
+        _label_vectors(spark, folder), _base_vectors(spark, folder), 25, "l2sq", per_block=3
+    )
+    return hits.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+# The cell index of a folder's vectors, built once per application.
+_CELL_INDEX: dict[tuple[str, str], str] = {}
+
+
 def _knn_cells(spark, folder):
-    path = new_shared_path(spark, "cells")
-    cells.build_cells(_base_vectors(spark, folder), path, n_cells=16)
-    hits = cells.knn_cells(_label_vectors(spark, folder), spark, path, 10)
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _CELL_INDEX:
+        path = new_shared_path(spark, "cells")
+        cells.build_cells(_base_vectors(spark, folder), path, n_cells=16)
+        _CELL_INDEX[key] = path
+    hits = cells.knn_cells(_label_vectors(spark, folder), spark, _CELL_INDEX[key], 10)
     return hits.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def _document_hits(spark, folder, k):
-    docs = read_star(spark, folder, "documents").select(
-        F.col("doc_id").alias("id"), "text", "source"
-    )
-    vecs = read_star(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return vectors.search(_label_vectors(spark, folder), docs.join(vecs, "id"), k)
+    docs = read_star(spark, folder, "documents").select("doc_id", "text", "source")
+    # Vectors that have a document; only ids meet here.
+    base = _base_vectors(spark, folder).join(docs.select("doc_id"), "doc_id", "left_semi")
+    return vectors.search(_label_vectors(spark, folder), base, docs, k)
 
 
 def _knn_l2_relevance(spark, folder):
@@ -148,7 +168,8 @@ def _search_corpus(spark, folder):
         F.concat(F.lit("revenue and margin of the category "), F.col("category_name")).alias("text"),
     )
     queries = vectors.embed_corpus(asked, model).select("query_id", "embedding")
-    hits = vectors.search(queries, vectors.embed_corpus(docs, model), 4)
+    docs = docs.withColumnRenamed("id", "doc_id")
+    hits = vectors.search(queries, vectors.embed_corpus(docs, model), docs, 4)
     return hits.select(
         "query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "source", "relevance_score"
     )
@@ -159,6 +180,25 @@ def _guarded_select(spark, folder):
     return guarded_sql.guarded_select(spark, GUARDED_SQL, views).frame
 
 
+def _statement_outcomes(spark, folder):
+    """What the guard makes of one statement of each kind."""
+    kinds = _statements(spark, folder).join(
+        read_star(spark, folder, "events").select("event_id", "event_type"), "event_id"
+    )
+    # One row per kind of event.
+    firsts = kinds.groupBy("event_type").agg(F.min("statement").alias("statement")).collect()
+    views = {"orders": lambda child: sales_orders(child, folder)}
+    outcomes = []
+    for row in firsts:
+        try:
+            found = guarded_sql.guarded_select(spark, row.statement, views).collect()
+            outcome = f"{found['row_count']} row: {found['rows'][0]}"
+        except guarded_sql.GuardError as error:
+            outcome = str(error)
+        outcomes.append((row.event_type, outcome))
+    return spark.createDataFrame(outcomes, "event_type string, outcome string")
+
+
 def _statements(spark, folder) -> DataFrame:
     kind = F.col("event_type")
     value = F.col("user_id").cast("string")
@@ -224,10 +264,11 @@ def _throttle_stream(spark, folder):
         .option("pathGlobFilter", "events.parquet")
         .parquet(folder)
     )
-    windows = throttle_stream(events, "user_id", "ts", limit=1, window="1 hour")
     path = new_shared_path(spark, "throttle")
-    run_to_table(windows, f"{path}/table", f"{path}/checkpoint")
-    found = spark.read.parquet(f"{path}/table")
+    found = run_to_table(
+        throttle_counts(events, "user_id", "ts", window="1 hour"), f"{path}/table", f"{path}/checkpoint"
+    )
+    found = over_limit(found, "user_id", limit=1)
     bounds = [F.col(name).cast("timestamp_ntz").alias(name) for name in ("window_start", "window_end")]
     return found.select("user_id", *bounds, "n", "over")
 
@@ -243,6 +284,42 @@ def _first_use_sequence(spark, folder):
     return uses.select("user_id", F.array_join("sequence", ",").alias("sequence"))
 
 
+def _csv_round_trip(spark, folder):
+    """The raw order table through several Latin-1 CSV files, cleaning and storing."""
+    path = new_shared_path(spark, "round-trip")
+    raw = sales_orders(spark, folder, RAW_COLUMNS)
+    headers = [f" {name.replace('_', ' ').title()} " for name in RAW_COLUMNS]
+    raw.toDF(*headers).repartition(4).write.csv(
+        f"{path}/csv",
+        header=True,
+        encoding="ISO-8859-1",
+        escape='"',
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+        timestampFormat="M/d/yyyy H:mm",
+    )
+    types = {**ORDER_TYPES, "product_status": "int"}
+    read = read_orders_csv(spark, f"{path}/csv", types)
+    write_table(cleaning.clean_orders(read), f"{path}/orders")
+    return load_orders(spark, f"{path}/orders", view=None)
+
+
+def _knowledge_round_trip(spark, folder):
+    """Stored documents by source, and how many of them are their own nearest one."""
+    path = new_shared_path(spark, "knowledge")
+    docs = _corpus(spark, folder)
+    write_knowledge(vectors.embed_corpus(docs, vectors.fit_vectorizer(docs)), path)
+    stored = load_knowledge(spark, path)
+    base = stored.select(F.col("id").alias("doc_id"), "embedding")
+    hits = vectors.knn(base.withColumnRenamed("doc_id", "query_id"), base, 1)
+    own = hits.where("query_id = doc_id").select(F.col("query_id").alias("id"), F.lit(1).alias("own"))
+    return (
+        stored.join(own, "id", "left")
+        .groupBy("source")
+        .agg(F.count(F.lit(1)).alias("n"), F.count("own").alias("found"))
+    )
+
+
 def _duplicates(spark, folder):
     return profiling.duplicate_profile(read_star(spark, folder, "documents").select("text", "lang"))
 
@@ -283,6 +360,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     ),
     "null_profile": _on_orders(profiling.null_profile, RAW_COLUMNS),
     "duplicate_profile": _duplicates,
+    "duplicate_order_rows": _on_orders(profiling.duplicate_profile),
+    "lookup_keys": lookup_keys,
+    "csv_round_trip": _csv_round_trip,
+    "knowledge_round_trip": _knowledge_round_trip,
     "pii_presence": _on_orders(profiling.pii_sample, PII_COLUMNS),
     "non_null_counts": _on_orders(profiling.non_null_counts, USEFULNESS_COLUMNS),
     "delivery_status_counts": _on_orders(
@@ -296,6 +377,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_categories": _on_orders(
         lambda df: profiling.top_values(df, "category_name", 10), ("category_name",)
     ),
+    "top_modes_with_null": _on_orders(
+        lambda df: profiling.top_values(df, "shipping_mode", 10, dropna=False), ("shipping_mode",)
+    ),
     "distinct_markets": _on_orders(
         lambda df: profiling.distinct_values(df, "market"), ("market",)
     ),
@@ -316,12 +400,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lambda df: knowledge.corpus_samples(knowledge.knowledge_corpus(df)), CORPUS
     ),
     "knn_cosine": _knn_cosine,
+    "knn_many": _knn_many,
     "knn_l2_relevance": _knn_l2_relevance,
     "knn_context": _knn_context,
     "knn_cells": _knn_cells,
     "corpus_vectors": _corpus_vectors,
     "search_corpus": _search_corpus,
     "guarded_select": _guarded_select,
+    "statement_outcomes": _statement_outcomes,
     "sql_audit": _sql_audit,
     "sql_audit_counts": _sql_audit_counts,
     "text_guard": _text_guard,

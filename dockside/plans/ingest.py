@@ -18,7 +18,7 @@ def run_ingest(spark: SparkSession, source: str, target: str, top_categories: in
     """
     paths = {name: f"{target}/{name}" for name in ("orders", "knowledge", "vectorizer")}
     write_table(clean_orders(read_orders_csv(spark, source)), paths["orders"])
-    orders = load_orders(spark, paths["orders"])
+    orders = load_orders(spark, paths["orders"], view=None)
     docs = materialize(knowledge_corpus(orders, top_categories))
     vectorizer = fit_vectorizer(docs)
     write_knowledge(embed_corpus(docs, vectorizer), paths["knowledge"])

@@ -1,6 +1,7 @@
 """The same queries as ANSI SQL over the star-schema test tables, for checking."""
 
 from dockside.functions.text import BLANK_CODES, LEADING_MARKS
+from dockside.operators.guarded_sql import BLOCKED_WORD, NOT_SELECT
 from dockside.operators.requests import EMPTY_MESSAGE, LONG_MESSAGE, MAX_CHARS
 from dockside.plans.catalog import (
     EVENT_TYPES,
@@ -15,7 +16,7 @@ from dockside.schema import (
     USEFULNESS_COLUMNS,
 )
 from dockside.sources.csv_orders import normalize_name
-from dockside.sources.star import RAW_COLUMNS
+from dockside.sources.star import CLEAN_COLUMNS, RAW_COLUMNS
 
 SALES = """
 base AS (
@@ -225,6 +226,15 @@ COLUMN_SAMPLES = " UNION ALL ".join(
     for name in RAW_COLUMNS
 )
 
+# Lookup tables and their keys.
+LOOKUP_KEYS = {
+    "orders": "o_orderkey",
+    "customer": "c_custkey",
+    "nation": "n_nationkey",
+    "region": "r_regionkey",
+    "part": "p_partkey",
+}
+
 _DROPPED = (*PII_COLUMNS, *SPARSE_COLUMNS)
 _KEPT = [name for name in RAW_COLUMNS if name not in _DROPPED]
 CLEANED = (
@@ -270,6 +280,8 @@ KNN_CELLS = f"""
     FROM pairs)
   SELECT query_id, doc_id, ROUND(distance, 4) + 0.0 AS score, rank FROM ranked WHERE rank <= 10"""
 
+KNN_MANY = KNN_CELLS.replace("rank <= 10", "rank <= 25")
+
 DOCUMENT_HITS = f"""
   {CENTROIDS},
   pairs AS (
@@ -292,9 +304,9 @@ TEXT_VECTORS = """
       'revenue and margin of the category ' || category_name AS text
     FROM sales_orders WHERE category_name IS NOT NULL),
   doc_words AS (
-    SELECT id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM corpus),
+    SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS word FROM corpus),
   ask_words AS (
-    SELECT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM asked),
+    SELECT query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS word FROM asked),
   doc_tf AS (
     SELECT id, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % 384 AS bucket, COUNT(*) AS tf
     FROM doc_words GROUP BY ALL),
@@ -474,6 +486,25 @@ ORACLE_SQL: dict[str, str] = {
         COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT text, lang FROM documents))
           AS duplicate_rows
       FROM documents""",
+    "duplicate_order_rows": _orders("""
+      SELECT COUNT(*) AS total_rows,
+        (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM sales_clean)) AS distinct_rows,
+        COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM sales_clean)) AS duplicate_rows
+      FROM sales_clean""".replace(
+        "sales_clean", f"(SELECT {', '.join(CLEAN_COLUMNS)} FROM sales_orders)"
+    )),
+    "lookup_keys": " UNION ALL ".join(
+        f"SELECT '{table}' AS table_name, COUNT(*) AS n_rows, COUNT(DISTINCT {key}) AS n_keys,"
+        f" COUNT(*) - COUNT({key}) AS n_nulls FROM {table}"
+        for table, key in LOOKUP_KEYS.items()
+    ),
+    "csv_round_trip": f"WITH {SALES}, {CLEANED} SELECT * FROM cleaned",
+    "knowledge_round_trip": _corpus(
+        "SELECT source, COUNT(*) AS n, COUNT(*) AS found FROM corpus GROUP BY source"
+    ),
+    "top_modes_with_null": _orders("""
+      SELECT shipping_mode, COUNT(*) AS n FROM sales_orders GROUP BY shipping_mode
+      ORDER BY n DESC, shipping_mode NULLS LAST LIMIT 10"""),
     "pii_presence": _orders(
         _per_column(PII_COLUMNS, "COALESCE(substr(MIN({}), 1, 1) || '***', 'empty')", "sample")
     ),
@@ -518,6 +549,7 @@ ORACLE_SQL: dict[str, str] = {
       SELECT source, id, substr(text, 1, 200) || '...' AS sample FROM corpus
       QUALIFY row_number() OVER (PARTITION BY source ORDER BY id) = 1"""),
     "knn_cosine": KNN_COSINE,
+    "knn_many": KNN_MANY,
     "knn_cells": KNN_CELLS,
     "knn_l2_relevance": f"WITH {DOCUMENT_HITS} SELECT * FROM hits",
     "knn_context": f"""WITH {DOCUMENT_HITS}
@@ -525,9 +557,23 @@ ORACLE_SQL: dict[str, str] = {
       FROM hits GROUP BY query_id""",
     "corpus_vectors": _corpus(CORPUS_VECTORS),
     "search_corpus": _corpus(SEARCH_CORPUS),
-    "guarded_select": _orders(
-        GUARDED_SQL.replace("FROM orders", "FROM sales_orders") + " LIMIT 50"
-    ),
+    "guarded_select": _orders(f"""
+      SELECT *, LEAST(COUNT(*) OVER (), 50) AS row_count, COUNT(*) OVER () > 50 AS truncated
+      FROM ({GUARDED_SQL.replace("FROM orders", "FROM sales_orders")})
+      ORDER BY n DESC, category_name, market LIMIT 50"""),
+    "statement_outcomes": f"""
+      WITH {SALES}, {STATEMENTS},
+      first_ones AS (
+        SELECT event_type, MIN(statement) AS statement FROM audited JOIN events USING (event_id)
+        GROUP BY event_type)
+      SELECT event_type, CASE event_type
+        WHEN 'click' THEN '1 row: [' || (
+          SELECT COUNT(*) FROM sales_orders
+          WHERE order_id = CAST(regexp_extract(statement, '[0-9]+$') AS BIGINT)) || ']'
+        WHEN 'error' THEN '{BLOCKED_WORD.format("--")}'
+        WHEN 'view' THEN '{BLOCKED_WORD.format("update")}'
+        ELSE '{NOT_SELECT}' END AS outcome
+      FROM first_ones""",
     "sql_audit": f"WITH {STATEMENTS} SELECT * FROM audited",
     "sql_audit_counts": f"""WITH {STATEMENTS}
       SELECT verdict, blocked_by, COUNT(*) AS n FROM audited GROUP BY verdict, blocked_by""",
@@ -551,8 +597,7 @@ ORACLE_SQL: dict[str, str] = {
       FROM conversations
       WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')""",
     "throttle_audit": f"WITH {HOURLY} SELECT * FROM busy",
-    "throttle_stream": f"""WITH {HOURLY} SELECT * FROM busy
-      WHERE window_end <= (SELECT MAX(ts) - INTERVAL '5 minutes' FROM events)""",
+    "throttle_stream": f"WITH {HOURLY} SELECT * FROM busy",
     "usage_counts": "SELECT user_id, "
     + ", ".join(f"COUNT(*) FILTER (event_type = '{kind}') AS {kind}" for kind in EVENT_TYPES)
     + " FROM events GROUP BY user_id",

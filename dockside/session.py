@@ -1,5 +1,8 @@
 """Session settings and the shared folder for data that must outlive executors."""
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -8,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 _local_dirs: dict[str, str] = {}
+_run_dirs: set[str] = set()
 
 
 def local_session(cores="*", partitions=8, app="dockside") -> SparkSession:
@@ -27,31 +31,62 @@ def local_session(cores="*", partitions=8, app="dockside") -> SparkSession:
     )
 
 
+def is_local(master: str) -> bool:
+    """One process on one machine; ``local-cluster[...]`` has executors of its own."""
+    return re.fullmatch(r"local(\[[^\]]*\])?", master) is not None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every node can reach, as named by ``spark.checkpoint.dir``.
 
     Only a local master may go without the setting: there the driver's disk is
-    the executors' disk, and a temporary folder is made once per session.
+    the executors' disk, and a temporary folder is made once per session. It goes
+    when the process ends.
     """
     folder = spark.conf.get(CHECKPOINT_KEY, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not is_local(spark.sparkContext.master):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all nodes")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="dockside-")
+        atexit.register(shutil.rmtree, _local_dirs[app], ignore_errors=True)
     return _local_dirs[app]
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one.
+
+    The driver deletes it when its JVM ends in good order.
+    """
+    app = spark.sparkContext.applicationId
+    path = f"{shared_dir(spark)}/dockside-{app}"
+    if path not in _run_dirs:
+        jvm = spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+        _run_dirs.add(path)
+    return path
+
+
 def new_shared_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other run uses; it goes with the application."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder, and read from there."""
+    path = new_shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once on reliable storage, for frames read several times."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+        spark.sparkContext.setCheckpointDir(run_dir(spark))
     return df.checkpoint()

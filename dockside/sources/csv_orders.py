@@ -49,7 +49,7 @@ def read_orders_csv(
 
     The file is read once: names come from the header, types from ``types`` by
     normalised name, so there is no inference pass over the data. A value that
-    does not fit its type stops the read. ``multi_line`` allows line breaks in
+    does not fit its type, or a file with another header, stops the read. ``multi_line`` allows line breaks in
     quoted fields, but such files cannot be split between tasks.
     """
     reader = (
@@ -60,7 +60,10 @@ def read_orders_csv(
         .option("multiLine", multi_line)
     )
     try:
-        raw = reader.csv(path)
+        # The header of one file is held against that of every other one: files whose
+        # columns stand in another order stop the read instead of being mixed up.
+        header = reader.csv(path).schema
+        raw = reader.option("enforceSchema", False).schema(header).csv(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"order file not found: {path}") from error

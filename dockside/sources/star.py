@@ -2,7 +2,9 @@
 
 ``lineitem`` is the fact and gives one row per order line. Every other table is
 looked up by its unique key with a left join, so a lookup never changes the row
-count and only the lookups that the wanted columns need are part of the plan.
+count (:func:`require_unique_keys` makes sure) and only the lookups that the wanted
+columns need are part of the plan. Customers and places are looked up per order,
+before the orders meet the lines, so lines move once for orders and once for parts.
 No side carries a broadcast hint: the session's size threshold decides, and AQE
 splits hot keys of the joins it shuffles.
 """
@@ -171,6 +173,34 @@ def read_star(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[table]).parquet(f"{folder}/{table}.parquet")
 
 
+def _look_up(df: DataFrame, spark: SparkSession, folder: str, table: str) -> DataFrame:
+    left, right, _ = _LOOKUPS[table]
+    return df.join(read_star(spark, folder, table), F.col(left) == F.col(right), "left")
+
+
+def lookup_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows, different keys and NULL keys of every lookup table; a good table has no surplus."""
+    found = None
+    for table, (_, key, _) in _LOOKUPS.items():
+        counts = read_star(spark, folder, table).groupBy(F.col(key).alias("k")).agg(
+            F.count(F.lit(1)).alias("n")
+        )
+        line = counts.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+            F.count("k").alias("n_keys"),
+            F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("n"))), F.lit(0)).alias("n_nulls"),
+        ).select(F.lit(table).alias("table_name"), "*")
+        found = line if found is None else found.unionByName(line)
+    return found
+
+
+def require_unique_keys(spark: SparkSession, folder: str) -> None:
+    """Raise ``ValueError`` if a lookup table has a key twice, which would repeat order lines."""
+    rows = lookup_keys(spark, folder).where("n_rows - n_nulls > n_keys").collect()
+    if rows:
+        raise ValueError(f"repeated keys in: {', '.join(sorted(r.table_name for r in rows))}")
+
+
 def sales_orders(spark: SparkSession, folder: str, columns=CLEAN_COLUMNS) -> DataFrame:
     """Order lines with the named columns; a missing lookup row gives NULLs."""
     known = {**_COLUMNS, **_RAW_COLUMNS}
@@ -179,10 +209,14 @@ def sales_orders(spark: SparkSession, folder: str, columns=CLEAN_COLUMNS) -> Dat
         for lookup in known[name][0]:
             needed |= {lookup, *_LOOKUPS[lookup][2]}
     df = read_star(spark, folder, "lineitem")
-    for table, (left, right, _) in _LOOKUPS.items():
-        if table in needed:
-            side = read_star(spark, folder, table)
-            df = df.join(side, F.col(left) == F.col(right), "left")
+    if "orders" in needed:
+        side = read_star(spark, folder, "orders")
+        for table in ("customer", "nation", "region"):
+            if table in needed:
+                side = _look_up(side, spark, folder, table)
+        df = df.join(side, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    if "part" in needed:
+        df = _look_up(df, spark, folder, "part")
     for stage in _SHARED:
         usable = {name: make() for name, make in stage.items() if _SHARED_LOOKUPS[name] in needed}
         df = df.withColumns(usable) if usable else df

@@ -19,6 +19,9 @@ VERDICTS = {
     "SELECT 1 -- note": ("blocked", "--"),
     "SELECT 1; DROP TABLE t": ("blocked", "drop"),
     "SELECT execute": ("blocked", "exec"),
+    "SELECT reflect('a', 'b')": ("blocked", "reflect"),
+    "SELECT `input_file_name` ()": ("blocked", "input_file_name"),
+    "SELECT 'reflected', 'it''s reflect(1)' AS x": ("ok", None),
 }
 
 
@@ -53,7 +56,9 @@ def test_cap(spark, rows, kept, cut):
     record = result.collect()
     assert record["columns"] == ["order_id"]
     assert (len(record["rows"]), record["row_count"], record["truncated"]) == (kept, kept, cut)
-    assert result.frame.count() == kept
+    rows = result.frame.collect()
+    assert [row.order_id for row in rows] == list(range(kept))
+    assert {(row.row_count, row.truncated) for row in rows} <= {(kept, cut)}
 
 
 def test_limit_is_in_the_plan(spark):
@@ -77,3 +82,50 @@ def test_only_given_views(spark):
     spark.range(1).createOrReplaceTempView("private_view")
     with pytest.raises(g.GuardError):
         g.guarded_select(spark, "SELECT * FROM private_view", views(1))
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT * FROM global_temp.secret",
+        "SELECT (SELECT MAX(x) FROM global_temp.secret) FROM orders",
+        "SELECT * FROM saved_table",
+        "SELECT * FROM default.orders",
+        "SELECT * FROM range(5)",
+        "SELECT 1 FROM orders WHERE EXISTS (SELECT 1 FROM saved_table)",
+    ],
+)
+def test_no_relation_but_the_views(spark, sql):
+    spark.sql("SELECT 42 AS x").createOrReplaceGlobalTempView("secret")
+    with pytest.raises(g.GuardError, match="given views"):
+        g.guarded_select(spark, sql, views(1))
+
+
+def test_saved_tables_stay_hidden(spark, tmp_path):
+    spark.sql("DROP TABLE IF EXISTS saved_numbers")
+    spark.range(3).write.option("path", str(tmp_path / "saved")).saveAsTable("saved_numbers")
+    try:
+        with pytest.raises(g.GuardError, match="given views"):
+            g.guarded_select(spark, "SELECT * FROM saved_numbers", views(1))
+    finally:
+        spark.sql("DROP TABLE saved_numbers")
+
+
+def test_no_products(spark):
+    for sql in ("SELECT 1 AS x FROM orders a, orders b", "SELECT 1 AS x FROM orders a CROSS JOIN orders b"):
+        with pytest.raises(g.GuardError):
+            g.guarded_select(spark, sql, views(2)).collect()
+
+
+def test_literals_and_settings(spark):
+    record = g.guarded_select(spark, "SELECT 'reflected' AS word FROM orders", views(1)).collect()
+    assert record["rows"] == [["reflected"]]
+    child = g._child_session(spark)
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        assert child.conf.get(key) == spark.conf.get(key)
+
+
+def test_names_of_result_columns(spark):
+    for sql in ("SELECT 1 AS row_count FROM orders", "SELECT order_id, order_id FROM orders"):
+        with pytest.raises(g.GuardError, match="names"):
+            g.guarded_select(spark, sql, views(1))

@@ -70,3 +70,30 @@ def test_hot_order_and_category(spark, tmp_path):
     )
     mine = reports.market_report(df).select("market", "total_orders", "total_sales")
     assert sorted(as_rows(mine)) == sorted(as_rows(direct))
+
+
+def exchanged_lines(df):
+    """Shuffles that rows of the fact table pass."""
+    plan = plan_of(df)
+    depth, count, stack = 0, 0, []
+    for line in plan.split("\n"):
+        depth = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        stack = [(d, e) for d, e in stack if d < depth] + [(depth, "Exchange hash" in line)]
+        if "lineitem.parquet" in line:
+            count = sum(e for _, e in stack)
+    return count
+
+
+def test_lines_move_once_for_orders_and_once_for_parts(spark, without_broadcast):
+    df = sales_orders(spark, FOLDER, ("market", "category_name", "sales"))
+    assert 1 <= exchanged_lines(df) <= 2
+    df = sales_orders(spark, FOLDER, ("market", "customer_segment", "sales"))
+    assert exchanged_lines(df) == 1
+
+
+def test_search_moves_no_text_before_the_hits(spark, without_broadcast):
+    df = QUERIES["knn_l2_relevance"](spark, FOLDER)
+    plan = plan_of(df)
+    scans = [line for line in plan.split("\n") if "documents.parquet" in line]
+    assert sum("text" in line.split("ReadSchema")[-1] for line in scans) == 1
+    assert plan.count("embeddings.parquet") == 1

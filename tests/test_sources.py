@@ -1,11 +1,17 @@
+import os
+import pathlib
+import subprocess
+import sys
+import time
+
 import pytest
 from pyspark.errors import PySparkException
 
 from conftest import as_rows, order_line
 from dockside.plans.ingest import run_ingest
-from dockside.session import shared_dir
+from dockside.session import is_local, shared_dir
 from dockside.sources.csv_orders import normalize_columns, normalize_name, read_orders_csv
-from dockside.sources.star import CLEAN_COLUMNS, RAW_COLUMNS, sales_orders
+from dockside.sources.star import CLEAN_COLUMNS, RAW_COLUMNS, require_unique_keys, sales_orders
 from dockside.sources.tables import load_orders, load_knowledge, write_table
 
 HEADER = (
@@ -113,3 +119,66 @@ def test_star_reads_only_what_is_needed(spark):
 
 def test_shared_folder_is_stable(spark):
     assert shared_dir(spark) == shared_dir(spark)
+
+
+def test_files_with_columns_in_another_order_are_refused(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "a.csv").write_text("Market,Category Name\nEurope,Cleats\n")
+    (folder / "b.csv").write_text("Category Name,Market\nCleats,Europe\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_orders_csv(spark, str(folder)).collect()
+    (folder / "b.csv").write_text("Market,Category Name\nAfrica,Shoes\n")
+    got = {tuple(r) for r in read_orders_csv(spark, str(folder)).collect()}
+    assert got == {("Europe", "Cleats"), ("Africa", "Shoes")}
+
+
+def test_lookup_keys_must_be_unique(spark, tmp_path):
+    source = "/root/testdata/sf0.001"
+    require_unique_keys(spark, source)
+    for table in ("orders", "customer", "nation", "region", "part"):
+        df = spark.read.parquet(f"{source}/{table}.parquet")
+        df = df.union(df.limit(1)) if table == "part" else df
+        df.write.parquet(f"{tmp_path}/{table}.parquet")
+    with pytest.raises(ValueError, match="part"):
+        require_unique_keys(spark, str(tmp_path))
+
+
+@pytest.mark.parametrize(
+    "master, local",
+    [
+        ("local", True),
+        ("local[4]", True),
+        ("local[*]", True),
+        ("local[2,3]", True),
+        ("local-cluster[2,1,1024]", False),
+        ("spark://host:7077", False),
+        ("yarn", False),
+    ],
+)
+def test_which_masters_are_local(master, local):
+    assert is_local(master) is local
+
+
+def test_own_folder_goes_with_the_application(tmp_path):
+    code = (
+        "from dockside.session import local_session, new_shared_path, shared_dir, store\n"
+        "spark = local_session(1)\n"
+        "store(spark.range(3), 'x')\n"
+        "import os; assert os.listdir(shared_dir(spark))\n"
+        "spark.stop()\n"
+    )
+    root = pathlib.Path(__file__).resolve().parent.parent
+    setting = f"--conf spark.checkpoint.dir={tmp_path} pyspark-shell"
+    subprocess.run(
+        [sys.executable, "-c", code],
+        cwd=root,
+        check=True,
+        timeout=300,
+        env={**os.environ, "PYSPARK_SUBMIT_ARGS": setting},
+    )
+    for _ in range(100):
+        if not list(tmp_path.glob("dockside-*")):
+            break
+        time.sleep(0.1)  # the JVM ends after the driver's Python
+    assert not list(tmp_path.glob("dockside-*"))
