@@ -100,4 +100,77 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# SQL of what SQL can express; tests compare the other queries with brute force.
+
+_WORDS = r"""
+  regexp_extract_all(
+    translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
+"""
+
+CONTAMINATION = f"""
+  WITH docs AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+  items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS ws FROM benchmark),
+  windows AS (
+    SELECT DISTINCT item_id, LEAST(13, len(ws)) AS size,
+      array_to_string(ws[i:i + LEAST(13, len(ws)) - 1], ' ') AS words
+    FROM (SELECT *, unnest(range(1, GREATEST(2, len(ws) - 11))) AS i FROM items WHERE len(ws) > 0)),
+  sizes AS (SELECT DISTINCT size FROM windows),
+  places AS (
+    SELECT doc_id, size, i, array_to_string(ws[i:i + size - 1], ' ') AS words
+    FROM (
+      SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS i
+      FROM docs, sizes WHERE len(ws) >= size)),
+  found AS (SELECT doc_id, size, i, item_id FROM places JOIN windows USING (size, words)),
+  hits AS (
+    SELECT doc_id, COUNT(DISTINCT p) AS n_hit FROM (
+      SELECT doc_id, unnest(range(i, i + size)) AS p
+      FROM (SELECT DISTINCT doc_id, size, i FROM found)) GROUP BY doc_id),
+  named AS (
+    SELECT doc_id, COUNT(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names
+    FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+  SELECT doc_id, len(ws) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items,
+    sha256(COALESCE(names, '')) AS items_sha256,
+    COALESCE(n_hit, 0) > 0 AND 20 * COALESCE(n_hit, 0) >= len(ws) AS contaminated
+  FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+REPEATS = r"""
+  WITH docs AS (
+    SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+  windows AS (
+    SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS words
+    FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM docs)),
+  firsts AS (SELECT words, MIN(doc_id) AS first_id FROM windows GROUP BY words),
+  gone AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p
+    FROM windows JOIN firsts USING (words) WHERE first_id < doc_id),
+  placed AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM docs),
+  kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, COUNT(*) AS n
+    FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+  SELECT doc_id, len(ws) AS n_words, len(ws) - COALESCE(n, 0) AS n_removed,
+    sha256(COALESCE(kept, '')) AS kept_sha256
+  FROM docs LEFT JOIN kept USING (doc_id)"""
+
+NEAREST = """
+  WITH held AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x:
+        x IS NULL OR isnan(x) OR isinf(x)), true)
+      AND list_contains(list_transform(embedding, lambda x: x <> 0), true)),
+  parts AS (
+    SELECT q.vec_id AS query_id, b.vec_id AS vec_id,
+      list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * b.e[i]),
+        lambda s, x: s + x) AS score
+    FROM held q JOIN held b ON q.vec_id % 20 = 0 AND b.vec_id <> q.vec_id AND len(q.e) = len(b.e)),
+  ranked AS (
+    SELECT query_id, CAST(row_number() OVER (
+      PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM parts)
+  SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": CONTAMINATION,
+    "op4_nearest": NEAREST,
+    "op6_substring_dedup": REPEATS,
+}
