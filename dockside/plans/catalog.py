@@ -289,15 +289,15 @@ def _csv_round_trip(spark, folder):
     path = new_shared_path(spark, "round-trip")
     raw = sales_orders(spark, folder, RAW_COLUMNS)
     headers = [f" {name.replace('_', ' ').title()} " for name in RAW_COLUMNS]
-    raw.toDF(*headers).repartition(4).write.csv(
-        f"{path}/csv",
+    writer = raw.toDF(*headers).repartition(4).write.options(
         header=True,
         encoding="ISO-8859-1",
         escape='"',
         ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False,
-        timestampFormat="M/d/yyyy H:mm",
+        timestampNTZFormat="M/d/yyyy H:mm",
     )
+    writer.csv(f"{path}/csv")
     types = {**ORDER_TYPES, "product_status": "int"}
     read = read_orders_csv(spark, f"{path}/csv", types)
     write_table(cleaning.clean_orders(read), f"{path}/orders")

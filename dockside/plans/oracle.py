@@ -569,9 +569,9 @@ ORACLE_SQL: dict[str, str] = {
       SELECT event_type, CASE event_type
         WHEN 'click' THEN '1 row: [' || (
           SELECT COUNT(*) FROM sales_orders
-          WHERE order_id = CAST(regexp_extract(statement, '[0-9]+$') AS BIGINT)) || ']'
-        WHEN 'error' THEN '{BLOCKED_WORD.format("--")}'
-        WHEN 'view' THEN '{BLOCKED_WORD.format("update")}'
+          WHERE order_id = TRY_CAST(regexp_extract(statement, '[0-9]+$') AS BIGINT)) || ']'
+        WHEN 'error' THEN '{BLOCKED_WORD.format("--").replace("'", "''")}'
+        WHEN 'view' THEN '{BLOCKED_WORD.format("update").replace("'", "''")}'
         ELSE '{NOT_SELECT}' END AS outcome
       FROM first_ones""",
     "sql_audit": f"WITH {STATEMENTS} SELECT * FROM audited",
