@@ -12,17 +12,19 @@ def _per_column(df: DataFrame, measures: dict[str, Column], name, value) -> Data
     return wide.unpivot([], list(measures), name, value)
 
 
+def schema_fields(df: DataFrame) -> list[tuple[int, str, str]]:
+    """Position, name and type of every column; metadata only, no job."""
+    return [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
+
+
 def describe_schema(df: DataFrame) -> DataFrame:
     """Position, name, type and non-NULL count of every column."""
     counts = non_null_counts(df, df.columns)
     fields = F.create_map(
         *[
             item
-            for place, field in enumerate(df.schema.fields)
-            for item in (
-                F.lit(field.name),
-                F.struct(F.lit(place), F.lit(field.dataType.simpleString())),
-            )
+            for place, name, kind in schema_fields(df)
+            for item in (F.lit(name), F.struct(F.lit(place), F.lit(kind)))
         ]
     )
     info = F.element_at(fields, F.col("column_name"))

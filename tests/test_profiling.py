@@ -84,3 +84,8 @@ def test_cleaning(people):
     assert dict(as_rows(cleaning.remaining_nulls(cleaned))) == {"order_id": 2, "order_status": 2}
     # Cleaning again finds nothing to drop.
     assert cleaning.clean_orders(cleaned).columns == cleaned.columns
+
+
+def test_schema_without_a_job(spark):
+    df = spark.createDataFrame([], "a long, b string")
+    assert profiling.schema_fields(df) == [(0, "a", "bigint"), (1, "b", "string")]
