@@ -273,10 +273,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
-        least = least.select("a", F.least("a", "m").alias("m"))
+        # Stored, so that Spark can split a hub's links when it joins them.
+        least = store(least.select("a", F.least("a", "m").alias("m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = store(large.where("a <> b").distinct(), "large")
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small_least = store(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(small_least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(
             small_least.select("a", F.col("m").alias("b"))
@@ -307,7 +308,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     named = store(named, "roots")
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_fp = named.join(smallest, "root").select("fp", "component_id")
+    by_fp = store(named.join(smallest, "root").select("fp", "component_id"), "components")
     return marked.join(by_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

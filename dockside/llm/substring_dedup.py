@@ -200,7 +200,8 @@ def whole_copies(blocks: DataFrame) -> DataFrame:
     least = marked.groupBy("digest").agg(
         F.min("doc_id").alias("least"), F.max("doc_id").alias("most")
     )
-    repeated = least.where("least < most").select("digest", "least")
+    # Stored, so that Spark can split a hot text's rows when it joins them.
+    repeated = store(least.where("least < most").select("digest", "least"), "digests")
     found = marked.join(repeated, "digest").where("doc_id > least")
     return store(
         found.select(
