@@ -23,7 +23,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).where("predicted = 0").select(*docs.columns)
+    return docs.where(toxicity.score_column(model) < 0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

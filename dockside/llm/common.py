@@ -1,5 +1,7 @@
 """Small helpers that the operators of this package share."""
 
+import ctypes
+import gc
 import sys
 import types
 
@@ -7,7 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dockside.session import new_shared_path
+from dockside.session import store
+
+__all__ = [
+    "LOWER_BYTES", "WORD_BYTES", "partitions_for", "record_batch", "store", "text_bytes",
+    "words_of", "worker_memo",
+]
 
 # Lower-cased letters and digits of ASCII, and every byte of other characters,
 # stay; all else becomes a blank. After it, bytes.split() gives the words.
@@ -30,13 +37,6 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the folder all nodes share, and read from there."""
-    path = new_shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions_for(df: DataFrame, rows: int, per_task: int) -> int:
     """Shuffle partitions, more of them where a task would get over ``per_task`` rows."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -49,6 +49,19 @@ def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 
 def worker_memo(name: str) -> dict:
-    """A dict that lives as long as the Python worker, for values that are costly to make."""
-    module = sys.modules.setdefault("_dockside_worker", types.ModuleType("_dockside_worker"))
-    return module.__dict__.setdefault(name, {})
+    """A dict of the Python worker for values that are costly to make.
+
+    A worker serves many tasks, of many operators; it keeps one such dict at a time
+    and gives memory back when another one is asked for.
+    """
+    held = sys.modules.setdefault("_dockside_worker", types.ModuleType("_dockside_worker")).__dict__
+    memos = held.setdefault("memos", {})
+    if name not in memos:
+        memos.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+        memos[name] = {}
+    return memos[name]

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from dockside.llm.common import record_batch, store, worker_memo
 
 # Words that a worker remembers at most.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 # Sources that a mixture can have; their totals and quanta go to every task.
 MOST_SOURCES = 10_000
@@ -131,9 +131,9 @@ def encode_documents(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
         part = TaskContext.get().partitionId()
         served: dict[str, int] = {}
         for batch in batches:
-            # Some thousand texts at a time: ids take the place of texts.
-            for start in range(0, batch.num_rows, 2048):
-                ids, texts, sources = batch.slice(start, 2048).columns
+            # A thousand texts at a time: ids take the place of texts.
+            for start in range(0, batch.num_rows, 1024):
+                ids, texts, sources = batch.slice(start, 1024).columns
                 flat, cuts = encoder.encode(texts)
                 raw, cuts = flat.tobytes(), (2 * cuts).tolist()
                 found = [raw[a:b] + end for a, b in zip(cuts, cuts[1:])]

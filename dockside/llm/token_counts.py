@@ -32,7 +32,7 @@ SPLIT = (
 CONTRACTIONS = frozenset(["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"])
 
 # Words that a worker remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 # Count of a word that cannot be counted by itself.
 UNEVEN = -(1 << 40)
@@ -99,7 +99,7 @@ class Counter:
             start = self.bytes_of[left] if left is not None else b""
             wanted = [left, right] if left is not None else [right]
             known = self.fits[key] = self.merged(start + self.bytes_of[right]) == wanted
-            if len(self.fits) > 4 * REMEMBERED:
+            if len(self.fits) > 2 * REMEMBERED:
                 self.fits.clear()
         return known
 

@@ -28,6 +28,9 @@ BUCKETS = 1 << 20
 # Beginnings of words, in bytes, that are features beside the words themselves.
 BEGINNINGS = (4, 5, 6, 7, 8)
 
+# Words that a worker remembers at most.
+REMEMBERED = 200_000
+
 # Lists of words that may stand for each other; the first ones are neutral.
 IDENTITY_LISTS = (
     "people persons women men muslims christians jews hindus buddhists atheists immigrants"
@@ -67,11 +70,15 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of some buckets, of the root of the number of words, and the bias."""
+    """Weights of some buckets, of the root of the number of words, and the bias.
+
+    ``empty`` are the log-odds of a text without words.
+    """
 
     weights: dict[int, float]
     length: float
     bias: float
+    empty: float
 
     def scores(self, texts: pa.Array, memo: dict | None = None) -> np.ndarray:
         """Probability of label 1 for each text (binary)."""
@@ -87,7 +94,7 @@ class Model:
             if n is None:
                 value = sum(get(f, 0.0) for f in features_of(words[i])) if words[i] else 0.0
                 known[i] = value
-                if len(memo) < 400_000:
+                if len(memo) < REMEMBERED:
                     memo[words[i]] = value
         place = numbered.indices.to_numpy()
         values = np.array(known, np.float64)[place]
@@ -96,6 +103,7 @@ class Model:
         total = np.diff(np.concatenate([[0.0], np.cumsum(values)])[offsets])
         root = np.sqrt(np.diff(np.concatenate([[0], np.cumsum(counted)])[offsets]))
         odds = self.bias + total / np.maximum(root, 1.0) + self.length * root
+        odds = np.where(root > 0, odds, self.empty)
         return 1.0 / (1.0 + np.exp(-np.clip(odds, -500, 500)))
 
 
@@ -139,6 +147,9 @@ def _examples(rows: DataFrame) -> DataFrame:
                             change[f] = change.get(f, 0) + 1
                 change = {f: n for f, n in change.items() if n}
                 out.append((toxic, len(words), buckets, counts, list(change), list(change.values())))
+                if len(out) == 256:
+                    yield record_batch(EXAMPLE, *zip(*out))
+                    out = []
             yield record_batch(EXAMPLE, *(zip(*out) if out else [()] * 6))
 
     return rows.select("toxic", "text").mapInArrow(make, EXAMPLE_TYPE)
@@ -192,7 +203,8 @@ def fit(
 ) -> Model:
     """Fit the model on a bounded sample of the labelled rows (``doc_id``, ``toxic``).
 
-    Without labelled texts of both kinds the model knows no features and gives
+    Both labels weigh alike in training, so scores are no shares: one half lies midway
+    between the kinds. Without labelled texts of both kinds the model knows no features and gives
     every text the smoothed share of label 1, a quarter if there are none.
     """
     examples = store(_examples(training_rows(docs, labels, most_rows)), "examples")
@@ -200,7 +212,7 @@ def fit(
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     prior = float(np.log((toxic + 0.5) / (clean + 1.5)))
     if not clean or not toxic:
-        return Model({}, 0.0, prior)
+        return Model({}, 0.0, prior, prior)
     totals = _totals(examples).where("clean + toxic >= 3").toPandas()  # at most a row per bucket
     seen = (totals.clean + totals.toxic).to_numpy(float)
     share = seen / (clean + toxic)
@@ -210,31 +222,34 @@ def fit(
     names = {f for w in swaps() for f in features_of(w)}
     kept = np.array(sorted(names | set(totals.bucket.to_numpy()[best].tolist())), np.int32)
 
-    schema = EXAMPLE
-
     def narrow(batches):
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                pairs = []
-                for ids, values in (("buckets", "counts"), ("swapped", "changes")):
-                    ids, values = np.array(row[ids], np.int32), np.array(row[values], np.int32)
-                    spot = np.minimum(np.searchsorted(kept, ids), len(kept) - 1)
-                    same = kept[spot] == ids
-                    pairs += [spot[same].astype(np.int32), values[same]]
-                out.append((row["toxic"], row["n_words"], *pairs))
-            yield record_batch(schema, *(zip(*out) if out else [()] * 6))
+            columns = [batch.column("toxic"), batch.column("n_words")]
+            for ids, values in (("buckets", "counts"), ("swapped", "changes")):
+                sizes = pc.list_value_length(batch.column(ids)).to_numpy()
+                row = np.repeat(np.arange(batch.num_rows), sizes)
+                bucket = batch.column(ids).flatten().to_numpy()
+                spot = np.minimum(np.searchsorted(kept, bucket), len(kept) - 1)
+                same = kept[spot] == bucket
+                left = np.bincount(row[same], minlength=batch.num_rows)
+                cuts = pa.array(np.concatenate([[0], np.cumsum(left)]).astype(np.int32))
+                for held in (spot, batch.column(values).flatten().to_numpy()):
+                    part = pa.array(held[same].astype(np.int32))
+                    columns.append(pa.ListArray.from_arrays(cuts, part))
+            yield pa.RecordBatch.from_arrays(columns, names=EXAMPLE.names)
 
     # At most ``most_rows`` rows of the kept features.
     table = examples.mapInArrow(narrow, EXAMPLE_TYPE).toArrow().combine_chunks()
-    weights, length, bias = _train(table, len(kept), prior, swap_penalty, shrink, steps)
-    return Model({int(b): float(w) for b, w in zip(kept, weights) if w}, float(length), float(bias))
+    weights, length, bias = _train(table, len(kept), swap_penalty, shrink, steps)
+    return Model({int(b): float(w) for b, w in zip(kept, weights) if w}, float(length), float(bias), prior)
 
 
-def _train(table: pa.Table, n: int, prior: float, swap_penalty: float, shrink: float, steps: int):
+def _train(table: pa.Table, n: int, swap_penalty: float, shrink: float, steps: int):
     """Accelerated gradient descent on the regularised loss."""
     rows = sorted(table.to_pylist(), key=lambda r: (r["n_words"], r["toxic"], r["buckets"], r["counts"]))
     y = np.array([r["toxic"] for r in rows], float)
+    # Both kinds weigh alike, so that one half lies midway between them.
+    weight = np.where(y > 0, 0.5 / max(y.sum(), 1.0), 0.5 / max((1 - y).sum(), 1.0))
     root = np.sqrt(np.array([r["n_words"] for r in rows], float))
 
     def sparse(ids, values):
@@ -252,7 +267,7 @@ def _train(table: pa.Table, n: int, prior: float, swap_penalty: float, shrink: f
 
     def slopes(w):
         odds = np.bincount(row, value * w[column], len(rows)) + w[n] * lengths + w[n + 1]
-        error = (1 / (1 + np.exp(-np.clip(odds, -500, 500))) - y) / len(rows)
+        error = (1 / (1 + np.exp(-np.clip(odds, -500, 500))) - y) * weight
         out = np.empty(n + 2)
         out[:n] = np.bincount(column, value * error[row], n) + shrink * w[:n] / len(rows) * 10
         out[n], out[n + 1] = (error * lengths).sum(), error.sum()
@@ -265,7 +280,6 @@ def _train(table: pa.Table, n: int, prior: float, swap_penalty: float, shrink: f
 
     # Per-weight steps (Adam): features differ in how often they occur.
     w = np.zeros(n + 2)
-    w[n + 1] = prior
     mean, square = np.zeros(n + 2), np.zeros(n + 2)
     for step in range(1, steps + 1):
         g = slopes(w)
@@ -285,23 +299,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     A NULL or empty text gets the score of a text without words; repeated rows
     give repeated results; columns other than ``doc_id`` and ``text`` are ignored.
     """
-    return scored(docs.select(F.col("doc_id").cast("long"), "text"), model).select(
-        "doc_id", is_held_out().alias("held_out"), "score", "predicted"
+    scored = docs.select(F.col("doc_id").cast("long"), score_column(model).alias("score"))
+    return scored.select(
+        "doc_id",
+        is_held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with the columns ``score`` and ``predicted``; its columns must not have them."""
-    column = F.pandas_udf(_scorer(model), "double")(text_bytes())
-    return docs.withColumn("score", column).withColumn(
-        "predicted", (F.col("score") >= 0.5).cast("int")
-    )
+def score_column(model: Model, text: str = "text") -> Column:
+    """Column: the probability that a text is toxic."""
+    return F.pandas_udf(_scorer(model), "double")(text_bytes(text))
 
 
 def _scorer(model: Model):
     import pandas as pd
 
-    parts = (sorted(model.weights.items()), model.length, model.bias)
+    parts = (sorted(model.weights.items()), model.length, model.bias, model.empty)
     name = "toxicity-" + hashlib.sha256(repr(parts).encode()).hexdigest()
 
     def score_batch(texts: pd.Series) -> pd.Series:

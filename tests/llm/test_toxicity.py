@@ -86,7 +86,8 @@ def test_odd_rows(spark, frames):
     got = toxicity.score(odd, model).collect()
     assert len(got) == 6 and all(0 <= r.score <= 1 for r in got)
     by = {(r.doc_id, round(r.score, 3)): r for r in got}
-    assert len({r.score for r in got if r.doc_id in (1, 2)}) == 1
+    (plain,) = {r.score for r in got if r.doc_id in (1, 2)}
+    assert plain < 0.5
     assert max(by, key=lambda k: k[1])[0] in (4, None)
 
 
