@@ -11,8 +11,9 @@ steps, so a host with a third of all pages costs a few rows per task. The wrappe
 then decides which slots are the article's text: those in the element that marks
 the article, or, where there is none, those in the smallest element that holds
 most of the running text; text that is the same on all pages is the site's own.
-Elements that say they are something else (menus, forms, adverts, comments ...)
-never count.
+Menus, buttons, hidden elements and the like never count. Forms and elements whose
+class or id names something else (adverts, comments ...) are doubtful: they stay in
+the wrapper, which overrules the name where such an element is or holds the article.
 """
 
 import html
@@ -35,7 +36,7 @@ INLINE = frozenset(
 )
 # Elements that are never part of an article's text.
 OTHER = frozenset(
-    "nav footer aside form button select option input label dialog menu head object embed applet"
+    "nav footer aside button select option input label dialog menu head object embed applet"
     " audio video canvas datalist fieldset header".split()
 ) | RAW
 # A start tag of the key closes an open element of the value.
@@ -56,15 +57,20 @@ CLOSE_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3"
     " h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
+# A whole class or id that names something else. The words around the name are from
+# closed lists, so has-sidebar, no-sidebar, tag-legal or comment-content say nothing.
 OTHER_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|sidebar|side-bar|footer|masthead|topbar|toolbar|ad|ads"
+    r"(?:^|\s)(?:(?:site|main|page|post|primary|secondary|top|bottom|left|right|global|mobile|header|footer"
+    r"|social|email|related|google|text)[_-])?"
+    r"(?:nav|navbar|navigation|menu|sidebar|side-bar|footer|masthead|topbar|toolbar|ad|ads"
     r"|advert|adverts|advertisement|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent"
     r"|gdpr|notice|notification|alert|popup|modal|overlay|comment|comments|commentlist|disqus|respond"
     r"|replies|share|sharing|social|related|recommended|breadcrumb|breadcrumbs|newsletter|subscribe"
     r"|signup|login|search|pagination|pager|widget|skip|tags|legal|copyright|outbrain|taboola)"
-    r"(?=$|[\s_-])"
+    r"(?:[_-](?:area|list|box|bar|banner|notice|links?|buttons?|icons?|menu|form|section|posts?|articles?"
+    r"|stories|slot|unit|thread|popup|modal|overlay|consent|\d+))?(?=$|\s)"
 )
-OTHER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
+OTHER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 TAG = re.compile(
@@ -80,6 +86,8 @@ ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'
 NO_TAG = re.compile(r"[^a-z0-9:_-]")
 NO_NAME = re.compile(r"[^a-z_-]")
 
+# The end of a doubtful element's key; no tag or name has it.
+DOUBT = "!"
 # A step of a path: name and number.
 STEP = re.compile(r"/([^/\[]+)\[(\d+)\]")
 
@@ -94,16 +102,19 @@ HOSTS_HELD = 2000
 
 
 class Element:
-    __slots__ = ("tag", "key", "other", "main", "children")
+    __slots__ = ("tag", "key", "other", "main", "doubt", "children")
 
-    def __init__(self, tag, key="", other=False, main=False):
-        self.tag, self.key, self.other, self.main = tag, key or tag, other, main
+    def __init__(self, tag, key="", other=False, main=False, doubt=False):
+        self.tag, self.other, self.main, self.doubt = tag, other, main, doubt
+        # The key of a doubtful element says so.
+        self.key = (key or tag) + DOUBT * doubt
         self.children = []
 
 
 def start_element(tag: str, attributes: str, inside_main: bool) -> Element:
     other = tag in OTHER and not (tag == "header" and inside_main)
     main = tag in ("article", "main")
+    doubt = tag == "form"
     key = tag
     if attributes and TELLING.search(attributes):
         held = {}
@@ -114,9 +125,10 @@ def start_element(tag: str, attributes: str, inside_main: bool) -> Element:
         if names:
             # Only its letters, so that a key can stand in a path.
             key = f"{tag}.{NO_NAME.sub('', names.split()[0])}"
+        if (names and tag not in ("html", "body") and OTHER_NAMES.search(names)) or role == "form":
+            doubt = True
         if (
-            (names and tag not in ("html", "body") and OTHER_NAMES.search(names))
-            or role in OTHER_ROLES
+            role in OTHER_ROLES
             or "hidden" in held
             or held.get("aria-hidden") == "true"
             or ("style" in held and HIDDEN.search(held["style"]))
@@ -124,7 +136,7 @@ def start_element(tag: str, attributes: str, inside_main: bool) -> Element:
             other = True
         elif role == "main" or held.get("itemprop") == "articlebody":
             main = True
-    return Element(tag, key, other, main)
+    return Element(tag, key, other, main, doubt)
 
 
 def parse(page: str) -> Element:
@@ -201,19 +213,24 @@ def has_block(element: Element) -> bool:
     )
 
 
-def inline_text(element, out: list, linked: bool = False) -> int:
-    """Add the text of inline content to ``out``; how many characters of it are linked."""
+def inline_text(element, out: list, doubts: list, linked: bool = False) -> int:
+    """Add the text of inline content to ``out``; how many characters of it are linked.
+
+    Doubtful elements in it go to ``doubts``.
+    """
     links = 0
     for child in element.children:
         if isinstance(child, str):
             out.append(child)
             if linked:
                 links += len(child)
+        elif child.doubt and not child.other:
+            doubts.append(child)
         elif child.tag in ("br", "td", "th"):
             out.append(" ")
-            links += inline_text(child, out, linked)
+            links += inline_text(child, out, doubts, linked)
         elif not child.other:
-            links += inline_text(child, out, linked or child.tag == "a")
+            links += inline_text(child, out, doubts, linked or child.tag == "a")
     return links
 
 
@@ -241,8 +258,12 @@ def parts_of(element: Element) -> list:
         elif child.tag == "br":
             run.append(" ")
         elif child.tag in INLINE and not child.main and not has_block(child):
+            if child.doubt:
+                # Beside the text around it, which goes on.
+                parts.append(child)
+                continue
             part: list[str] = []
-            links += inline_text(child, part, child.tag == "a")
+            links += inline_text(child, part, parts, child.tag == "a")
             if child.tag in ("td", "th"):
                 part = [" ", *part, " "]
             run += part
@@ -380,19 +401,66 @@ def merge_hosts(a: dict, b: dict) -> dict:
 # ---- which slots are the article ------------------------------------------------
 
 
-def running_text(parts: list) -> int:
+def tag_of(name: str) -> str:
+    return name.split(".")[0].rstrip(DOUBT)
+
+
+def doubtful(part: list) -> bool:
+    """Whether a part is a doubtful element that :func:`overrule` has not accepted."""
+    return part[0] == "e" and part[1].endswith(DOUBT) and len(part) == 6
+
+
+def running_text(parts: list, doubts: bool = False) -> int:
     """Characters of unlinked text in slots that differ from page to page."""
     total = 0
     for p in parts:
         if p[0] != "#":
-            total += running_text(p[5])
+            if doubts or not doubtful(p):
+                total += running_text(p[5], doubts)
         elif 2 * p[4] < p[3] and (p[1] is None or p[2] == 1):
             total += p[3] - p[4]
     return total
 
 
+def marked_text(parts: list, doubts: bool = False) -> int:
+    """The part of :func:`running_text` that stands in elements that mark the article."""
+    total = 0
+    for p in parts:
+        if p[0] != "#" and (doubts or not doubtful(p)):
+            total += running_text(p[5], doubts) if p[4] else marked_text(p[5], doubts)
+    return total
+
+
+def overrule(parts: list, whole: int, marks: int, clear: int, inside: bool = False) -> None:
+    """Accept doubtful elements that are or hold the article.
+
+    Around them there is running text of ``whole`` characters, ``marks`` of them in
+    elements that mark the article and ``clear`` of these without doubt. Where there
+    are such, only what holds nearly all text of a mark is accepted; else what has
+    half of the marked text, or, without marks, half of all.
+    """
+    for p in parts:
+        if p[0] == "#":
+            continue
+        if not doubtful(p):
+            overrule(p[5], whole, marks, clear, inside or bool(p[4]))
+            continue
+        text = running_text(p[5], True)
+        if clear:
+            accepted = inside and text > 4 * clear
+        elif marks:
+            accepted = 2 * (text if p[4] or inside else marked_text(p[5], True)) >= marks
+        else:
+            accepted = 2 * text > whole
+        if accepted:
+            p.append(True)
+            held = inside or bool(p[4])
+            now = running_text(p[5]) if held else marked_text(p[5])
+            overrule(p[5], text, text if held else marked_text(p[5], True), now, held)
+
+
 def marked(parts: list) -> bool:
-    return any(p[0] != "#" and (p[4] or marked(p[5])) for p in parts)
+    return any(p[0] != "#" and not doubtful(p) and (p[4] or marked(p[5])) for p in parts)
 
 
 def mark_body(parts: list) -> None:
@@ -400,9 +468,11 @@ def mark_body(parts: list) -> None:
     whole = running_text(parts)
     holder = None
     while whole:
-        inner = [p for p in parts if p[0] != "#" and 10 * running_text(p[5]) >= 7 * whole]
+        inner = [
+            p for p in parts if p[0] != "#" and not doubtful(p) and 10 * running_text(p[5]) >= 7 * whole
+        ]
         # A repeated element or a paragraph is part of the text, not around it.
-        if not inner or inner[0][2] or inner[0][1].split(".")[0] in ("p", "li", "pre", "blockquote"):
+        if not inner or inner[0][2] or tag_of(inner[0][1]) in ("p", "li", "pre", "blockquote"):
             break
         holder, parts = inner[0], inner[0][5]
     if holder is not None:
@@ -412,11 +482,13 @@ def mark_body(parts: list) -> None:
 def prepared(text: str | None) -> dict:
     """A stored wrapper with the article's element marked."""
     wrapper = json.loads(text) if text else {"pages": [], "parts": []}
+    parts = wrapper["parts"]
     wrapper["common"] = len(wrapper["pages"]) >= SAME_ON
-    wrapper["by_mark"] = marked(wrapper["parts"])
+    overrule(parts, running_text(parts, True), marked_text(parts, True), marked_text(parts))
+    wrapper["by_mark"] = marked(parts)
     if not wrapper["by_mark"]:
-        mark_body(wrapper["parts"])
-    wrapper["any"] = marked(wrapper["parts"])
+        mark_body(parts)
+    wrapper["any"] = marked(parts)
     return wrapper
 
 
@@ -433,15 +505,15 @@ class Chooser:
 
     def __init__(self, wrapper: dict):
         self.wrapper = wrapper
-        self.known: dict[tuple[str, bool], bool] = {}
+        self.known: dict[tuple[str, bool, bool, bool], bool] = {}
 
-    def keeps(self, path: str, unlinked: bool, anywhere: bool) -> bool:
-        key = (path, unlinked, anywhere)
+    def keeps(self, path: str, unlinked: bool, anywhere: bool, doubts: bool) -> bool:
+        key = (path, unlinked, anywhere, doubts)
         if key not in self.known:
-            self.known[key] = self._decide(path, unlinked, anywhere)
+            self.known[key] = self._decide(path, unlinked, anywhere, doubts)
         return self.known[key]
 
-    def _decide(self, path, unlinked, anywhere):
+    def _decide(self, path, unlinked, anywhere, doubts):
         slots = flat(self.wrapper["parts"])
         inside, tag, slot = anywhere, "", None
         for step in STEP.findall(path):
@@ -451,7 +523,9 @@ class Chooser:
             slot = held[min(number, len(held) - 1)] if held else None
             if name == "#":
                 break
-            tag = name.split(".")[0]
+            if name.endswith(DOUBT) and not doubts and (slot is None or doubtful(slot)):
+                return False
+            tag = tag_of(name)
             inside = inside or bool(slot and slot[4]) or tag in ("article", "main")
             slots = flat(slot[5]) if slot else []
         if not inside:
@@ -464,12 +538,14 @@ class Chooser:
 
     def article(self, paths: list[str], texts: list[str], unlinked: list[bool]) -> str:
         """The article's blocks, joined by blank lines."""
-        somewhere = self.wrapper["any"]
         rows = list(zip(paths, texts, unlinked))
-        blocks = [t for p, t, u in rows if self.keeps(p, u, not somewhere)]
-        if not blocks and somewhere:
-            # A page unlike the others of its host.
-            blocks = [t for p, t, u in rows if self.keeps(p, u, True)]
+        anywhere = not self.wrapper["any"]
+        # Where the first finds nothing, the page is unlike the others of its host: what a
+        # doubtful element marks, then all that is clear, then all.
+        for where, doubts in ((anywhere, False), (anywhere, True), (True, False), (True, True)):
+            blocks = [t for p, t, u in rows if self.keeps(p, u, where, doubts)]
+            if blocks:
+                break
         return "\n\n".join(blocks)
 
 

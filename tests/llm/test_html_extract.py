@@ -90,3 +90,40 @@ def test_given_pages(spark):
         blocks = [" ".join(html.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in blocks]
         assert row.text == "\n\n".join(b for b in blocks if b)
     assert len(rows) == len(pages)
+
+
+STORY = "<h1>Head {n}</h1><p>Story {n} goes on for a while, told here {n} times.</p><p>And it ends {n}.</p>"
+TOLD = "Head {n}\n\nStory {n} goes on for a while, told here {n} times.\n\nAnd it ends {n}."
+
+
+@pytest.mark.parametrize(
+    "layout",
+    [
+        "<main class='content has-sidebar'>{s}</main>",
+        "<div class='no-sidebar'>{s}</div>",
+        "<article class='post tag-legal category-social'>{s}</article>",
+        "<div class='elementor-widget-container'>{s}</div>",
+        "<div id='comment-content'>{s}</div>",
+        # Names that do say something else.
+        "<main class='legal'>{s}</main>",
+        "<div class='widget'>{s}</div>",
+        "<div class='widget'><article>{s}</article></div>",
+        "<article><div class='widget'>{s}</div></article>",
+        "<form action=x><div class=top><a href=y>Site</a></div><div class=b>{s}</div></form>",
+        "<form action=x><article>{s}</article><div class=comments><article>Rude {n}</article></div></form>",
+    ],
+)
+def test_names_that_only_seem_to_say_something_else(extract, layout):
+    page = "<body><nav>Menu</nav>" + layout + "<div class='comments'><p>So {n}</p></div></body>"
+    pages = [page.replace("{s}", STORY).replace("{n}", f"no{i}") for i in range(6)]
+    got = extract([(i, "http://n.example/", p) for i, p in enumerate(pages)])
+    for i, row in got.items():
+        assert row.text == TOLD.replace("{n}", f"no{i}")
+
+
+def test_a_doubtful_article_among_clear_ones(extract):
+    pages = ["<body><div>Top</div><article>" + STORY + "</article></body>"] * 8
+    pages += ["<body><div>Top</div><form><article class=legal>" + STORY + "</article></form></body>"]
+    got = extract([(i, "http://o.example/", p.replace("{n}", f"no{i}")) for i, p in enumerate(pages)])
+    for i, row in got.items():
+        assert row.text == TOLD.replace("{n}", f"no{i}")
