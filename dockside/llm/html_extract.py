@@ -29,7 +29,10 @@ from pyspark.sql import functions as F
 from dockside.llm.common import record_batch, store
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
+FOREIGN = frozenset(("svg", "math"))
+# In these foreign elements HTML goes on.
+HTML_IN = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt"
     " ruby s samp small span strike strong sub sup time tt u var wbr td th input label".split()
@@ -38,7 +41,7 @@ INLINE = frozenset(
 OTHER = frozenset(
     "nav footer aside button select option input label dialog menu head object embed applet"
     " audio video canvas datalist fieldset header".split()
-) | RAW
+) | RAW | FOREIGN | {"template"}
 # A start tag of the key closes an open element of the value.
 CLOSES = {
     "li": ("li",),
@@ -81,6 +84,7 @@ TAG = re.compile(
     r"[^>]*+(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
+START = re.compile(r"<(?:[^>\"']|\"[^\"]*\"|'[^']*')*>")
 TELLING = re.compile(r"class|id\s*=|role|hidden|style|itemprop", re.IGNORECASE)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NO_TAG = re.compile(r"[^a-z0-9:_-]")
@@ -139,17 +143,35 @@ def start_element(tag: str, attributes: str, inside_main: bool) -> Element:
     return Element(tag, key, other, main, doubt)
 
 
+def foreign_at(stack: list[Element]) -> int:
+    """Place of the open svg or math that a tag stands in; 0 where HTML is."""
+    for i in range(len(stack) - 1, 0, -1):
+        if stack[i].tag in HTML_IN:
+            break
+        if stack[i].tag in FOREIGN:
+            while stack[i - 1].tag in FOREIGN:
+                i -= 1
+            return i
+    return 0
+
+
 def parse(page: str) -> Element:
     """The page as a tree; missing and crossed end tags are mended."""
     root = Element("#root")
     stack = [root]
     mains = others = at = 0
-    for match in TAG.finditer(page):
+    while match := TAG.search(page, at):
         begin, after = match.span()
         if begin > at and not others:
             stack[-1].children.append(page[at:begin])
         at = after
         raw, ending, name, attributes = match.groups()
+        if raw is not None and others and foreign_at(stack):
+            # In svg and math such an element may be closed by its start tag.
+            start = START.match(page, begin)
+            if start and start.group().endswith("/>"):
+                at = start.end()
+                continue
         if name is None:
             if raw is not None and not others:
                 stack[-1].children.append(Element(raw.lower(), other=True))
@@ -172,6 +194,12 @@ def parse(page: str) -> Element:
             else:
                 continue
             continue
+        if others and name in CLOSE_P and (place := foreign_at(stack)):
+            # HTML ends svg and math that are still open.
+            for e in stack[place:]:
+                mains -= e.main
+                others -= e.other
+            del stack[place:]
         if name in CLOSE_P or name in CLOSES:
             wanted = ("p",) if name in CLOSE_P else CLOSES[name]
             last = None
@@ -194,7 +222,8 @@ def parse(page: str) -> Element:
         else:
             element = start_element(name, attributes, mains > 0)
             stack[-1].children.append(element)
-        if name not in VOID and not attributes.endswith("/") and len(stack) < DEEPEST:
+        closed = attributes.endswith("/") and name != "template"
+        if name not in VOID and not closed and len(stack) < DEEPEST:
             stack.append(element)
             mains += element.main
             others += element.other

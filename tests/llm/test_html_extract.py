@@ -127,3 +127,26 @@ def test_a_doubtful_article_among_clear_ones(extract):
     got = extract([(i, "http://o.example/", p.replace("{n}", f"no{i}")) for i, p in enumerate(pages)])
     for i, row in got.items():
         assert row.text == TOLD.replace("{n}", f"no{i}")
+
+
+@pytest.mark.parametrize(
+    "icon",
+    [
+        "<svg class='icon'/>",
+        "<svg class=icon />",
+        "<math display='block'/>",
+        "<svg><svg><path d='M0'/></svg><text>leak</text></svg>",
+        "<svg><title/><style/><path/></svg>",
+        "<svg><path d='M0'>",
+        "<svg><foreignObject><p>leak</p></foreignObject><text>leak</text></svg>",
+        "<math><mrow><mi>x</mi></mrow></math>",
+        "<template><p>leak</p><template>leak</template><p>leak</p></template>",
+        "<SVG viewBox='0 0 1 1'><script>'</svg>'</script><text>leak</text></SVG>",
+    ],
+)
+def test_text_after_an_icon(extract, icon):
+    page = f"<article><p>One</p>{icon}<p>Two</p><p>Three</p></article><footer>end</footer>"
+    tail = f"<article><p>One</p><div>{icon}</div><p>Two</p></article>"
+    got = extract([(1, "http://s.example/1", page), (2, "http://t.example/1", tail)])
+    assert got[1].text == "One\n\nTwo\n\nThree"
+    assert got[2].text == "One\n\nTwo"
