@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 
 from dockside.llm import decontaminate, packing, simhash, substring_dedup, toxicity
 from dockside.llm.catalog import read, vocabulary
-from dockside.llm.common import store
+from dockside.llm.common import numbered, store
 
+# Name of the column that tells rows apart within a stage.
+ROW = "_row"
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose ``doc_id`` is not among ``ids``; rows without one stay."""
-    return docs.join(store(ids.select("doc_id").distinct(), "dropped"), "doc_id", "left_anti").select(
-        *docs.columns
-    )
+
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The numbered ``rows`` whose number is not the ``row`` of one of ``dropped``."""
+    gone = store(dropped.select(F.col("row").alias(ROW)), "dropped")
+    return rows.join(gone, ROW, "left_anti").drop(ROW)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +29,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id.
+    """Of each group of near-duplicates one row: with the smallest id, NULL last.
 
-    Rows that share that id are the same document and stay; so do rows without id.
+    Of rows that share that id the one with the smallest hash of its values stays,
+    and of equal rows any one.
     """
-    found = simhash.near_duplicates(docs)
-    return without(docs, found.where("doc_id <> component_id"))
+    rows = numbered(docs, ROW)
+    # Numbers that sort by the row's values first.
+    values = F.lpad(F.hex(F.xxhash64(*docs.columns)), 16, "0")
+    rows = rows.withColumn(ROW, F.concat_ws(":", values, ROW))
+    found = store(simhash.near_duplicates(rows, ROW), "near")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    # Combined before the shuffle, so a hot group is a row per task.
+    first = found.groupBy("component").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    # Stored, so that Spark can split a hot group's rows when it joins them.
+    first = store(first.where("n > 1").select("component", F.col("first.row").alias("kept")), "first")
+    return without(rows, found.join(first, "component").where("row <> kept"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +65,9 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contract's rule does not call contaminated."""
-    found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"))
-    return without(docs, found.where("contaminated"))
+    rows = numbered(docs, ROW)
+    found = decontaminate.contamination(rows, read(spark, sf_dir, "benchmark"), row=ROW)
+    return without(rows, found.where("contaminated"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,14 +6,15 @@ import sys
 import types
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dockside.session import store
 
 __all__ = [
-    "LOWER_BYTES", "WORD_BYTES", "partitions_for", "record_batch", "store", "text_bytes",
-    "words_of", "worker_memo",
+    "LOWER_BYTES", "WORD_BYTES", "numbered", "partitions_for", "record_batch", "store",
+    "text_bytes", "words_of", "worker_memo",
 ]
 
 # Lower-cased letters and digits of ASCII, and every byte of other characters,
@@ -37,6 +38,21 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a text ``name`` that tells its rows apart and is the same at every reading.
+
+    Of a stored Parquet table it is file and row; any other frame is stored first.
+    """
+    try:
+        row = F.concat_ws(":", F.md5(F.col("_metadata.file_path").cast("binary")), "_metadata.row_index")
+        found = df.withColumn(name, row)
+        found.schema  # fails where the frame is no file
+        return found
+    except AnalysisException:
+        row = F.monotonically_increasing_id().cast("string")
+        return store(df.withColumn(name, row), "numbered")
+
+
 def partitions_for(df: DataFrame, rows: int, per_task: int) -> int:
     """Shuffle partitions, more of them where a task would get over ``per_task`` rows."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -31,7 +31,7 @@ MOST_TERMS = 20_000_000
 
 INDEX_TYPE = (
     "doc_ids array<bigint>, n_words array<bigint>, starts array<bigint>,"
-    " terms array<int>, occurrences array<bigint>, places binary"
+    " terms array<int>, occurrences array<bigint>, places binary, rows array<string>"
 )
 INDEX = pa.schema(
     [
@@ -41,14 +41,18 @@ INDEX = pa.schema(
         ("terms", pa.list_(pa.int32())),
         ("occurrences", pa.list_(pa.int64())),
         ("places", pa.binary()),
+        ("rows", pa.list_(pa.string())),
     ]
 )
 
 
-def build_index(docs: DataFrame, terms: dict[bytes, int], gap: int) -> DataFrame:
-    """Postings of ``terms`` (number by word) in all texts, stored in the shared folder."""
+def build_index(docs: DataFrame, terms: dict[bytes, int], gap: int, row: str | None = None) -> DataFrame:
+    """Postings of ``terms`` (number by word) in all texts, stored in the shared folder.
 
-    def row(ids, counts, parts):
+    ``row`` names a column of texts that tell the rows of ``docs`` apart.
+    """
+
+    def row_of(ids, counts, parts, rows):
         starts = np.cumsum([0] + [n + gap for n in counts])[:-1]
         term = np.concatenate([t for t, _ in parts]) if parts else np.zeros(0, np.int32)
         place = (
@@ -60,26 +64,30 @@ def build_index(docs: DataFrame, terms: dict[bytes, int], gap: int) -> DataFrame
         held, first = np.unique(term[order], return_index=True)
         sizes = np.diff(np.append(first, len(term)))
         places = place[order].astype("<u4").tobytes()
-        return record_batch(INDEX, [ids], [counts], [starts], [held], [sizes], [places])
+        return record_batch(INDEX, [ids], [counts], [starts], [held], [sizes], [places], [rows])
 
     def index(batches):
-        ids, counts, parts, size = [], [], [], 0
+        ids, counts, parts, rows, size = [], [], [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text, name in zip(*(c.to_pylist() for c in batch.columns)):
                 words = words_of(text)
                 term = np.fromiter(map(terms.get, words, repeat(-1)), np.int32, len(words))
                 place = np.flatnonzero(term >= 0)
                 ids.append(doc_id)
                 counts.append(len(words))
                 parts.append((term[place], place))
+                rows.append(name)
                 size += len(text)
                 if size >= ROW_BYTES:
-                    yield row(ids, counts, parts)
-                    ids, counts, parts, size = [], [], [], 0
+                    yield row_of(ids, counts, parts, rows)
+                    ids, counts, parts, rows, size = [], [], [], [], 0
         if ids:
-            yield row(ids, counts, parts)
+            yield row_of(ids, counts, parts, rows)
 
-    texts = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"))
+    name = F.col(row) if row else F.lit(None)
+    texts = docs.select(
+        F.col("doc_id").cast("long"), text_bytes().alias("text"), name.cast("string").alias("row")
+    )
     return store(texts.mapInArrow(index, INDEX_TYPE), "postings")
 
 
@@ -222,7 +230,7 @@ RESULT = pa.schema(
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, size: int = 13, one_in: int = 20
+    docs: DataFrame, benchmark: DataFrame, size: int = 13, one_in: int = 20, row: str | None = None
 ) -> DataFrame:
     """How much of every text stands in ``benchmark`` (``item_id``, ``text``).
 
@@ -230,22 +238,24 @@ def contamination(
     contaminated if at least one of ``one_in`` words is hit. Columns: ``doc_id,
     n_words, n_hit, n_items, items_sha256, contaminated``. NULL and empty texts
     have no words and are clean; items without words match nothing; a NULL
-    ``item_id`` counts as the empty one; repeated rows give repeated results.
+    ``item_id`` counts as the empty one; repeated rows give repeated results. ``row``
+    names a column of texts that tell the rows of ``docs`` apart; it comes along as ``row``.
     """
+    schema = RESULT.append(pa.field("row", pa.string())) if row else RESULT
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text"
     )
     # A test set is bounded: by its terms, checked in Phrases.
     known = Phrases(windows_of([(r.item_id, r.text) for r in items.toLocalIterator()], size))
-    index = build_index(docs, known.terms, size)
+    index = build_index(docs, known.terms, size, row)
     known.rank(index)
 
     def search(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                posted = Postings(row["terms"], row["occurrences"], row["places"])
-                starts_of = np.array(row["starts"], np.int64)
-                counts = np.array(row["n_words"], np.int64)
+            for held in batch.to_pylist():
+                posted = Postings(held["terms"], held["occurrences"], held["places"])
+                starts_of = np.array(held["starts"], np.int64)
+                counts = np.array(held["n_words"], np.int64)
                 edges = np.zeros(int(counts.sum()) + (len(counts) + 1) * size + 1, np.int32)
                 items_of: dict[int, set[str]] = {}
                 for i in posted.candidates(known):
@@ -258,17 +268,18 @@ def contamination(
                 hits = covered[starts_of + counts] - covered[starts_of]
                 names = [",".join(sorted(items_of.get(d, ()))) for d in range(len(counts))]
                 yield record_batch(
-                    RESULT,
-                    row["doc_ids"],
+                    schema,
+                    held["doc_ids"],
                     counts,
                     hits,
                     [len(items_of.get(d, ())) for d in range(len(counts))],
                     [hashlib.sha256(n.encode()).hexdigest() for n in names],
                     (hits > 0) & (one_in * hits >= counts),
+                    *([held["rows"]] if row else []),
                 )
 
     return index.mapInArrow(
         search,
         "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string,"
-        " contaminated boolean",
+        " contaminated boolean" + ", row string" * bool(row),
     )

@@ -76,17 +76,22 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
 _BIT_SET = [np.flatnonzero(np.arange(256) >> bit & 1) for bit in range(8)]
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp``: the fingerprint of every text as a signed number; NULL is empty."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """``doc_id, fp``: the fingerprint of every text as a signed number; NULL is empty.
+
+    ``row`` names a column of texts that tell the rows apart; it comes along as ``row``.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())] + [("row", pa.string())] * bool(row))
 
     def compute(batches):
         for batch in batches:
             found = [fingerprint(text) for text in batch.column(1).to_pylist()]
-            yield record_batch(schema, batch.column(0), np.array(found, np.uint64).view(np.int64))
+            fps = np.array(found, np.uint64).view(np.int64)
+            yield record_batch(schema, batch.column(0), fps, *batch.columns[2:])
 
-    texts = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"))
-    return texts.mapInArrow(compute, "doc_id long, fp long")
+    carried = [F.col(row).alias("row")] if row else []
+    texts = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"), *carried)
+    return texts.mapInArrow(compute, "doc_id long, fp long" + ", row string" * bool(row))
 
 
 # ---- Golay keys ------------------------------------------------------------
@@ -291,7 +296,7 @@ def components(edges: DataFrame) -> DataFrame:
         edges = small
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row of ``docs`` (``doc_id``, ``text``).
 
     ``component_id`` is the smallest ``doc_id`` reachable over fingerprints that
@@ -299,8 +304,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     are linked like any other. A row with NULL ``doc_id`` links others but is
     never a component's id, which is NULL where all are. Repeated rows give
     repeated results; other columns are ignored.
+
+    With ``row``, a column of texts that tell the rows apart, the result has it as
+    ``row``, and ``component``: a number that is one for all rows of a component
+    and never NULL.
     """
-    marked = store(fingerprints(docs), "fingerprints")
+    marked = store(fingerprints(docs, row), "fingerprints")
     nodes = store(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     roots = components(link(nodes, nodes.count()))
     named = nodes.join(roots, nodes.fp == roots.a, "left").select(
@@ -308,7 +317,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     named = store(named, "roots")
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_fp = store(named.join(smallest, "root").select("fp", "component_id"), "components")
+    by_fp = store(named.join(smallest, "root").select("fp", "root", "component_id"), "components")
+    carried = ["row", F.col("root").alias("component")] if row else []
     return marked.join(by_fp, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *carried
     )

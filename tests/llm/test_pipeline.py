@@ -96,3 +96,29 @@ def test_rows_without_id_and_empty_tables(spark):
         for _, stage in corpus_pipeline.STAGES:
             frame = corpus_pipeline.store(stage(spark, frame, SOURCE), "stage")
         frame.collect()
+
+
+@pytest.mark.parametrize("stored", [True, False])
+def test_rows_are_judged_one_by_one(spark, stored):
+    passage = max((r.text for r in spark.read.parquet(f"{SOURCE}/benchmark.parquet").collect()), key=len)
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    # Id and text; the copies of one text are next to each other.
+    given = [(None, a), (None, a), (None, passage), (None, passage), (5, passage), (5, b), (9, b), (9, b)]
+    given += [(None, b), (5, c), (5, c)]
+    docs = spark.createDataFrame(
+        [(i, t, "en", "s", len(t)) for i, t in given],
+        spark.read.parquet(f"{SOURCE}/documents.parquet").schema,
+    ).repartition(3)
+    if stored:
+        docs = corpus_pipeline.store(docs, "given")
+    dealt = corpus_pipeline.drop_near_duplicates(spark, docs, SOURCE)
+    assert dealt.dtypes == docs.dtypes
+    def key(r):
+        return (r[0] or 0, r[1])
+
+    want = [(None, a), (5, passage), (5, b), (5, c)]
+    assert sorted([(r.doc_id, r.text) for r in dealt.collect()], key=key) == sorted(want, key=key)
+    clean = corpus_pipeline.drop_contaminated(spark, docs, SOURCE)
+    assert clean.dtypes == docs.dtypes
+    want = [r for r in given if r[1] != passage]
+    assert sorted([(r.doc_id, r.text) for r in clean.collect()], key=key) == sorted(want, key=key)
