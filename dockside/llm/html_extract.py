@@ -95,10 +95,14 @@ DOUBT = "!"
 # A step of a path: name and number.
 STEP = re.compile(r"/([^/\[]+)\[(\d+)\]")
 
-# Open elements inside each other that are told apart.
+# Open elements inside each other that are told apart; text of deeper ones is theirs.
 DEEPEST = 150
-# Parts of one element that a wrapper keeps; rarer ones go first.
+# Parts of one element from which on a wrapper takes parts of one kind together.
 MOST_PARTS = 400
+# The name of all elements whose names are too many to be told apart.
+ANY = ".*"
+# The end of the key of an element that its attributes mark as the article.
+MARK = "+"
 # Pages that must agree before equal text counts as the site's own.
 SAME_ON = 5
 # Hosts that a task holds before it passes them on.
@@ -111,7 +115,7 @@ class Element:
     def __init__(self, tag, key="", other=False, main=False, doubt=False):
         self.tag, self.other, self.main, self.doubt = tag, other, main, doubt
         # The key of a doubtful element says so.
-        self.key = (key or tag) + DOUBT * doubt
+        self.key = (key or tag) + MARK * (main and tag not in ("article", "main")) + DOUBT * doubt
         self.children = []
 
 
@@ -143,6 +147,17 @@ def start_element(tag: str, attributes: str, inside_main: bool) -> Element:
     return Element(tag, key, other, main, doubt)
 
 
+def closed_by(name: str, deeper: list[Element]) -> int | None:
+    """Place of the element that an end tag closes, if it is one of the deeper ones."""
+    for i in range(len(deeper) - 1, -1, -1):
+        tag = deeper[i].tag
+        if tag == name:
+            return i
+        if name in INLINE and tag not in INLINE or tag in WALLS and name not in WALLS and name != "div":
+            break
+    return None
+
+
 def foreign_at(stack: list[Element]) -> int:
     """Place of the open svg or math that a tag stands in; 0 where HTML is."""
     for i in range(len(stack) - 1, 0, -1):
@@ -159,6 +174,8 @@ def parse(page: str) -> Element:
     """The page as a tree; missing and crossed end tags are mended."""
     root = Element("#root")
     stack = [root]
+    # Open elements deeper than those of the stack.
+    deeper: list[Element] = []
     mains = others = at = 0
     while match := TAG.search(page, at):
         begin, after = match.span()
@@ -180,6 +197,18 @@ def parse(page: str) -> Element:
         if not name.isalnum():
             name = NO_TAG.sub("", name) or "x"
         if ending:
+            if deeper:
+                place = closed_by(name, deeper)
+                if place is not None:
+                    others -= sum(e.other for e in deeper[place:])
+                    del deeper[place:]
+                    continue
+                if name in INLINE or not any(e.tag == name for e in stack):
+                    continue
+                if any(e.tag in WALLS for e in deeper) and name not in WALLS and name != "div":
+                    continue
+                others -= sum(e.other for e in deeper)
+                deeper = []
             for i in range(len(stack) - 1, 0, -1):
                 tag = stack[i].tag
                 if tag == name:
@@ -194,13 +223,16 @@ def parse(page: str) -> Element:
             else:
                 continue
             continue
-        if others and name in CLOSE_P and (place := foreign_at(stack)):
+        if others and not deeper and name in CLOSE_P and (place := foreign_at(stack)):
             # HTML ends svg and math that are still open.
             for e in stack[place:]:
                 mains -= e.main
                 others -= e.other
             del stack[place:]
-        if name in CLOSE_P or name in CLOSES:
+        if deeper and (name in CLOSE_P or name in CLOSES):
+            if deeper[-1].tag in (("p",) if name in CLOSE_P else CLOSES[name]):
+                others -= deeper.pop().other
+        elif name in CLOSE_P or name in CLOSES:
             wanted = ("p",) if name in CLOSE_P else CLOSES[name]
             last = None
             for i in range(len(stack) - 1, 0, -1):
@@ -223,9 +255,12 @@ def parse(page: str) -> Element:
             element = start_element(name, attributes, mains > 0)
             stack[-1].children.append(element)
         closed = attributes.endswith("/") and name != "template"
-        if name not in VOID and not closed and len(stack) < DEEPEST:
-            stack.append(element)
-            mains += element.main
+        if name not in VOID and not closed:
+            if len(stack) < DEEPEST:
+                stack.append(element)
+                mains += element.main
+            else:
+                deeper.append(element)
             others += element.other
     if at < len(page) and not others:
         stack[-1].children.append(page[at:])
@@ -358,9 +393,51 @@ def merge_parts(a: list, b: list, same_page: bool = False) -> list:
         merge_part(a[i], b[j], same_page) if i is not None and j is not None else a[i] if j is None else b[j]
         for i, j in align([name_of(p) for p in a], [name_of(p) for p in b])
     ]
+    return fewer(out)
+
+
+def flat(parts: list) -> list:
+    """Parts with those of repeated groups in their place."""
+    return [q for p in parts for q in (flat(p[5]) if p[0] == "g" else [p])]
+
+
+def generic(key: str) -> str:
+    """The key that elements of too many names share; it keeps the marks at the key's end."""
+    name = key.rstrip(DOUBT + MARK)
+    return name.split(".")[0] + ANY + key[len(name) :]
+
+
+def gathered(parts: list, key_of) -> list:
+    """Parts of one key taken together as a repeat, at the place of the first."""
+    held: dict[str, list[list]] = {}
+    for p in parts:
+        held.setdefault("#" if p[0] == "#" else key_of(p), []).append(p)
+    out = []
+    for key, same in held.items():
+        # In pairs, so that each part is merged a few times only.
+        while len(same) > 1:
+            pairs = [merge_part(a, b, True) for a, b in zip(same[::2], same[1::2])]
+            same = pairs + same[len(same) // 2 * 2 :]
+        out.append(same[0] if key == "#" else [same[0][0], key, *same[0][2:]])
+    return out
+
+
+def fewer(parts: list) -> list:
+    """All of ``parts`` in about ``MOST_PARTS``: more of them are taken together by kind.
+
+    First those of one name, then those of the rarer names by tag, then by nothing
+    but their marks. Nothing is left out.
+    """
+    if len(parts) <= MOST_PARTS:
+        return parts
+    out = gathered(flat(parts), lambda p: p[1])
     if len(out) > MOST_PARTS:
-        count = sorted((p[2] if p[0] == "#" else p[3] for p in out), reverse=True)[MOST_PARTS - 1]
-        out = [p for p in out if (p[2] if p[0] == "#" else p[3]) >= count][:MOST_PARTS]
+        often = sorted((p[3] for p in out if p[0] == "e" and ANY not in p[1]), reverse=True)
+        # Equally rare names go together, whatever their order.
+        rare = often[min(MOST_PARTS // 2, len(often) - 1)] if often else 0
+        out = gathered(out, lambda p: p[1] if p[3] > rare else generic(p[1]))
+    if len(out) > MOST_PARTS:
+        out = gathered(out, lambda p: ANY + generic(p[1]).split(ANY)[1])
     return out
 
 
@@ -416,7 +493,7 @@ def wrapper_of(element: Element, path: str = "", blocks: list | None = None) ->
         else:
             inner = wrapper_of(part, step, blocks)
             out.append(["e", part.key, False, 1, int(part.main), inner])
-    return fold_repeats(out)
+    return fewer(fold_repeats(out))
 
 
 def merge_hosts(a: dict, b: dict) -> dict:
@@ -431,7 +508,7 @@ def merge_hosts(a: dict, b: dict) -> dict:
 
 
 def tag_of(name: str) -> str:
-    return name.split(".")[0].rstrip(DOUBT)
+    return name.split(".")[0].rstrip(DOUBT + MARK)
 
 
 def doubtful(part: list) -> bool:
@@ -524,11 +601,6 @@ def prepared(text: str | None) -> dict:
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote dd dt tr figcaption".split())
 
 
-def flat(parts: list) -> list:
-    """Parts with those of repeated groups in their place."""
-    return [q for p in parts for q in (flat(p[5]) if p[0] == "g" else [p])]
-
-
 class Chooser:
     """Which places of a host's pages hold the article's text."""
 
@@ -549,13 +621,16 @@ class Chooser:
             name, number = step[0], int(step[1])
             # The n-th part of a kind is the n-th of the wrapper, the last one repeats.
             held = [s for s in slots if name_of(s) == name]
+            if not held and name != "#":
+                shared = generic(name), ANY + generic(name).split(ANY)[1]
+                held = [s for s in slots if s[1] in shared and s[0] == "e"]
             slot = held[min(number, len(held) - 1)] if held else None
             if name == "#":
                 break
             if name.endswith(DOUBT) and not doubts and (slot is None or doubtful(slot)):
                 return False
             tag = tag_of(name)
-            inside = inside or bool(slot and slot[4]) or tag in ("article", "main")
+            inside = inside or bool(slot and slot[4]) or tag in ("article", "main") or MARK in name
             slots = flat(slot[5]) if slot else []
         if not inside:
             return False

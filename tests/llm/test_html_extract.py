@@ -150,3 +150,37 @@ def test_text_after_an_icon(extract, icon):
     got = extract([(1, "http://s.example/1", page), (2, "http://t.example/1", tail)])
     assert got[1].text == "One\n\nTwo\n\nThree"
     assert got[2].text == "One\n\nTwo"
+
+
+def test_deep_elements_close_themselves(extract):
+    for inner in ("<div>", "<div><span>", "<p>"):
+        end = "".join(f"</{t}>" for t in reversed(re.findall(r"\w+", inner)))
+        deep = inner * 160 + "deep" + end * 160
+        page = f"<div><article><p>first</p>{deep}<p>rest</p></article></div><div>other</div>"
+        nav = f"<article><p>first</p>{'<div>' * 160}<nav>menu</nav>deep{'</div>' * 160}<p>rest</p></article>"
+        got = extract([(1, "http://p.example/", page), (2, "http://q.example/", nav)])
+        assert got[1].text == got[2].text == "first\n\ndeep\n\nrest"
+
+
+def test_many_names_lose_nothing(extract):
+    def page(i):
+        names = "".join(f"<div class='{a}{b}{c}'><a href=x>{i}</a></div>" for a in letters for b in letters for c in letters[i % 9 :])
+        return f"<body>{names}<div class='zz{letters[i]}' role=main><div>Story of {i}, and so on.</div></div></body>"
+
+    letters = "abcdefghijk"
+    got = extract([(i, "http://r.example/", page(i)) for i in range(9)])
+    for i, row in got.items():
+        assert row.text == f"Story of {i}, and so on."
+
+
+def test_parts_are_taken_together_not_cut():
+    from dockside.llm.html_extract import MOST_PARTS, fewer
+
+    parts = [["e", f"x{i % 700}.n{i}", False, 1 + i % 3, i % 2, [["#", i, 1, 10, 0]]] for i in range(3000)]
+    found = fewer(parts)
+    assert len(found) <= MOST_PARTS
+
+    def characters(held):
+        return sum(p[3] if p[0] == "#" else characters(p[5]) for p in held)
+
+    assert characters(found) == 30000
