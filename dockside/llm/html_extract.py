@@ -14,6 +14,8 @@ most of the running text; text that is the same on all pages is the site's own.
 Menus, buttons, hidden elements and the like never count. Forms and elements whose
 class or id names something else (adverts, comments ...) are doubtful: they stay in
 the wrapper, which overrules the name where such an element is or holds the article.
+A page may follow another template than most of its host: where elements that mark an
+article hold little of a page's running text, the element that holds most of it counts.
 """
 
 import html
@@ -340,7 +342,8 @@ def parts_of(element: Element) -> list:
 
 # ---- wrappers -----------------------------------------------------------------
 #
-# A text slot is ["#", hash or None, pages, characters, linked characters],
+# A text slot is ["#", hash or None, pages, characters, linked characters, hash of all
+# texts that a page has there or None],
 # an element ["e", key, repeated, pages, main, parts],
 # a repeated group ["g", "", True, pages, 0, parts].
 
@@ -357,7 +360,12 @@ def merge_part(a: list, b: list, same_page: bool = False) -> list:
     pages = max(a[2], b[2]) if same_page and a[0] == "#" else None
     if a[0] == "#":
         n = pages if pages is not None else a[2] + b[2]
-        return ["#", a[1] if a[1] == b[1] else None, n, a[3] + b[3], a[4] + b[4]]
+        once = a[1] if a[1] == b[1] else None
+        if same_page:
+            page = zlib.crc32(b"%d,%d" % (a[5], b[5])) if a[5] is not None and b[5] is not None else None
+        else:
+            page = a[5] if a[5] == b[5] else None
+        return ["#", once, n, a[3] + b[3], a[4] + b[4], page]
     n = max(a[3], b[3]) if same_page else a[3] + b[3]
     parts = merge_parts(a[5], b[5], same_page)
     return [a[0], a[1], a[2] or b[2] or same_page, n, a[4] or b[4], parts]
@@ -487,7 +495,8 @@ def wrapper_of(element: Element, path: str = "", blocks: list | None = None) ->
         step = f"{path}/{name}[{number}]"
         if isinstance(part, tuple):
             text, links = part
-            out.append(["#", zlib.crc32(text.encode("utf-8", "replace")), 1, len(text), links])
+            mark = zlib.crc32(text.encode("utf-8", "replace"))
+            out.append(["#", mark, 1, len(text), links, mark])
             if blocks is not None:
                 blocks.append((step, text, links < len(text)))
         else:
@@ -497,8 +506,9 @@ def wrapper_of(element: Element, path: str = "", blocks: list | None = None) ->
 
 
 def merge_hosts(a: dict, b: dict) -> dict:
-    """Merge two wrappers; ``pages`` holds hashes of some different pages."""
+    """Merge two wrappers; ``pages`` holds hashes of some different pages, ``n`` counts all."""
     return {
+        "n": a["n"] + b["n"],
         "pages": sorted({*a["pages"], *b["pages"]})[:SAME_ON],
         "parts": merge_parts(a["parts"], b["parts"]),
     }
@@ -528,6 +538,17 @@ def running_text(parts: list, doubts: bool = False) -> int:
     return total
 
 
+def same_text(parts: list, n: int) -> int:
+    """Characters of unlinked text in slots that are the same on all ``n`` pages."""
+    total = 0
+    for p in parts:
+        if p[0] != "#":
+            total += 0 if doubtful(p) else same_text(p[5], n)
+        elif 2 * p[4] < p[3] and p[5] is not None and p[2] >= n:
+            total += p[3] - p[4]
+    return total
+
+
 def marked_text(parts: list, doubts: bool = False) -> int:
     """The part of :func:`running_text` that stands in elements that mark the article."""
     total = 0
@@ -569,6 +590,10 @@ def marked(parts: list) -> bool:
     return any(p[0] != "#" and not doubtful(p) and (p[4] or marked(p[5])) for p in parts)
 
 
+# Paragraphs and the like are part of the text, not around it.
+BLOCKS_OF_TEXT = ("p", "li", "pre", "blockquote")
+
+
 def mark_body(parts: list) -> None:
     """Mark the smallest element that holds most of the running text."""
     whole = running_text(parts)
@@ -578,7 +603,7 @@ def mark_body(parts: list) -> None:
             p for p in parts if p[0] != "#" and not doubtful(p) and 10 * running_text(p[5]) >= 7 * whole
         ]
         # A repeated element or a paragraph is part of the text, not around it.
-        if not inner or inner[0][2] or tag_of(inner[0][1]) in ("p", "li", "pre", "blockquote"):
+        if not inner or inner[0][2] or tag_of(inner[0][1]) in BLOCKS_OF_TEXT:
             break
         holder, parts = inner[0], inner[0][5]
     if holder is not None:
@@ -587,9 +612,11 @@ def mark_body(parts: list) -> None:
 
 def prepared(text: str | None) -> dict:
     """A stored wrapper with the article's element marked."""
-    wrapper = json.loads(text) if text else {"pages": [], "parts": []}
+    wrapper = json.loads(text) if text else {"n": 0, "pages": [], "parts": []}
     parts = wrapper["parts"]
     wrapper["common"] = len(wrapper["pages"]) >= SAME_ON
+    # A host of one article in several frames has no text of its own in paragraphs.
+    wrapper["frame"] = wrapper["common"] and 3 * same_text(parts, wrapper["n"]) <= running_text(parts, True)
     overrule(parts, running_text(parts, True), marked_text(parts, True), marked_text(parts))
     wrapper["by_mark"] = marked(parts)
     if not wrapper["by_mark"]:
@@ -601,12 +628,30 @@ def prepared(text: str | None) -> dict:
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote dd dt tr figcaption".split())
 
 
+def marks(name: str) -> bool:
+    """Whether a step's name says that it marks the article."""
+    return tag_of(name) in ("article", "main") or MARK in name
+
+
+def mark_in(path: str) -> str | None:
+    """The path up to its first element that marks the article."""
+    if "/article" not in path and "/main" not in path and MARK not in path:
+        return None
+    end = 0
+    for step in STEP.finditer(path):
+        end = step.end()
+        if marks(step[1]):
+            return path[:end]
+    return None
+
+
 class Chooser:
     """Which places of a host's pages hold the article's text."""
 
     def __init__(self, wrapper: dict):
         self.wrapper = wrapper
         self.known: dict[tuple[str, bool, bool, bool], bool] = {}
+        self.running: dict[str, bool] = {}
 
     def keeps(self, path: str, unlinked: bool, anywhere: bool, doubts: bool) -> bool:
         key = (path, unlinked, anywhere, doubts)
@@ -615,8 +660,24 @@ class Chooser:
         return self.known[key]
 
     def _decide(self, path, unlinked, anywhere, doubts):
-        slots = flat(self.wrapper["parts"])
-        inside, tag, slot = anywhere, "", None
+        slot, steps = self._slots(path)
+        inside, tag = anywhere, ""
+        for name, element in steps:
+            if name.endswith(DOUBT) and not doubts and (element is None or doubtful(element)):
+                return False
+            tag = tag_of(name)
+            inside = inside or bool(element and element[4]) or marks(name)
+        if not inside:
+            return False
+        own = slot is not None and slot[1] is not None and slot[2] >= SAME_ON
+        if tag in TEXT_TAGS:
+            return not (own and self.wrapper["frame"] and slot[2] >= self.wrapper["n"])
+        # Nothing but links, or equal on all pages: the site's own.
+        return unlinked and not (own and self.wrapper["common"])
+
+    def _slots(self, path):
+        """The text slot of a path, and the names and elements above it; None where unknown."""
+        slots, steps = flat(self.wrapper["parts"]), []
         for step in STEP.findall(path):
             name, number = step[0], int(step[1])
             # The n-th part of a kind is the n-th of the wrapper, the last one repeats.
@@ -626,23 +687,59 @@ class Chooser:
                 held = [s for s in slots if s[1] in shared and s[0] == "e"]
             slot = held[min(number, len(held) - 1)] if held else None
             if name == "#":
-                break
-            if name.endswith(DOUBT) and not doubts and (slot is None or doubtful(slot)):
-                return False
-            tag = tag_of(name)
-            inside = inside or bool(slot and slot[4]) or tag in ("article", "main") or MARK in name
+                return slot, steps
+            steps.append((name, slot))
             slots = flat(slot[5]) if slot else []
-        if not inside:
-            return False
-        if tag in TEXT_TAGS:
-            return True
-        # Nothing but links, or equal on all pages: the site's own.
-        own = slot is not None and slot[1] is not None and slot[2] >= SAME_ON
-        return unlinked and not (own and self.wrapper["common"])
+        return None, steps
+
+    def _runs(self, path: str) -> bool:
+        """Whether a place is clear and its text differs from page to page."""
+        if path not in self.running:
+            slot, steps = self._slots(path)
+            clear = not any(n.endswith(DOUBT) and (e is None or doubtful(e)) for n, e in steps)
+            same = self.wrapper["common"] and slot is not None and slot[1] is not None and slot[2] >= SAME_ON
+            self.running[path] = clear and not same
+        return self.running[path]
+
+    def body(self, rows: list[tuple]) -> str | None:
+        """Path of the element that holds this page's text, where its marks do not."""
+        in_marks: dict[str, int] = {}
+        free = []
+        for path, text, unlinked in rows:
+            if not unlinked or not self._runs(path):
+                continue
+            at = mark_in(path)
+            if at is None:
+                free.append((path, len(text)))
+            else:
+                in_marks[at] = in_marks.get(at, 0) + len(text)
+        whole = sum(n for _, n in free)
+        holder = ""
+        while whole:
+            inner: dict[str, int] = {}
+            for path, n in free:
+                if path.startswith(holder + "/"):
+                    step = path[: path.find("]", len(holder)) + 1]
+                    inner[step] = inner.get(step, 0) + n
+            step, n = max(inner.items(), key=lambda x: x[1], default=("", 0))
+            name = step[len(holder) + 1 :].split("[")[0]
+            if 10 * n < 7 * whole or name == "#" or tag_of(name) in BLOCKS_OF_TEXT:
+                break
+            holder, whole = step, n
+        # One mark is better evidence than teasers that are marked each.
+        least = max(in_marks.values(), default=0) * (4 if len(in_marks) == 1 else 1)
+        return holder if holder and whole > least else None
 
     def article(self, paths: list[str], texts: list[str], unlinked: list[bool]) -> str:
         """The article's blocks, joined by blank lines."""
         rows = list(zip(paths, texts, unlinked))
+        if self.wrapper["by_mark"]:
+            holder = self.body(rows)
+            if holder is not None:
+                held = [r for r in rows if r[0].startswith(holder + "/") and mark_in(r[0]) is None]
+                blocks = [t for p, t, u in held if self.keeps(p, u, True, False)]
+                if blocks:
+                    return "\n\n".join(blocks)
         anywhere = not self.wrapper["any"]
         # Where the first finds nothing, the page is unlike the others of its host: what a
         # doubtful element marks, then all that is clear, then all.
@@ -702,7 +799,7 @@ def read_pages(pages: DataFrame) -> DataFrame:
                 for page_id, url, host, page in zip(*columns):
                     blocks: list = []
                     mark = zlib.crc32(page.encode("utf-8", "replace"))
-                    new = {"pages": [mark], "parts": wrapper_of(parse(page), "", blocks)}
+                    new = {"n": 1, "pages": [mark], "parts": wrapper_of(parse(page), "", blocks)}
                     out.append((host, None, None, page_id, url, *(zip(*blocks) if blocks else [()] * 3)))
                     old = held.get(host)
                     if old is None and len(held) >= HOSTS_HELD:

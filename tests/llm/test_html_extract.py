@@ -176,7 +176,7 @@ def test_many_names_lose_nothing(extract):
 def test_parts_are_taken_together_not_cut():
     from dockside.llm.html_extract import MOST_PARTS, fewer
 
-    parts = [["e", f"x{i % 700}.n{i}", False, 1 + i % 3, i % 2, [["#", i, 1, 10, 0]]] for i in range(3000)]
+    parts = [["e", f"x{i % 700}.n{i}", False, 1 + i % 3, i % 2, [["#", i, 1, 10, 0, i]]] for i in range(3000)]
     found = fewer(parts)
     assert len(found) <= MOST_PARTS
 
@@ -184,3 +184,27 @@ def test_parts_are_taken_together_not_cut():
         return sum(p[3] if p[0] == "#" else characters(p[5]) for p in held)
 
     assert characters(found) == 30000
+
+
+def test_a_host_of_two_templates(extract):
+    told = "<div class=story>" + STORY + "</div>"
+    teasers = "".join(f"<article><h2><a href=x>More {i}</a></h2><p>Teaser {i} {{n}}.</p></article>" for i in "abc")
+    pages = ["<body><div class=top>Top {n}</div><article>" + STORY + "</article></body>"] * 6
+    pages += ["<body><div class=top>Top {n}</div>" + told + f"<div class=more>{teasers}</div></body>"] * 6
+    pages += ["<body><div class=top>Top {n}</div>" + told + "</body>"]
+    got = extract([(i, "http://u.example/", p.replace("{n}", f"no{i}")) for i, p in enumerate(pages)])
+    assert len(got) == 13
+    for i, row in got.items():
+        assert row.text == TOLD.replace("{n}", f"no{i}")
+
+
+def test_the_sites_own_paragraphs_go(extract):
+    page = "<article>" + STORY + "<h3>Our terms</h3><ul><li>Be kind</ul></article>"
+    rows = [(i, "http://v.example/", page.replace("{n}", f"no{i}")) for i in range(6)]
+    # One article in frames that differ has no such text.
+    framed = "<div>Seen {n} times</div><article>" + STORY + "</article>"
+    rows += [(10 + i, "http://w.example/", framed.replace("{n}", str(i), 1).replace("{n}", "9")) for i in range(6)]
+    got = extract(rows)
+    for i in range(6):
+        assert got[i].text == TOLD.replace("{n}", f"no{i}")
+        assert got[10 + i].text == TOLD.replace("{n}", "9")
