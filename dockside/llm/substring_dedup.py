@@ -8,7 +8,8 @@ windows of twice the length, and only those whose half survived. The contract's
 length is reached after one doubling; :func:`longest_repeats` goes on until no
 window survives.
 
-Texts are dealt into blocks of some megabytes by their ``doc_id``. A block hashes
+Texts are dealt row by row into blocks of some megabytes, whatever their ``doc_id``, so
+rows of one id or of one text do not meet in a block. A block hashes
 its words with array operations and sends each window it holds once, with the
 smallest ``doc_id`` it has for it, so a passage shared by a third of all
 documents is one row per block, not one per document. Windows go by 128 bits of
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dockside.llm.common import partitions_for, store, text_bytes, worker_memo
+from dockside.llm.common import numbered, partitions_for, store, text_bytes, worker_memo
 
 # Bytes of text in a block.
 BLOCK_BYTES = 4 << 20
@@ -175,15 +176,15 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def blocks_of(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
-    """``_block, doc_id, text, _carried`` and the bytes of all texts; rows without id go by their text."""
+    """``_block, doc_id, text, _carried`` and the bytes of all texts; each row goes by its own number."""
     carried = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("int")
-    texts = docs.select(
-        F.col("doc_id").cast("long"), text_bytes().alias("text"), carried.alias("_carried")
+    texts = numbered(docs, "_dealt_by").select(
+        F.col("doc_id").cast("long"), text_bytes().alias("text"), carried.alias("_carried"), "_dealt_by"
     )
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_BYTES))
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    return texts.select(F.pmod(key, F.lit(n)).alias("_block"), "doc_id", "text", "_carried"), total
+    block = F.pmod(F.xxhash64("_dealt_by"), F.lit(n)).alias("_block")
+    return texts.select(block, "doc_id", "text", "_carried"), total
 
 
 # What a block is told: copies (``a`` id, ``digest`` of the text), halves (``a``), or

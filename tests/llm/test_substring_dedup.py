@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+from dockside.llm import substring_dedup
 from dockside.llm.substring_dedup import longest_repeats, remove_repeats
 
 SPLIT = re.compile("[^\x20\x09-\x0d]+")
@@ -68,3 +69,18 @@ def test_longest(make_docs):
     rows = [(1, " ".join(words)), (2, " ".join(words[:14])), (3, " ".join(words[5:40])), (4, "b"), (5, "b")]
     got = {r.doc_id: r.longest for r in longest_repeats(make_docs(rows)).collect()}
     assert got == {2: 13, 3: 26}
+
+
+def test_rows_of_one_id_are_dealt_out(make_docs, corpus, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 4096)
+    passage = " ".join(f"b{i}" for i in range(60))
+    hot = [(9000, f"{passage} {i}") for i in range(150)] + [(None, passage)] * 150 + [(8000, passage)] * 60
+    blocks, total = substring_dedup.blocks_of(make_docs(corpus + hot))
+    counts = [r["count"] for r in blocks.groupBy("_block").count().collect()]
+    assert sum(counts) == len(corpus + hot)
+    assert len(counts) > 10 and max(counts) < 60
+    # The same at every reading.
+    twice = [sorted(map(tuple, blocks.select("_block", "doc_id", "text").collect()), key=repr) for _ in "ab"]
+    assert twice[0] == twice[1]
+    got = [tuple(r) for r in remove_repeats(make_docs(corpus + hot)).collect()]
+    assert sorted(got, key=repr) == brute(corpus + hot)
