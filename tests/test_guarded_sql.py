@@ -1,6 +1,6 @@
 import pytest
 
-from conftest import as_rows, plan_of
+from helpers import as_rows, plan_of
 from dockside.operators import guarded_sql as g
 
 VERDICTS = {

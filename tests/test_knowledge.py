@@ -1,6 +1,6 @@
 import pytest
 
-from conftest import as_rows, order_line
+from helpers import as_rows, order_line
 from dockside.operators import knowledge
 from dockside.sources.tables import load_knowledge, write_knowledge
 

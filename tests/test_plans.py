@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import as_rows, plan_of
+from helpers import as_rows, plan_of
 from dockside.operators import knowledge, reports
 from dockside.plans.catalog import CORPUS, QUERIES, TEST_MARKETS
 from dockside.sources.star import sales_orders

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import ORDER_SCHEMA, as_rows, order_line, plan_of
+from helpers import ORDER_SCHEMA, as_rows, order_line, plan_of
 from dockside.functions import checks
 from dockside.operators import reports
 from dockside.schema import DIMENSIONS, require_columns

@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 
-from conftest import as_rows, plan_of
+from helpers import as_rows, plan_of
 from dockside.functions.text import strip_marks
 from dockside.operators import requests
 from dockside.streaming.throttle import over_limit, run_to_table, throttle_counts, throttle_stream

@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.errors import PySparkException
 
-from conftest import as_rows, order_line
+from helpers import as_rows, order_line
 from dockside.plans.ingest import run_ingest
 from dockside.session import is_local, shared_dir
 from dockside.sources.csv_orders import normalize_columns, normalize_name, read_orders_csv

@@ -3,7 +3,7 @@ import re
 import numpy as np
 import pytest
 
-from conftest import as_rows, plan_of
+from helpers import as_rows, plan_of
 from dockside.functions import nearest
 from dockside.operators import cells, vectors
 
