@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dockside.llm import (
     decontaminate,
+    fill_middle,
     html_extract,
     licenses,
     neighbours,
@@ -84,6 +85,23 @@ def op10_simhash(spark, folder):
     return simhash.near_duplicates(read(spark, folder, "documents"))
 
 
+def op12_fill_in_middle(spark, folder):
+    """Fill-in-the-middle form of every document, as digests of the output and of the text in it.
+
+    NULLs, empty and long texts, ties and repeated rows: see ``fill_middle.fill_in_middle``.
+    """
+    samples = fill_middle.fill_in_middle(read(spark, folder, "documents"))
+    return samples.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored_text().cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -97,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sharding,
         op9_toxicity,
         op10_simhash,
+        op12_fill_in_middle,
     )
 }
 
@@ -169,7 +188,35 @@ NEAREST = """
     FROM parts)
   SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
 
+FILL_IN_MIDDLE = r"""
+  WITH cut AS (
+    SELECT doc_id, COALESCE(text, '') AS text,
+      regexp_extract_all(COALESCE(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+      sha256('1:' || COALESCE(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+  drawn AS (
+    SELECT doc_id, text, units, CAST(len(units) AS BIGINT) AS n,
+      CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(units) + 1) AS x,
+      CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(units) + 1) AS y,
+      CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS chance,
+      CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS way FROM cut),
+  parts AS (
+    SELECT doc_id, text, n,
+      CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+        OR chance >= 90 THEN 'plain' WHEN way < 20 THEN 'spm' ELSE 'psm' END AS form,
+      array_to_string(units[1:LEAST(x, y)], '') AS pre,
+      array_to_string(units[LEAST(x, y) + 1:GREATEST(x, y)], '') AS mid,
+      array_to_string(units[GREATEST(x, y) + 1:], '') AS suf FROM drawn),
+  formed AS (
+    SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+      ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END AS output FROM parts)
+  SELECT doc_id, n, form,
+    CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+    sha256(output) AS output_sha256, sha256(pre || mid || suf) AS restored_sha256
+  FROM formed"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_fill_in_middle": FILL_IN_MIDDLE,
     "op3_decontamination": CONTAMINATION,
     "op4_nearest": NEAREST,
     "op6_substring_dedup": REPEATS,
