@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dockside.llm import (
+    conversations,
     decontaminate,
     fill_middle,
     html_extract,
@@ -102,6 +103,15 @@ def op12_fill_in_middle(spark, folder):
     )
 
 
+def op13_conversation_repair(spark, folder):
+    """Faults and the cheapest repair of every damaged conversation, with a digest of the repaired turns.
+
+    NULLs, long texts, ties, repeated rows and conversations without rows: see ``conversations.repair``.
+    """
+    pieces = conversations.repair_damaged(read(spark, folder, "conversations"))
+    return conversations.digests(pieces)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -116,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_toxicity,
         op10_simhash,
         op12_fill_in_middle,
+        op13_conversation_repair,
     )
 }
 
@@ -215,7 +226,92 @@ FILL_IN_MIDDLE = r"""
     sha256(output) AS output_sha256, sha256(pre || mid || suf) AS restored_sha256
   FROM formed"""
 
+def _crc32(text: str) -> str:
+    """SQL of the CRC-32 of an ASCII text, bit by bit."""
+    # The polynomial, bits reversed, and the start.
+    shifted = (
+        "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))"
+    )
+    codes = f"list_transform(string_split({text}, ''), lambda ch: CAST(ord(ch) AS BIGINT))"
+    start = "CAST(4294967295 AS BIGINT)"
+    return f"xor(list_reduce(list_prepend({start}, {codes}), lambda c, b: {shifted}), {start})"
+
+
+# Ways over a row: state before, inserted turns, state at the row's own edit.
+_WAYS = ", ".join(
+    f"({e}, '{'I' * k}', {s}, {5 * k})"
+    for e, chain in ((0, (0, 2, 3)), (1, (1, 2, 3)), (2, (2, 3, 2)), (3, (3, 2, 3)))
+    for k, s in enumerate(chain)
+)
+
+CONVERSATION_REPAIR = rf"""
+  WITH RECURSIVE given AS (
+    SELECT conv_id, turn, COALESCE(role, ' ') AS role, COALESCE(text, ' ') AS text,
+      {_crc32("COALESCE(CAST(conv_id AS VARCHAR), ' ') || ':' || COALESCE(CAST(turn AS VARCHAR), ' ')")}
+        % 20 AS kind FROM conversations),
+  damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+      CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+      unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM given WHERE kind <> 0),
+  placed AS (
+    SELECT *, rtrim(text, E' 	
+
+') AS body,
+      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i,
+      row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM damaged),
+  judged AS (
+    SELECT *, substr(role, 1, 1) AS initial,
+      CASE WHEN body = '' THEN 1 WHEN nth > 1 THEN 2 WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END
+        AS fault FROM placed),
+  paired AS (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM judged),
+  told AS (
+    SELECT conv_id, COUNT(*) AS n,
+      COALESCE(MAX(turn) - MIN(turn) + 1 - COUNT(DISTINCT turn), 0) AS gaps,
+      COUNT(*) FILTER (fault = 1) AS blank, COUNT(*) FILTER (fault = 2) AS duplicate,
+      COUNT(*) FILTER (fault = 3) AS truncated,
+      COUNT(*) FILTER (i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM paired GROUP BY conv_id),
+  ways(e, ins, s, paid) AS (VALUES {_WAYS}),
+  steps AS (
+    SELECT j.conv_id, j.i, w.e,
+      CASE WHEN k.edit = 'D' THEN w.s WHEN k.edit = 'R' THEN CASE w.s WHEN 2 THEN 3 ELSE 2 END
+        ELSE CASE j.initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END END AS x,
+      CAST(w.paid + CASE k.edit WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END
+        + CASE WHEN k.edit <> 'D' AND j.fault = 3 THEN 5 ELSE 0 END AS BIGINT) AS cost,
+      w.ins || k.edit AS edits,
+      list_transform(range(length(w.ins)), lambda t: CASE (w.e = 2) = (t % 2 = 0) WHEN true THEN 'assistant:' ELSE 'user:' END)
+        || CASE k.edit WHEN 'D' THEN CAST([] AS VARCHAR[])
+          WHEN 'K' THEN [j.role || ':' || j.text]
+          ELSE [CASE w.s WHEN 2 THEN 'assistant:' ELSE 'user:' END || j.text] END AS written
+    FROM judged j, ways w, (VALUES ('D'), ('R'), ('K')) k(edit)
+    WHERE k.edit = 'D' OR j.fault IN (0, 3) AND (k.edit = 'R' OR
+      (j.initial = 's' AND w.s = 0) OR (j.initial = 'u' AND w.s IN (0, 1, 3)) OR (j.initial = 'a' AND w.s = 2))),
+  walk AS (
+    SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS x,
+      {{'cost': CAST(0 AS BIGINT), 'audit': '', 'written': CAST([] AS VARCHAR[])}} AS best
+    FROM (SELECT DISTINCT conv_id FROM conversations)
+    UNION ALL
+    SELECT conv_id, i, x, best FROM (
+      SELECT w.conv_id, s.i, s.x, MIN({{'cost': w.best.cost + s.cost, 'audit': w.best.audit || s.edits,
+        'written': w.best.written || s.written}}) AS best
+      FROM walk w JOIN steps s ON w.conv_id IS NOT DISTINCT FROM s.conv_id AND s.i = w.i + 1 AND s.e = w.x
+      GROUP BY w.conv_id, s.i, s.x)),
+  ended AS (
+    SELECT w.conv_id, MIN({{
+      'cost': w.best.cost + CASE w.x WHEN 1 THEN 10 WHEN 2 THEN 5 ELSE 0 END,
+      'audit': w.best.audit || CASE w.x WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END,
+      'written': w.best.written || CASE w.x WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:']
+        ELSE CAST([] AS VARCHAR[]) END}}) AS best, any_value(t.gaps) AS gaps, any_value(t.blank) AS blank,
+      any_value(t.duplicate) AS duplicate, any_value(t.truncated) AS truncated, any_value(t.illegal) AS illegal
+    FROM walk w LEFT JOIN told t ON w.conv_id IS NOT DISTINCT FROM t.conv_id
+    WHERE w.i = COALESCE(t.n, 0) GROUP BY w.conv_id)
+  SELECT conv_id, COALESCE(gaps, 0) AS gaps, COALESCE(blank, 0) AS blank, COALESCE(duplicate, 0) AS duplicate,
+    COALESCE(truncated, 0) AS truncated, COALESCE(illegal, 0) AS illegal, best.cost AS cost, best.audit AS audit,
+    sha256(array_to_string(best.written, chr(10))) AS repaired_sha256
+  FROM ended"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_conversation_repair": CONVERSATION_REPAIR,
     "op12_fill_in_middle": FILL_IN_MIDDLE,
     "op3_decontamination": CONTAMINATION,
     "op4_nearest": NEAREST,

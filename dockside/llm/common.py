@@ -6,6 +6,7 @@ import sys
 import types
 
 import pyarrow as pa
+import xxhash
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from dockside.session import store
 
 __all__ = [
-    "LOWER_BYTES", "WORD_BYTES", "numbered", "partitions_for", "record_batch", "store",
-    "text_bytes", "words_of", "worker_memo",
+    "LOWER_BYTES", "WORD_BYTES", "numbered", "partitions_for", "record_batch", "row_numbers",
+    "store", "text_bytes", "words_of", "worker_memo",
 ]
 
 # Lower-cased letters and digits of ASCII, and every byte of other characters,
@@ -53,6 +54,26 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
         return store(df.withColumn(name, row), "numbered")
 
 
+def row_numbers(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a struct ``name`` (``file``, ``number``) that tells its rows apart at every reading.
+
+    Of a stored Parquet table it is a hash of the file's path, and the row in the file;
+    any other frame is stored first. Two files of one hash stop the job.
+    """
+    try:
+        path = F.col("_metadata.file_path")
+        row = F.struct(F.xxhash64(path).alias("file"), F.col("_metadata.row_index").alias("number"))
+        found = df.withColumn(name, row)
+        found.schema  # fails where the frame is no file
+    except AnalysisException:
+        row = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("number"))
+        return store(df.withColumn(name, row), "numbered")
+    files = df.inputFiles()
+    if len({xxhash.xxh64_intdigest(f.encode(), 42) for f in files}) < len(files):
+        raise ValueError("two files have one hash; store the table under another path")
+    return found
+
+
 def partitions_for(df: DataFrame, rows: int, per_task: int) -> int:
     """Shuffle partitions, more of them where a task would get over ``per_task`` rows."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
