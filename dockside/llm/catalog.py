@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dockside.llm import (
+    brown,
     conversations,
     decontaminate,
     fill_middle,
@@ -86,6 +87,15 @@ def op10_simhash(spark, folder):
     return simhash.near_duplicates(read(spark, folder, "documents"))
 
 
+def op11_class_scores(spark, folder):
+    """Log probability of every document under a class-based model of six sevenths of them.
+
+    NULLs, empty and long texts, ties, repeated rows and empty tables: see ``brown.class_model``.
+    """
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return brown.class_model(read(spark, folder, "documents"), held_out).scores
+
+
 def op12_fill_in_middle(spark, folder):
     """Fill-in-the-middle form of every document, as digests of the output and of the text in it.
 
@@ -125,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sharding,
         op9_toxicity,
         op10_simhash,
+        op11_class_scores,
         op12_fill_in_middle,
         op13_conversation_repair,
     )

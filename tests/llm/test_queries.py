@@ -25,6 +25,8 @@ COLUMNS = {
     " grown_shard:int",
     "op9_toxicity": "doc_id:bigint held_out:boolean score:double predicted:int",
     "op10_simhash": "doc_id:bigint fingerprint:string component_id:bigint",
+    "op11_class_scores": "doc_id:bigint held_out:boolean n_tokens:bigint n_known:bigint"
+    " train_tokens:bigint base_score:double score:double",
     "op12_fill_in_middle": "doc_id:bigint n:bigint form:string prefix_chars:bigint"
     " middle_chars:bigint output_sha256:string restored_sha256:string",
     "op13_conversation_repair": "conv_id:bigint gaps:bigint blank:bigint duplicate:bigint"
