@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dockside.llm.common import LOWER_BYTES, partitions_for, record_batch, store, text_bytes
+from dockside.llm.common import LOWER_BYTES, partitions_for, record_batch, store, text_bytes, tidy
 
 # Classes of words, besides that of the end and that of unknown words.
 CLASSES = 64
@@ -82,7 +82,7 @@ def count_words(texts: DataFrame) -> DataFrame:
         if seen:
             yield record_batch(schema, list(seen), list(seen.values()))
 
-    counted = texts.select("text").mapInArrow(count, "word binary, n long")
+    counted = texts.select("text").mapInArrow(tidy(count), "word binary, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -146,7 +146,7 @@ def encode(texts: DataFrame, core: list[bytes]) -> DataFrame:
         if ids:
             yield row(numbers, codes, ids, train, sizes)
 
-    return texts.select("doc_id", "train", "text").mapInArrow(write, ENCODED)
+    return texts.select("doc_id", "train", "text").mapInArrow(tidy(write), ENCODED)
 
 
 def _blocks(batches):
@@ -154,7 +154,7 @@ def _blocks(batches):
     for batch in batches:
         for at in range(batch.num_rows):
             row = batch.slice(at, 1)
-            codes = np.frombuffer(row.column("codes")[0].as_buffer(), np.uint32).astype(np.int64)
+            codes = np.frombuffer(row.column("codes")[0].as_buffer(), np.int32)
             sizes = row.column("sizes").flatten().to_numpy()
             train = np.repeat(row.column("train").flatten().to_numpy(zero_copy_only=False), sizes)
             yield row.column("block")[0].as_py(), codes, train, row
@@ -170,12 +170,13 @@ def count_pairs(encoded: DataFrame, n_core: int) -> DataFrame:
 
     def count(batches):
         for _, codes, train, _ in _blocks(batches):
-            near = np.minimum(codes, n_core)
-            key = np.append(END, near[:-1]) * (n_core + 1) + near
+            # The square of the core's size is below 2 ** 31.
+            key = np.minimum(codes, n_core)
+            key[1:] += key[:-1] * np.int32(n_core + 1)
             pair, n = _summed(key[train])
             yield record_batch(schema, pair // (n_core + 1), pair % (n_core + 1), n)
 
-    counted = encoded.select("block", "codes", "train", "sizes").mapInArrow(count, "a int, b int, n long")
+    counted = encoded.select("block", "codes", "train", "sizes").mapInArrow(tidy(count), "a int, b int, n long")
     return counted.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
@@ -314,9 +315,9 @@ def seen_words(encoded: DataFrame, classes: np.ndarray) -> DataFrame:
     def look(batches):
         for block, codes, train, row in _blocks(batches):
             words = row.column("words").flatten()
-            held = classes[np.minimum(codes, n_core)]
+            held = classes.astype(np.uint8)[np.minimum(codes, n_core)]
             at = np.flatnonzero(train & (codes >= n_core))
-            own = codes[at] - n_core
+            own = codes[at].astype(np.int64) - n_core
             # The last word of a text is its end, so there is a next one.
             before = np.where(at > 0, held[at - 1], END)
             key = np.append(own * (2 * ALL) + before, own * (2 * ALL) + ALL + held[at + 1])
@@ -334,7 +335,7 @@ def seen_words(encoded: DataFrame, classes: np.ndarray) -> DataFrame:
             for start in range(0, len(words), 1 << 14):
                 yield full.slice(start, 1 << 14)
 
-    return encoded.mapInArrow(look, SEEN)
+    return encoded.mapInArrow(tidy(look), SEEN)
 
 
 def assign(seen: DataFrame, table: np.ndarray, parts: int) -> DataFrame:
@@ -389,7 +390,7 @@ def assign(seen: DataFrame, table: np.ndarray, parts: int) -> DataFrame:
             yield settle(_joined(held))
 
     ordered = seen.repartition(parts, "word").sortWithinPartitions("word")
-    return ordered.mapInArrow(walk, ASSIGNED)
+    return ordered.mapInArrow(tidy(walk), ASSIGNED)
 
 
 def _joined(batches: list) -> pa.RecordBatch:

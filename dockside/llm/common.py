@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from dockside.session import store
 
 __all__ = [
-    "LOWER_BYTES", "WORD_BYTES", "numbered", "partitions_for", "record_batch", "row_numbers",
-    "store", "text_bytes", "words_of", "worker_memo",
+    "LOWER_BYTES", "WORD_BYTES", "give_back", "in_files", "numbered", "partitions_for", "record_batch",
+    "row_numbers", "store", "text_bytes", "tidy", "words_of", "worker_memo",
 ]
 
 # Lower-cased letters and digits of ASCII, and every byte of other characters,
@@ -60,18 +60,22 @@ def row_numbers(df: DataFrame, name: str) -> DataFrame:
     Of a stored Parquet table it is a hash of the file's path, and the row in the file;
     any other frame is stored first. Two files of one hash stop the job.
     """
-    try:
-        path = F.col("_metadata.file_path")
-        row = F.struct(F.xxhash64(path).alias("file"), F.col("_metadata.row_index").alias("number"))
-        found = df.withColumn(name, row)
-        found.schema  # fails where the frame is no file
-    except AnalysisException:
-        row = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("number"))
-        return store(df.withColumn(name, row), "numbered")
+    df = in_files(df)
+    path = F.col("_metadata.file_path")
+    row = F.struct(F.xxhash64(path).alias("file"), F.col("_metadata.row_index").alias("number"))
     files = df.inputFiles()
     if len({xxhash.xxh64_intdigest(f.encode(), 42) for f in files}) < len(files):
         raise ValueError("two files have one hash; store the table under another path")
-    return found
+    return df.withColumn(name, row)
+
+
+def in_files(df: DataFrame) -> DataFrame:
+    """``df`` itself if it is a stored table whose rows know their file, else a stored copy."""
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index").schema  # fails where the frame is no file
+    except AnalysisException:
+        return store(df, "numbered")
+    return df
 
 
 def partitions_for(df: DataFrame, rows: int, per_task: int) -> int:
@@ -95,10 +99,27 @@ def worker_memo(name: str) -> dict:
     memos = held.setdefault("memos", {})
     if name not in memos:
         memos.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        give_back()
         memos[name] = {}
     return memos[name]
+
+
+def give_back() -> None:
+    """Return memory that this Python process no longer needs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(step):
+    """A step over batches that gives memory back when it ends; workers live on after it."""
+
+    def run(batches):
+        try:
+            yield from step(batches)
+        finally:
+            give_back()
+
+    return run
