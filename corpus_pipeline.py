@@ -62,9 +62,8 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
         held += n
     kept = None
     for part in ranges:
-        read = docs.where(path.between(part[0][0], part[-1][0]))
-        told = maps.join(files.where(F.col("path").between(part[0][0], part[-1][0])), "file", "left_semi")
-        rows = _unmarked(read, told)
+        some = docs.where(path.between(part[0][0], part[-1][0]))
+        rows = _unmarked(some, maps.where(F.col("file").isin([number for _, number in part])))
         kept = rows if kept is None else kept.unionAll(rows)
     return kept
 
