@@ -122,3 +122,64 @@ def test_rows_are_judged_one_by_one(spark, stored):
     assert clean.dtypes == docs.dtypes
     want = [r for r in given if r[1] != passage]
     assert sorted([(r.doc_id, r.text) for r in clean.collect()], key=key) == sorted(want, key=key)
+
+
+@pytest.fixture
+def without_broadcast(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, before)
+
+
+def clashing(spark, n, files):
+    """A stored table with columns of the names that the stages like."""
+    rows = spark.range(n).select(
+        F.col("id").alias("doc_id"),
+        F.concat(F.lit("text "), F.col("id")).alias("text"),
+        F.lit("keep").alias("_row"),
+        F.lit("me").alias("_PLACE"),
+        F.lit(7).alias("file"),
+        F.lit(8).alias("bits"),
+    )
+    return corpus_pipeline.store(rows.repartition(files), "given")
+
+
+@pytest.mark.parametrize("told,stretch", [(16384, 32768), (1, 16), (3, 8)])
+def test_dropped_rows_by_file(spark, without_broadcast, monkeypatch, told, stretch):
+    """Any rows of any files, in one go or in ranges of files; other columns stay as they are."""
+    monkeypatch.setattr(corpus_pipeline, "MAPS_TOLD", told)
+    monkeypatch.setattr(corpus_pipeline, "ROWS_TOLD", stretch)
+    docs = clashing(spark, 300, 5)
+    rows, name = corpus_pipeline.with_row(docs)
+    for condition in ("doc_id % 3 = 0", "doc_id < 0", "true", "doc_id % 100 = 99"):
+        dropped = rows.where(condition).select(F.concat(F.lit("any:"), name).alias("row"))
+        kept = corpus_pipeline.without(docs, dropped)
+        assert kept.dtypes == docs.dtypes
+        assert sorted(kept.collect()) == sorted(docs.where(f"NOT ({condition})").collect())
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_texts_stay_where_they_are(spark, without_broadcast):
+    """Whatever is dropped, no exchange carries a text."""
+    docs = corpus_pipeline.store(spark.read.parquet(f"{SOURCE}/documents.parquet"), "given")
+    for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.drop_contaminated):
+        kept = stage(spark, docs, SOURCE)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+        assert "BroadcastHashJoin" in plan
+
+
+def test_columns_of_clashing_names_survive(spark):
+    schema = spark.read.parquet(f"{SOURCE}/documents.parquet").schema
+    docs = clashing(spark, 40, 2).withColumn("source", F.lit("s")).unionByName(
+        clashing(spark, 40, 2).withColumn("source", F.lit("s"))
+    )
+    assert {"doc_id", "text"} <= set(schema.fieldNames())
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SOURCE)
+    assert kept.dtypes == docs.dtypes
+    assert {(r._row, r._PLACE, r.file, r.bits) for r in kept.collect()} == {("keep", "me", 7, 8)}
+    clean = corpus_pipeline.drop_contaminated(spark, docs, SOURCE)
+    assert sorted(clean.collect()) == sorted(docs.collect())
