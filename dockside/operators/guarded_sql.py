@@ -94,6 +94,70 @@ def check_plan(session: SparkSession, sql: str, views) -> None:
         raise GuardError(PRODUCT)
 
 
+# Classes of expressions that reach past the views, however a statement names them.
+OUTSIDE_EXPRESSIONS = (
+    "CallMethodViaReflection", "TryReflect", "InputFileName", "InputFileBlockStart", "InputFileBlockLength",
+    "PythonUDF", "ScalaUDF", "HiveSimpleUDF", "HiveGenericUDF",
+)
+
+# Leaves that read no table: a single row, written-out rows, and uses of a WITH query.
+OWN_LEAVES = ("OneRowRelation", "LocalRelation", "CTERelationRef")
+
+
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _kind(node) -> str:
+    return node.getClass().getSimpleName().rstrip("$")
+
+
+def _check_expression(expression) -> None:
+    if _kind(expression) in OUTSIDE_EXPRESSIONS:
+        raise GuardError(OUTSIDE_CALL.format(expression.prettyName()))
+    for child in _items(expression.children()):
+        _check_expression(child)
+
+
+def check_analyzed(frame: DataFrame, views) -> None:
+    """Raise :class:`GuardError` for what the resolved statement reads besides ``views``.
+
+    Walks the analysed plan and the plans of its subqueries from the top. Below the node of a given
+    view anything may stand; any other leaf that could read data is refused, whichever clause or
+    function brought it there, and so is every call that reaches outside.
+    """
+    allowed = {name.lower() for name in views}
+
+    def walk(node, name: str) -> None:
+        kind = _kind(node)
+        if kind == "View":
+            name = node.desc().identifier().unquotedString()
+            if node.isTempView() and name.lower() in allowed:
+                return
+            raise GuardError(OUTSIDE_TABLE.format(name))
+        if kind == "SubqueryAlias":
+            name = node.identifier().toString()
+        if kind == "Join" and node.joinType().toString() == "Cross":
+            raise GuardError(PRODUCT)
+        for expression in _items(node.expressions()):
+            _check_expression(expression)
+        below = _items(node.children())
+        if not below and kind not in OWN_LEAVES:
+            raise GuardError(OUTSIDE_TABLE.format(name or kind.lower()))
+        for child in [*below, *_items(node.subqueries())]:
+            walk(child, name)
+
+    walk(frame._jdf.queryExecution().analyzed(), "")
+
+
+def _message(error: PySparkException) -> str:
+    """Text of a failure; a table that is not there is refused like one that is."""
+    if error.getCondition() == "TABLE_OR_VIEW_NOT_FOUND":
+        name = error.getMessageParameters()["relationName"].replace("`", "")
+        return OUTSIDE_TABLE.format(name)
+    return str(error)
+
+
 class GuardedResult:
     """Result of a guarded SELECT: a capped frame, or its rows as a record.
 
@@ -156,7 +220,8 @@ def guarded_select(
 
     The statement runs in a child session that has the caller's settings and may
     name just these views: no table of the catalog, no global view, no file, no
-    table function. The limit is part of the plan: the full result is never fetched.
+    table function. The parsed statement is looked at before any name is resolved, the
+    analysed one before anything runs. The limit is part of the plan: the full result is never fetched.
     """
     check_statement(sql)
     child = _child_session(spark)
@@ -165,9 +230,10 @@ def guarded_select(
         for name, load in views.items():
             load(child).createOrReplaceTempView(name)
         frame = child.sql(sql)
+        check_analyzed(frame, views)
         clash = {"row_count", "truncated"} & {c.lower() for c in frame.columns}
         if clash or len(set(frame.columns)) < len(frame.columns):
             raise GuardError("columns of the result need names of their own")
         return GuardedResult(frame, limit)
     except PySparkException as error:
-        raise GuardError(str(error)) from error
+        raise GuardError(_message(error)) from error

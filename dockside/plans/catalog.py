@@ -185,8 +185,11 @@ def _statement_outcomes(spark, folder):
     kinds = _statements(spark, folder).join(
         read_star(spark, folder, "events").select("event_id", "event_type"), "event_id"
     )
-    # One row per kind of event.
-    firsts = kinds.groupBy("event_type").agg(F.min("statement").alias("statement")).collect()
+    # One row per kind of event, and one that puts a name together.
+    event = F.concat(F.lit("SELECT * FROM IDENTIFIER('global_temp.' || 'event"), F.min("event_id"), F.lit("')"))
+    firsts = kinds.groupBy("event_type").agg(F.min("statement").alias("statement")).unionByName(
+        kinds.agg(F.lit("identifier").alias("event_type"), event.alias("statement"))
+    ).collect()
     views = {"orders": lambda child: sales_orders(child, folder)}
     outcomes = []
     for row in firsts:

@@ -573,7 +573,11 @@ ORACLE_SQL: dict[str, str] = {
         WHEN 'error' THEN '{BLOCKED_WORD.format("--").replace("'", "''")}'
         WHEN 'view' THEN '{BLOCKED_WORD.format("update").replace("'", "''")}'
         ELSE '{NOT_SELECT}' END AS outcome
-      FROM first_ones""",
+      FROM first_ones
+      UNION ALL
+      SELECT 'identifier', 'only the given views may be read, not ' || chr(39) || 'global_temp.event'
+        || MIN(event_id) || chr(39)
+      FROM events""",
     "sql_audit": f"WITH {STATEMENTS} SELECT * FROM audited",
     "sql_audit_counts": f"""WITH {STATEMENTS}
       SELECT verdict, blocked_by, COUNT(*) AS n FROM audited GROUP BY verdict, blocked_by""",

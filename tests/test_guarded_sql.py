@@ -93,6 +93,12 @@ def test_only_given_views(spark):
         "SELECT * FROM default.orders",
         "SELECT * FROM range(5)",
         "SELECT 1 FROM orders WHERE EXISTS (SELECT 1 FROM saved_table)",
+        "SELECT * FROM IDENTIFIER('global_temp.secret')",
+        "SELECT * FROM IDENTIFIER('global_temp.' || 'secret')",
+        "SELECT (SELECT MAX(x) FROM IDENTIFIER('global_temp.' || 'secret')) FROM orders",
+        "SELECT 1 FROM orders WHERE order_id IN (SELECT x FROM IDENTIFIER('global_temp.secret'))",
+        "SELECT * FROM IDENTIFIER('not_' || 'there')",
+        "SELECT * FROM orders JOIN LATERAL (SELECT * FROM IDENTIFIER('global_temp.secret')) ON true",
     ],
 )
 def test_no_relation_but_the_views(spark, sql):
@@ -101,12 +107,42 @@ def test_no_relation_but_the_views(spark, sql):
         g.guarded_select(spark, sql, views(1))
 
 
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT IDENTIFIER('java_' || 'method')('java.lang.System', 'lineSeparator')",
+        "SELECT IDENTIFIER('input_file_' || 'name')() FROM orders",
+        "SELECT order_id FROM orders ORDER BY IDENTIFIER('ref' || 'lect')('java.lang.System', 'lineSeparator')",
+    ],
+)
+def test_no_call_outside_by_another_name(spark, sql):
+    with pytest.raises(g.GuardError, match="not permitted"):
+        g.guarded_select(spark, sql, views(1))
+
+
+@pytest.mark.parametrize(
+    "sql,n",
+    [
+        ("SELECT a.order_id FROM orders a JOIN orders b ON a.order_id = b.order_id", 3),
+        ("SELECT order_id FROM IDENTIFIER('ord' || 'ers')", 3),
+        ("SELECT order_id FROM orders WHERE order_id IN (SELECT MAX(order_id) FROM orders)", 1),
+        ("SELECT x FROM VALUES (1), (2) AS v(x)", 2),
+        ("SELECT order_id FROM ORDERS UNION ALL SELECT 9", 4),
+        ("SELECT 1", 1),
+    ],
+)
+def test_the_views_in_any_form(spark, sql, n):
+    assert g.guarded_select(spark, sql, views(3)).collect()["row_count"] == n
+
+
 def test_saved_tables_stay_hidden(spark, tmp_path):
     spark.sql("DROP TABLE IF EXISTS saved_numbers")
     spark.range(3).write.option("path", str(tmp_path / "saved")).saveAsTable("saved_numbers")
     try:
         with pytest.raises(g.GuardError, match="given views"):
             g.guarded_select(spark, "SELECT * FROM saved_numbers", views(1))
+        with pytest.raises(g.GuardError, match="given views"):
+            g.guarded_select(spark, "SELECT * FROM IDENTIFIER('saved_' || 'numbers')", views(1))
     finally:
         spark.sql("DROP TABLE saved_numbers")
 
