@@ -9,6 +9,7 @@ from dockside.functions.text import strip_marks
 from dockside.operators import (
     cells,
     cleaning,
+    codes,
     guarded_sql,
     knowledge,
     profiling,
@@ -109,20 +110,23 @@ def _knn_many(spark, folder):
     return hits.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-# The cell index of a folder's vectors, built once per application.
-_CELL_INDEX: dict[tuple[str, str], str] = {}
-
-
 def _knn_cells(spark, folder):
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _CELL_INDEX:
-        path = new_shared_path(spark, "cells")
-        cells.build_cells(_base_vectors(spark, folder), path, n_cells=16)
-        _CELL_INDEX[key] = path
-    hits = cells.knn_cells(_label_vectors(spark, folder), spark, _CELL_INDEX[key], 10)
+    path = new_shared_path(spark, "cells")
+    cells.build_cells(_base_vectors(spark, folder), path, n_cells=16)
+    hits = cells.knn_cells(_label_vectors(spark, folder), spark, path, 10)
     return hits.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def _knn_codes(spark, folder):
+    """Approximate search against the exact one: hits, and whether nine of ten were found."""
+    path = new_shared_path(spark, "codes")
+    base, queries = _base_vectors(spark, folder), _label_vectors(spark, folder)
+    codes.build_codes(base, path, n_cells=16)
+    found = codes.knn_codes(queries, spark, path, 25, n_probe=13)
+    measured = codes.recall(found, vectors.knn(queries, base, 25, "l2sq"))
+    return measured.select("queries", "exact_hits", (F.col("recall") >= 0.9).alias("nine_of_ten"))
+
+
 def _document_hits(spark, folder, k):
     docs = read_star(spark, folder, "documents").select("doc_id", "text", "source")
     # Vectors that have a document; only ids meet here.
@@ -407,6 +411,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_l2_relevance": _knn_l2_relevance,
     "knn_context": _knn_context,
     "knn_cells": _knn_cells,
+    "knn_codes": _knn_codes,
     "corpus_vectors": _corpus_vectors,
     "search_corpus": _search_corpus,
     "guarded_select": _guarded_select,

@@ -551,6 +551,10 @@ ORACLE_SQL: dict[str, str] = {
     "knn_cosine": KNN_COSINE,
     "knn_many": KNN_MANY,
     "knn_cells": KNN_CELLS,
+    "knn_codes": """
+      SELECT COUNT(DISTINCT label) AS queries,
+        COUNT(DISTINCT label) * LEAST(25, COUNT(*)) AS exact_hits, TRUE AS nine_of_ten
+      FROM embeddings""",
     "knn_l2_relevance": f"WITH {DOCUMENT_HITS} SELECT * FROM hits",
     "knn_context": f"""WITH {DOCUMENT_HITS}
       SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context
