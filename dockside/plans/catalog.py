@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from dockside.functions.text import strip_marks
 from dockside.operators import (
+    asof,
     cells,
     cleaning,
     codes,
     guarded_sql,
+    intervals,
     knowledge,
+    ordered,
     profiling,
     reports,
     requests,
@@ -327,6 +330,55 @@ def _knowledge_round_trip(spark, folder):
     )
 
 
+def _previous_purchase(spark, folder):
+    """Every event with the user's last purchase before it."""
+    events = read_star(spark, folder, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    bought = events.where("event_type = 'purchase'")
+    return asof.asof_join(
+        events.select("event_id", "user_id", "ts"), bought, "user_id", "ts", ["event_id", "value"], "event_id"
+    ).select("event_id", "user_id", "prev_event_id", "prev_value")
+
+
+def _orders_in_shipping(spark, folder):
+    """How many earlier orders of the customer had not been shipped in full when an order came."""
+    orders = read_star(spark, folder, "orders").select(
+        "o_orderkey", "o_custkey", F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("ordered")
+    )
+    shipped = read_star(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.unix_seconds(F.max("l_shipdate").cast("timestamp")).alias("shipped")
+    )
+    spans = orders.join(shipped, "o_orderkey")
+    pairs = intervals.interval_join(orders, spans, "ordered", "ordered", "shipped", 30 * 86400, key="o_custkey")
+    others = pairs.where("p.o_orderkey <> i.o_orderkey")
+    return others.groupBy(F.col("p.o_orderkey").alias("o_orderkey")).agg(
+        F.count(F.lit(1)).alias("open_orders"), F.min("i.o_orderkey").alias("first_open")
+    )
+
+
+def _running_revenue(spark, folder):
+    """Revenue of a market up to each of its orders, in cents."""
+    lines = sales_orders(spark, folder, ("market", "order_id", "order_date_dateorders", "sales"))
+    cents = F.round(F.col("sales") * 100).cast("long")
+    orders = lines.groupBy("market", "order_id", "order_date_dateorders").agg(F.sum(cents).alias("cents"))
+    month = F.date_trunc("month", F.col("order_date_dateorders").cast("timestamp"))
+    return ordered.running_total(
+        orders, "market", ["order_date_dateorders", "order_id"], "cents", month
+    ).select("market", "order_id", "cents", "running")
+
+
+def _sales_rank(spark, folder):
+    """Place of every order line by sales, the largest first."""
+    lines = read_star(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    order = [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")]
+    return ordered.global_rank(lines, order)
+
+
+def _sales_percentiles(spark, folder):
+    lines = sales_orders(spark, folder, ("sales",))
+    found = ordered.exact_percentiles(lines, "sales", [0.01, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0])
+    return found.select("share", F.round("value", 4).alias("value"))
+
+
 def _duplicates(spark, folder):
     return profiling.duplicate_profile(read_star(spark, folder, "documents").select("text", "lang"))
 
@@ -390,6 +442,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "distinct_markets": _on_orders(
         lambda df: profiling.distinct_values(df, "market"), ("market",)
     ),
+    "previous_purchase": _previous_purchase,
+    "orders_in_shipping": _orders_in_shipping,
+    "running_revenue": _running_revenue,
+    "sales_rank": _sales_rank,
+    "sales_percentiles": _sales_percentiles,
     "clean_orders": _on_orders(cleaning.clean_orders, RAW_COLUMNS),
     "clean_report": _clean_report,
     "remaining_nulls": _on_orders(

@@ -550,6 +550,36 @@ ORACLE_SQL: dict[str, str] = {
       QUALIFY row_number() OVER (PARTITION BY source ORDER BY id) = 1"""),
     "knn_cosine": KNN_COSINE,
     "knn_many": KNN_MANY,
+    "previous_purchase": """
+      WITH bought AS (SELECT * FROM events WHERE event_type = 'purchase'),
+      found AS (
+        SELECT e.event_id, MAX({'ts': b.ts, 'id': b.event_id, 'value': b.value}) AS f
+        FROM events e JOIN bought b ON e.user_id = b.user_id AND b.ts < e.ts GROUP BY e.event_id)
+      SELECT e.event_id, e.user_id, f.f.id AS prev_event_id, f.f.value AS prev_value
+      FROM events e LEFT JOIN found f USING (event_id)""",
+    "orders_in_shipping": """
+      WITH spans AS (
+        SELECT o_orderkey, o_custkey, any_value(o_orderdate) AS ordered, MAX(l_shipdate) AS shipped
+        FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey)
+      SELECT o.o_orderkey, COUNT(*) AS open_orders, MIN(s.o_orderkey) AS first_open
+      FROM orders o JOIN spans s ON o.o_custkey = s.o_custkey AND o.o_orderkey <> s.o_orderkey
+        AND s.ordered <= o.o_orderdate AND o.o_orderdate < s.shipped
+      GROUP BY o.o_orderkey""",
+    "running_revenue": _orders("""
+      SELECT market, order_id, cents, CAST(SUM(cents) OVER (
+        PARTITION BY market ORDER BY order_date_dateorders, order_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running
+      FROM (
+        SELECT market, order_id, order_date_dateorders, CAST(SUM(CAST(ROUND(sales * 100) AS BIGINT)) AS BIGINT) AS cents
+        FROM sales_orders GROUP BY ALL)"""),
+    "sales_rank": """
+      SELECT l_orderkey, l_linenumber, l_extendedprice,
+        row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS place
+      FROM lineitem""",
+    "sales_percentiles": _orders("""
+      SELECT share, ROUND((SELECT quantile_cont(sales, [0.01, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]) FROM sales_orders)[i], 4)
+        AS value
+      FROM (SELECT unnest([0.01::DOUBLE, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]) AS share,
+        unnest(range(1, 8)) AS i)"""),
     "knn_cells": KNN_CELLS,
     "knn_codes": """
       SELECT COUNT(DISTINCT label) AS queries,
