@@ -22,7 +22,8 @@ from dockside.operators import (
 )
 from dockside.schema import FREQUENCY_COLUMNS, ORDER_TYPES, PII_COLUMNS, USEFULNESS_COLUMNS
 from dockside.session import materialize, new_shared_path
-from dockside.sources.csv_orders import normalize_columns, read_orders_csv
+from dockside.plans.ingest import run_ingest
+from dockside.sources.csv_orders import normalize_columns, read_orders_csv, split_orders_csv
 from dockside.sources.star import (
     CLEAN_COLUMNS,
     RAW_COLUMNS,
@@ -30,7 +31,13 @@ from dockside.sources.star import (
     read_star,
     sales_orders,
 )
-from dockside.sources.tables import load_knowledge, load_orders, write_knowledge, write_table
+from dockside.sources.tables import (
+    load_knowledge,
+    load_orders,
+    load_stored,
+    write_knowledge,
+    write_table,
+)
 from dockside.streaming.throttle import over_limit, run_to_table, throttle_counts
 
 # Fixed values of the test tables.
@@ -294,11 +301,9 @@ def _first_use_sequence(spark, folder):
     return uses.select("user_id", F.array_join("sequence", ",").alias("sequence"))
 
 
-def _csv_round_trip(spark, folder):
-    """The raw order table through several Latin-1 CSV files, cleaning and storing."""
-    path = new_shared_path(spark, "round-trip")
-    raw = sales_orders(spark, folder, RAW_COLUMNS)
-    headers = [f" {name.replace('_', ' ').title()} " for name in RAW_COLUMNS]
+def _write_csv(raw: DataFrame, path: str, **options) -> None:
+    """Several Latin-1 files with headers as an export has them."""
+    headers = [f" {name.replace('_', ' ').title()} " for name in raw.columns]
     writer = raw.toDF(*headers).repartition(4).write.options(
         header=True,
         encoding="ISO-8859-1",
@@ -306,14 +311,59 @@ def _csv_round_trip(spark, folder):
         ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False,
         timestampNTZFormat="M/d/yyyy H:mm",
+        **options,
     )
-    writer.csv(f"{path}/csv")
+    writer.csv(path)
+
+
+def _csv_round_trip(spark, folder):
+    """The raw order table through CSV files, cleaning and storing."""
+    path = new_shared_path(spark, "round-trip")
+    _write_csv(sales_orders(spark, folder, RAW_COLUMNS), f"{path}/csv")
     types = {**ORDER_TYPES, "product_status": "int"}
     read = read_orders_csv(spark, f"{path}/csv", types)
     write_table(cleaning.clean_orders(read), f"{path}/orders")
     return load_orders(spark, f"{path}/orders", view=None)
 
 
+def _csv_quarantine(spark, folder):
+    """CSV files with planted bad lines: the good ones by market, the bad ones by reason."""
+    path = new_shared_path(spark, "quarantine")
+    names = ("order_id", "market", "sales", "order_date_dateorders")
+    number, text = F.col("order_id"), sales_orders(spark, folder, names)
+    planted = text.select(
+        "order_id",
+        F.when(number % 101 == 0, F.concat("market", F.lit(",x"))).otherwise(F.col("market")).alias("market"),
+        F.when(number % 97 == 0, F.lit("much")).otherwise(F.col("sales").cast("string")).alias("sales"),
+        F.when(number % 89 == 0, F.lit("soon"))
+        .otherwise(F.date_format("order_date_dateorders", "M/d/yyyy H:mm"))
+        .alias("order_date_dateorders"),
+    )
+    # Without quotes, a comma in a field is one field more.
+    _write_csv(planted, f"{path}/csv", quote="")
+    good, bad = split_orders_csv(spark, f"{path}/csv")
+    write_table(good, f"{path}/good")
+    write_table(bad, f"{path}/bad")
+    counted = load_stored(spark, f"{path}/good").groupBy(F.col("market").alias("outcome"))
+    counted = counted.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.round(F.col("sales") * 100)), 0).alias("cents"))
+    reasons = load_stored(spark, f"{path}/bad").groupBy(F.col("reason").alias("outcome"))
+    return counted.unionByName(reasons.agg(F.count(F.lit(1)).alias("n"), F.lit(0.0).alias("cents")))
+
+
+def _ingest(spark, folder):
+    """The whole load from CSV files, run twice over the same target: rows of what it stored."""
+    path = new_shared_path(spark, "ingest")
+    _write_csv(sales_orders(spark, folder, RAW_COLUMNS), f"{path}/csv")
+    for _ in range(2):
+        paths = run_ingest(spark, f"{path}/csv", f"{path}/out", keep_bad=True)
+    stored = load_knowledge(spark, paths["knowledge"])
+    found = stored.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    for name in ("orders", "rejected"):
+        rows = load_stored(spark, paths[name]).agg(F.count(F.lit(1)).alias("n"))
+        found = found.unionByName(rows.select(F.lit(name).alias("source"), "n"))
+    return found
+
+
 def _knowledge_round_trip(spark, folder):
     """Stored documents by source, and how many of them are their own nearest one."""
     path = new_shared_path(spark, "knowledge")
@@ -422,6 +472,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "duplicate_order_rows": _on_orders(profiling.duplicate_profile),
     "lookup_keys": lookup_keys,
     "csv_round_trip": _csv_round_trip,
+    "csv_quarantine": _csv_quarantine,
+    "ingest": _ingest,
     "knowledge_round_trip": _knowledge_round_trip,
     "pii_presence": _on_orders(profiling.pii_sample, PII_COLUMNS),
     "non_null_counts": _on_orders(profiling.non_null_counts, USEFULNESS_COLUMNS),

@@ -550,6 +550,16 @@ ORACLE_SQL: dict[str, str] = {
       QUALIFY row_number() OVER (PARTITION BY source ORDER BY id) = 1"""),
     "knn_cosine": KNN_COSINE,
     "knn_many": KNN_MANY,
+    "csv_quarantine": _orders("""
+      SELECT CASE WHEN order_id % 101 = 0 THEN 'malformed line' WHEN order_id % 97 = 0 THEN 'sales does not fit'
+          WHEN order_id % 89 = 0 THEN 'order_date_dateorders does not fit' ELSE market END AS outcome,
+        COUNT(*) AS n,
+        CAST(SUM(CASE WHEN order_id % 101 = 0 OR order_id % 97 = 0 OR order_id % 89 = 0 THEN 0
+          ELSE ROUND(sales * 100) END) AS DOUBLE) AS cents
+      FROM sales_orders GROUP BY 1"""),
+    "ingest": _corpus("""
+      SELECT source, COUNT(*) AS n FROM corpus GROUP BY source
+      UNION ALL SELECT 'orders', COUNT(*) FROM lineitem UNION ALL SELECT 'rejected', 0"""),
     "previous_purchase": """
       WITH bought AS (SELECT * FROM events WHERE event_type = 'purchase'),
       found AS (

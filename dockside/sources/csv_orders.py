@@ -5,8 +5,10 @@ import re
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dockside.schema import DATE_COLUMNS, ORDER_TYPES
+from dockside.session import store
 
 # Texts read as NULL, besides the empty field.
 NULL_TOKENS = (
@@ -52,6 +54,16 @@ def read_orders_csv(
     does not fit its type, or a file with another header, stops the read. ``multi_line`` allows line breaks in
     quoted fields, but such files cannot be split between tasks.
     """
+    raw = _raw_lines(spark, path, encoding, mode, multi_line)
+    raw = normalize_columns(raw)
+    known = ORDER_TYPES if types is None else types
+    return raw.select(*[_typed(name, known, date_pattern) for name in raw.columns])
+
+
+def _raw_lines(
+    spark: SparkSession, path: str, encoding: str, mode: str, multi_line: bool, corrupt: str | None = None
+) -> DataFrame:
+    """All columns as text, by the names of the header; ``corrupt`` names a column for lines that do not fit."""
     reader = (
         spark.read.option("header", True)
         .option("encoding", encoding)
@@ -62,12 +74,69 @@ def read_orders_csv(
     try:
         # The header of one file is held against that of every other one: files whose
         # columns stand in another order stop the read instead of being mixed up.
-        header = reader.csv(path).schema
-        raw = reader.option("enforceSchema", False).schema(header).csv(path)
+        schema = reader.csv(path).schema
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"order file not found: {path}") from error
         raise
-    raw = normalize_columns(raw)
+    if corrupt:
+        schema = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
+        reader = reader.option("columnNameOfCorruptRecord", corrupt)
+    return reader.option("enforceSchema", False).schema(schema).csv(path)
+
+
+# Column of a line that has too few or too many fields.
+CORRUPT = "_corrupt_line"
+
+
+def _tried(name: str, kind, date_pattern: str | None) -> Column:
+    """A text as its type, NULL where it does not fit."""
+    if name in DATE_COLUMNS and date_pattern:
+        # Read in UTC and put on a clock without zone, whatever the session's zone is.
+        at = F.try_to_timestamp(F.concat(F.col(name), F.lit(" +00:00")), F.lit(f"{date_pattern} xxx"))
+        start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return start + F.make_dt_interval(secs=F.unix_seconds(at))
+    return F.col(name).try_cast(kind)
+
+
+def split_orders_csv(
+    spark: SparkSession,
+    path: str,
+    types: dict | None = None,
+    encoding: str = "ISO-8859-1",
+    date_pattern: str | None = "M/d/yyyy H:mm",
+    multi_line: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """Order lines that can be read, and the others with the reason: together all lines.
+
+    The good ones are as :func:`read_orders_csv` gives them. A bad one has ``reason`` (``malformed
+    line`` for too few or too many fields, else the first column whose value does not fit its type),
+    ``file`` and ``split`` (where its part of the file begins) and ``record``, the line or its
+    fields as JSON. The files are parsed once and stored in between; a file with another header
+    still stops the read.
+    """
+    raw = _raw_lines(spark, path, encoding, "PERMISSIVE", multi_line, CORRUPT)
+    place = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"))
+    names = [normalize_name(c) for c in raw.columns[:-1]]
+    raw = normalize_columns(raw.select("*", *place))
     known = ORDER_TYPES if types is None else types
-    return raw.select(*[_typed(name, known, date_pattern) for name in raw.columns])
+    kinds = {name: known.get(name, "string") for name in names}
+    texts = raw.withColumns({name: F.when(~F.col(name).isin(*NULL_TOKENS), F.col(name)) for name in names})
+    tried = {name: _tried(name, kind, date_pattern) for name, kind in kinds.items()}
+    reason = F.coalesce(
+        F.when(F.col(CORRUPT).isNotNull(), "malformed line"),
+        *[F.when(F.col(n).isNotNull() & tried[n].isNull(), f"{n} does not fit") for n in names],
+    )
+    record = F.coalesce(F.col(CORRUPT), F.to_json(F.struct(*names)))
+    held = store(
+        texts.select(
+            *[tried[name].alias(name) for name in names],
+            F.struct(
+                reason.alias("reason"), F.col("_file").alias("file"), F.col("_split").alias("split"),
+                F.when(reason.isNotNull(), record).alias("record"),
+            ).alias("_fault"),
+        ),
+        "lines",
+    )
+    good = held.where("_fault.reason IS NULL").select(*names)
+    return good, held.where("_fault.reason IS NOT NULL").select("_fault.*")
