@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dockside.functions.text import strip_blanks
+from dockside.operators.ordered import global_rank
 
 # Limits of a request.
 MAX_CHARS = 1500
@@ -40,17 +41,23 @@ def verdict_counts(checked: DataFrame) -> DataFrame:
     return checked.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-def conversation_history(df: DataFrame, page_turns: int = 1000) -> DataFrame:
-    """Turns of each conversation in order, in pages of ``page_turns`` turn numbers.
+def conversation_history(df: DataFrame, page_rows: int = 1000) -> DataFrame:
+    """Rows of each conversation in order, as lists of at most ``page_rows`` messages: ``conv_id, page, turns``.
 
-    A conversation shorter than a page is one row, as a list of messages. A
-    longer one goes on in the next pages, so a single conversation that holds
-    most of the table is still assembled by many tasks. ``(conv_id, turn)`` is
-    the key of the table.
+    Rows go by turn, NULL last, then by role and hash of the text. A conversation shorter than a
+    page is one row; a longer one goes on in the next pages. Places are counted over the whole
+    sorted table, so a conversation that holds most of it, or one turn number that repeats
+    without end, is sorted and assembled by many tasks, and no list is longer than a page.
     """
-    page = F.floor(F.col("turn") / page_turns).alias("page")
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
-    return df.groupBy("conv_id", page).agg(turns)
+    rows = df.select("conv_id", "turn", "role", "text")
+    order = [F.asc("conv_id"), F.asc_nulls_last("turn"), F.asc("role"), F.xxhash64("text").asc()]
+    ranked = global_rank(rows, [*order, F.monotonically_increasing_id().asc()], "_place")
+    first = ranked.groupBy(F.col("conv_id").alias("_conv")).agg(F.min("_place").alias("_first"))
+    placed = ranked.join(first, F.col("conv_id").eqNullSafe(F.col("_conv")))
+    page = F.floor((F.col("_place") - F.col("_first")) / page_rows).alias("page")
+    held = F.array_sort(F.collect_list(F.struct("_place", "turn", "role", "text")))
+    turns = F.transform(held, lambda t: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), t["text"].alias("text")))
+    return placed.groupBy("conv_id", page).agg(turns.alias("turns"))
 
 
 def ensure_system_turn(df: DataFrame, prompt: str) -> DataFrame:

@@ -18,6 +18,7 @@ from dockside.operators import (
     profiling,
     reports,
     requests,
+    sketches,
     vectors,
 )
 from dockside.schema import FREQUENCY_COLUMNS, ORDER_TYPES, PII_COLUMNS, USEFULNESS_COLUMNS
@@ -38,6 +39,7 @@ from dockside.sources.tables import (
     write_knowledge,
     write_table,
 )
+from dockside.streaming.corrections import count_to_tables
 from dockside.streaming.throttle import over_limit, run_to_table, throttle_counts
 
 # Fixed values of the test tables.
@@ -290,11 +292,45 @@ def _throttle_stream(spark, folder):
     return found.select("user_id", *bounds, "n", "over")
 
 
+def _throttle_late(spark, folder):
+    """Events in two files, the later one with older rows: windows over the limit, and what came too late."""
+    path = new_shared_path(spark, "late")
+    events = read_star(spark, folder, "events").select("event_id", "user_id", "ts")
+    for rest in (1, 0):
+        events.where(F.col("event_id") % 2 == rest).coalesce(1).write.parquet(f"{path}/in/{rest}")
+    counts = late = None
+    for rest in (1, 0):
+        stream = spark.readStream.schema(events.schema).parquet(f"{path}/in/{rest}")
+        counts, late = count_to_tables(
+            stream, "user_id", "ts", f"{path}/out", f"{path}/checkpoint-{rest}", "1 hour", 10 * 86_400, name=str(rest)
+        )
+    over = over_limit(counts, "user_id", limit=1).select(
+        F.lit("over").alias("kind"), "user_id", F.col("window_start").cast("timestamp_ntz"), "n"
+    )
+    missed = late.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("late").alias("kind"), "user_id", F.lit(None).cast("timestamp_ntz").alias("window_start"), "n"
+    )
+    return over.unionByName(missed)
+
+
 def _usage_counts(spark, folder):
     events = read_star(spark, folder, "events")
     return requests.usage_counts(events, "user_id", "event_type", EVENT_TYPES)
 
 
+def _active_users(spark, folder):
+    """Users per kind of event from sketches by day, added in two steps: exact, and whether the estimate holds."""
+    events = read_star(spark, folder, "events").select("event_type", "user_id", "ts")
+    path = new_shared_path(spark, "sketches")
+    early = F.dayofmonth("ts") <= 10
+    for part in (early, ~early):
+        sketches.add_days(events.where(part), path, F.col("ts"), ["event_type"], "user_id")
+    estimated = sketches.approx_distinct(spark, path, ["event_type"])
+    exact = events.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+    near = F.abs(F.col("estimate") - F.col("users")) <= F.col("users") * sketches.error_bound()
+    return exact.join(estimated, "event_type").select("event_type", "users", "n", near.alias("within_bound"))
+
+
 def _first_use_sequence(spark, folder):
     events = read_star(spark, folder, "events")
     uses = requests.first_use_sequence(events, "user_id", "event_type", "ts", EVENT_TYPES)
@@ -534,6 +570,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ensure_system_turn": _ensure_system_turn,
     "throttle_audit": _throttle_audit,
     "throttle_stream": _throttle_stream,
+    "throttle_late": _throttle_late,
     "usage_counts": _usage_counts,
     "first_use_sequence": _first_use_sequence,
+    "active_users": _active_users,
 }

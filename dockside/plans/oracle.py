@@ -635,9 +635,10 @@ ORACLE_SQL: dict[str, str] = {
         FROM conversations WHERE role = 'user'), {_checked("turns")}
       SELECT conv_id, turn, verdict, reason, sanitized FROM checked""",
     "conversation_history": """
-      SELECT conv_id, CAST(floor(turn / 1000) AS BIGINT) AS page, COUNT(*) AS n_turns,
-        string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript
-      FROM conversations GROUP BY 1, 2""",
+      SELECT conv_id, CAST(floor((place - 1) / 1000) AS BIGINT) AS page, COUNT(*) AS n_turns,
+        string_agg(role || ': ' || text, chr(10) ORDER BY place) AS transcript
+      FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST) AS place FROM conversations)
+      GROUP BY 1, 2""",
     "ensure_system_turn": f"""
       SELECT conv_id, turn, role, text FROM conversations
       UNION ALL
@@ -646,6 +647,18 @@ ORACLE_SQL: dict[str, str] = {
       WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')""",
     "throttle_audit": f"WITH {HOURLY} SELECT * FROM busy",
     "throttle_stream": f"WITH {HOURLY} SELECT * FROM busy",
+    "throttle_late": """
+      WITH late AS (
+        SELECT event_id, user_id FROM events
+        WHERE event_id % 2 = 0 AND ts < (SELECT MAX(ts) FROM events WHERE event_id % 2 = 1) - INTERVAL 10 DAY),
+      counted AS (
+        SELECT user_id, date_trunc('hour', ts) AS window_start, COUNT(*) AS n
+        FROM events WHERE event_id NOT IN (SELECT event_id FROM late) GROUP BY ALL)
+      SELECT 'over' AS kind, user_id, window_start, n FROM counted WHERE n > 1
+      UNION ALL SELECT 'late', user_id, NULL, COUNT(*) FROM late GROUP BY user_id""",
+    "active_users": """
+      SELECT event_type, COUNT(DISTINCT user_id) AS users, COUNT(user_id) AS n, TRUE AS within_bound
+      FROM events GROUP BY event_type""",
     "usage_counts": "SELECT user_id, "
     + ", ".join(f"COUNT(*) FILTER (event_type = '{kind}') AS {kind}" for kind in EVENT_TYPES)
     + " FROM events GROUP BY user_id",

@@ -1,11 +1,15 @@
 import datetime as dt
+import time
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from helpers import as_rows, plan_of
 from dockside.functions.text import strip_marks
 from dockside.operators import requests
 from dockside.streaming.throttle import over_limit, run_to_table, throttle_counts, throttle_stream
+from dockside.streaming.corrections import add_batch, batch_tables, count_to_tables
 
 
 def verdicts(spark, *texts):
@@ -58,11 +62,26 @@ def test_history_order_and_pages(spark, turns):
     one = spark.range(2500).selectExpr(
         "7 AS conv_id", "id AS turn", "'user' AS role", "string(id) AS text"
     )
-    pages = requests.conversation_history(one, page_turns=1000).orderBy("page").collect()
+    pages = requests.conversation_history(one, page_rows=1000).orderBy("page").collect()
     assert [len(row.turns) for row in pages] == [1000, 1000, 500]
     assert [t.turn for row in pages for t in row.turns] == list(range(2500))
 
 
+def test_history_of_one_turn_without_end(spark):
+    """50,000 rows of one turn, and as many without turn: no list is longer than a page."""
+    rows = spark.range(100_000).selectExpr(
+        "3L AS conv_id", "IF(id < 50000, 5L, NULL) AS turn", "'user' AS role", "IF(id % 2 = 0, 'same', string(id)) AS text"
+    )
+    few = spark.createDataFrame([(None, 2, "user", "b"), (None, 1, "user", None), (4, None, None, "c")], "conv_id long, turn long, role string, text string")
+    history = requests.conversation_history(rows.unionByName(few))
+    sizes = history.selectExpr("conv_id", "page", "size(turns) AS n", "turns")
+    assert sizes.where("conv_id = 3").agg(F.max("n"), F.sum("n"), F.count("n")).first()[:] == (1000, 100_000, 100)
+    assert sizes.where("conv_id = 3 AND page < 50 AND exists(turns, t -> t.turn IS NULL)").count() == 0
+    (none,) = sizes.where("conv_id IS NULL").collect()
+    assert [t.text for t in none.turns] == [None, "b"]
+    assert requests.conversation_history(few.limit(0)).collect() == []
+
+
 def test_system_turn(turns):
     rows = as_rows(requests.ensure_system_turn(turns, "hello"))
     assert len(rows) == len(TURNS) + 1
@@ -104,6 +123,39 @@ def test_throttle_stream_over_several_files(spark, tmp_path):
     assert run_to_table(throttle_counts(stream, "client", "ts"), out, checkpoint).count() == rows
 
 
+def test_late_rows_correct_windows_or_are_kept_apart(spark, tmp_path):
+    """Two files out of order: windows already written are corrected, what is too late is named."""
+    source, schema = str(tmp_path / "in"), "client long, ts timestamp_ntz, name string"
+    day = dt.timedelta(days=1)
+    start = dt.datetime(2024, 1, 1)
+    first = [(1, start + 20 * day + dt.timedelta(seconds=s), f"a{s}") for s in range(8)]
+    second = [(1, start + 20 * day + dt.timedelta(seconds=s), f"b{s}") for s in range(8, 14)]
+    second += [(1, start + 12 * day + dt.timedelta(seconds=s), f"c{s}") for s in range(11)]
+    second += [(1, start + dt.timedelta(seconds=s), f"d{s}") for s in range(11)] + [(2, None, "none")]
+    for rows in (first, second):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        time.sleep(1.1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    path, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    for _ in range(2):  # a run without new files changes nothing
+        counts, late = count_to_tables(stream, "client", "ts", path, checkpoint, allowed=10 * 86_400)
+        assert sorted(r.name for r in late.collect()) == sorted(f"d{s}" for s in range(11))
+        usable = spark.read.parquet(source).where("name NOT LIKE 'd%'")
+        want = as_rows(requests.throttle_audit(usable, "client", "ts"))
+        got = as_rows(over_limit(counts, "client"))
+        assert len(want) == 2 and sorted(r[1:] for r in got) == sorted(
+            (a.replace(tzinfo=None), b.replace(tzinfo=None), n, over) for _, a, b, n, over in want
+        )
+
+
+def test_a_batch_written_again_counts_once(spark, tmp_path):
+    rows = spark.createDataFrame(moments(*range(12)), "client long, ts timestamp_ntz")
+    path = str(tmp_path / "t")
+    for _ in range(2):
+        add_batch(rows, 0, "client", "ts", path, "1 minute", 86_400)
+    assert batch_tables(spark, path, rows.schema, "client")[0].first().n == 12
+
+
 def test_throttle_stream_in_append_mode(spark, tmp_path):
     schema = "client long, ts timestamp_ntz"
     source = str(tmp_path / "in")
