@@ -103,6 +103,42 @@ def best_of(ids, base, queries, k, metric) -> pa.Table:
     return best
 
 
+def nearest_in_parts(k, metric):
+    """Function for ``mapInArrow`` over rows sorted by part: the part's packed queries, then its base vectors.
+
+    Columns: part, query ids, dims and vectors (NULL in a row of base vectors), base ids, dims and
+    vectors (NULL in a row of queries). Queries are held while the part's base vectors go by, each of which
+    comes to this process once. At most k rows per query leave for each row of base vectors.
+    """
+
+    def scan(batches):
+        part, asked = None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if batch.column(0)[i].as_py() != part:
+                    part, asked = batch.column(0)[i].as_py(), []
+                if batch.column(1)[i].is_valid:
+                    # Copied, as the batch goes before they are needed last.
+                    ids, queries = unpack(*(batch.column(c)[i] for c in range(1, 4)))
+                    asked.append((pa.concat_arrays([ids]), queries.copy()))
+                    continue
+                ids, base = unpack(*(batch.column(c)[i] for c in range(4, 7)))
+                for query_ids, queries in asked:
+                    best = best_of(ids, base, queries, k, metric)
+                    if best is None:
+                        continue
+                    columns = [
+                        query_ids.take(best["query"].combine_chunks()),
+                        best["doc_id"].combine_chunks(),
+                        best["closeness"].combine_chunks(),
+                        pa.array(np.full(best.num_rows, part, np.int32)),
+                    ]
+                    names = ["query_id", "doc_id", "closeness", "part"]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return scan
+
+
 def nearest_in_pairs(k, metric):
     """Function for ``mapInArrow`` over pairs of packed queries and packed base vectors.
 

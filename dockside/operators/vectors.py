@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dockside.functions.checks import at_least_one, clamp_k
-from dockside.functions.nearest import nearest_in_pairs, pack
+from dockside.functions.nearest import nearest_in_pairs, nearest_in_parts, pack
 from dockside.session import store
 
 # Fixed value: length of a text vector.
@@ -19,6 +19,8 @@ DIMENSIONS = 384
 # Rows packed into one: bounds what a task compares at a time.
 QUERIES_PER_BLOCK = 1024
 ROWS_PER_CHUNK = 8192
+# Blocks of queries that a task holds while base vectors go by.
+BLOCKS_HELD = 16
 
 
 # ---- text vectors ----------------------------------------------------------
@@ -141,8 +143,18 @@ def pair_search(pairs: DataFrame, part: Column, k: int, metric: str) -> DataFram
     Ranked twice: within ``part``, a number that many pairs share, and then over
     what these leave, so a query's rows never meet in one task before most are gone.
     """
-    ids = {n: pairs.schema[n].dataType.elementType for n in ("query_ids", "doc_ids")}
-    schema = T.StructType(
+    found = pairs.select(*PACKED, part.cast("int").alias("part")).mapInArrow(
+        nearest_in_pairs(k, metric), _found_schema(pairs)
+    )
+    return _ranked(found, k)
+
+
+PACKED = ("query_ids", "query_dims", "query_vectors", "doc_ids", "doc_dims", "doc_vectors")
+
+
+def _found_schema(packed: DataFrame) -> T.StructType:
+    ids = {n: packed.schema[n].dataType.elementType for n in ("query_ids", "doc_ids")}
+    return T.StructType(
         [
             T.StructField("query_id", ids["query_ids"]),
             T.StructField("doc_id", ids["doc_ids"]),
@@ -150,10 +162,9 @@ def pair_search(pairs: DataFrame, part: Column, k: int, metric: str) -> DataFram
             T.StructField("part", T.IntegerType()),
         ]
     )
-    names = ("query_ids", "query_dims", "query_vectors", "doc_ids", "doc_dims", "doc_vectors")
-    found = pairs.select(*names, part.cast("int").alias("part")).mapInArrow(
-        nearest_in_pairs(k, metric), schema
-    )
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     for keys in (("query_id", "part"), ("query_id",)):
         order = Window.partitionBy(*keys).orderBy(F.desc("closeness"), F.asc("doc_id"))
         found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -177,8 +188,9 @@ def knn(
     not comparable and never found; the cosine with a zero vector is 0.
 
     The base is read once, in chunks of packed rows that are dealt to as many parts
-    as there are shuffle partitions; every part gets each block of queries. The
-    plan is the same for any number of queries.
+    as there are shuffle partitions; every part gets each block of queries and holds these while its
+    chunks go by, so a chunk is copied to Python once for 16 blocks. The plan is the same for any
+    number of queries.
     """
     if metric not in ("cosine", "l2sq"):
         raise ValueError("metric must be cosine or l2sq")
@@ -187,13 +199,31 @@ def knn(
 
 def _nearest(queries, base, k, metric, per_block=QUERIES_PER_BLOCK) -> DataFrame:
     """Ranked rows of :func:`knn`."""
+    dealt = _dealt(queries, base, per_block)
+    found = dealt.mapInArrow(nearest_in_parts(k, metric), _found_schema(dealt))
+    return _ranked(found, k)
+
+
+def _dealt(queries, base, per_block=QUERIES_PER_BLOCK) -> DataFrame:
+    """``part`` and packed rows, sorted: of each part its queries, and then its base vectors."""
     parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int")
-    chunks = packed_base(base).withColumn("part", number)
-    blocks = packed_queries(queries, per_block).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    )
-    return pair_search(chunks.join(blocks, "part"), F.col("part"), k, metric)
+    blocks = packed_queries(queries, per_block)
+    n = blocks.agg(F.sum(F.size("query_ids"))).first()[0] or 0
+    # Queries beyond what a task holds are another group, which meets all base vectors in parts of its own.
+    groups = max(1, -(-n // (BLOCKS_HELD * per_block)))
+
+    def any_of(number: int):
+        return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(number)).cast("int")
+
+    def each_of(number: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(number - 1)))
+
+    chunks = packed_base(base).withColumn("_part", any_of(parts)).withColumn("_group", each_of(groups))
+    blocks = blocks.withColumn("_group", any_of(groups)).withColumn("_part", each_of(parts))
+    part = (F.col("_part") * groups + F.col("_group")).cast("int").alias("part")
+    both = blocks.select(part, *PACKED[:3]).unionByName(chunks.select(part, *PACKED[3:]), allowMissingColumns=True)
+    dealt = both.repartition("part").sortWithinPartitions("part", F.col("query_ids").isNull())
+    return dealt.select("part", *PACKED)
 
 
 def _scored(ranked: DataFrame, metric: str) -> DataFrame:

@@ -3,6 +3,8 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from helpers import as_rows, plan_of
 from dockside.functions import nearest
 from dockside.operators import cells, vectors
@@ -115,6 +117,19 @@ def operators_of(df):
     return re.findall(r"^[\s:+\-*()\d]*([A-Z]\w+)", plan_of(df), re.MULTILINE)
 
 
+@pytest.mark.parametrize("held,groups", [(16, 1), (2, 4)])
+def test_base_vectors_come_to_python_once(spark, monkeypatch, held, groups):
+    """Eight blocks of queries: each chunk of the base goes by once for as many as a task holds."""
+    monkeypatch.setattr(vectors, "BLOCKS_HELD", held)
+    rng = np.random.default_rng(2)
+    points = rng.normal(size=(400, 6))
+    base, asked = frame(spark, "doc_id", points), frame(spark, "query_id", points[:40])
+    dealt = vectors._dealt(asked, base, per_block=5)
+    assert dealt.agg(F.sum(F.length("doc_vectors"))).first()[0] == groups * 400 * 6 * 8
+    hits = vectors.knn(asked, base, 3, "l2sq", per_block=5)
+    assert found_by(hits) == brute(points[:40], points, 3, "l2sq")
+
+
 def test_one_plan_for_any_number_of_queries(spark):
     rng = np.random.default_rng(8)
     base = frame(spark, "doc_id", rng.normal(size=(50, 4)))
