@@ -34,38 +34,70 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def op1_html_extraction(spark, folder):
+    """Main text of every page, found by the wrapper of its host.
+
+    NULLs, empty and long texts, ties, repeated rows and empty tables: see ``html_extract.extract_text``.
+    """
     return html_extract.extract_text(read(spark, folder, "pages"))
 
 
 def op2_packing(spark, folder):
+    """Pieces of sequences of 2,048 tokens, every document's ids each in one piece.
+
+    NULLs, empty and long texts, ties, repeated rows and empty tables: see ``packing.pack``.
+    """
     return packing.pack(read(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op3_decontamination(spark, folder):
+    """How many words of every document stand in benchmark windows of 13 words.
+
+    NULLs, empty and long texts, ties, repeated rows and empty tables: see ``decontaminate.contamination``.
+    """
     return decontaminate.contamination(
         read(spark, folder, "documents"), read(spark, folder, "benchmark")
     )
 
 
 def op4_nearest(spark, folder):
+    """The 20 nearest vectors of every twentieth one, by inner product; factor 1 is exact.
+
+    NULLs, empty and long texts, ties, repeated rows and empty tables: see ``neighbours.nearest``.
+    """
     return neighbours.nearest(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
 def op5_token_counts(spark, folder):
+    """Bytes and tokens of every document, and whether these are more than 1,024.
+
+    NULLs, empty and long texts, ties, repeated rows and empty tables: see ``token_counts.token_counts``.
+    """
     return token_counts.token_counts(
         read(spark, folder, "documents"), vocabulary("byte_bpe_50k.json")
     )
 
 
 def op6_substring_dedup(spark, folder):
+    """Words of every document left after passages of 13 words that a smaller id has, too.
+
+    NULLs, empty and long texts, ties, repeated rows and empty tables: see ``substring_dedup.remove_repeats``.
+    """
     return substring_dedup.remove_repeats(read(spark, folder, "documents"))
 
 
 def op7_license_scan(spark, folder):
+    """Licence phrases and labels of every document.
+
+    NULLs, empty and long texts, ties, repeated rows and empty tables: see ``licenses.scan_licenses``.
+    """
     return licenses.scan_licenses(read(spark, folder, "documents"))
 
 
 def op8_sharding(spark, folder):
+    """Shard and place of every document under the ``rows`` law.
+
+    NULLs, empty and long texts, ties, repeated rows and empty tables: see ``sharding.shard_rows``.
+    """
     sharded = sharding.shard_rows(read(spark, folder, "documents"))
     return sharded.select(
         "doc_id",
@@ -79,11 +111,19 @@ def op8_sharding(spark, folder):
 
 
 def op9_toxicity(spark, folder):
+    """Score of every document, learnt from labelled ones outside the held-out fifth.
+
+    NULLs, empty and long texts, ties, repeated rows and empty tables: see ``toxicity.fit`` and ``toxicity.score``.
+    """
     docs = read(spark, folder, "documents")
     return toxicity.score(docs, toxicity.fit(docs, read(spark, folder, "labels")))
 
 
 def op10_simhash(spark, folder):
+    """Fingerprint and component of every document.
+
+    NULLs, empty and long texts, ties, repeated rows and empty tables: see ``simhash.near_duplicates``.
+    """
     return simhash.near_duplicates(read(spark, folder, "documents"))
 
 

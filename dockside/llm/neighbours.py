@@ -69,13 +69,9 @@ class Tree:
             away = np.sqrt(((lifted[part] - lifted[vantage]) ** 2).sum(axis=1))
             rank = np.argsort(away, kind="stable")
             part, away = part[rank], away[rank]
-            # Equal distances stay together.
-            cut = np.searchsorted(away, away[len(away) // 2], side="left")
-            if cut == 0:
-                cut = np.searchsorted(away, away[0], side="right")
+            # Equal distances are cut by place, so the tree is never deeper than its size's logarithm.
+            cut = len(away) // 2
             order[start:end] = part
-            if cut == len(away):
-                return number
             nodes[number][4] = vantage
             spans[number] = [away[0], away[cut - 1], away[cut], away[-1]]
             nodes[number][2] = grow(start, start + cut)

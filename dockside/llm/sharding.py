@@ -7,16 +7,18 @@ continue to the next shard on the ring. With no slack the bounds add up to the
 number of rows, so every shard ends up exactly full; with slack fewer rows leave
 the shard that the plain ring would give them.
 
-The walk needs only the number of rows per slot, so it runs on 4,096 counts. A
-row's place among the rows of its slot comes from counts per input partition, so
-no slot and no key is gathered into one task.
+The walk needs only the number of rows per slot, so it runs on 4,096 counts. Within
+a slot rows stand in the order of a hash of their id and text. Their places come from
+sorting by ranges of slot and hash, so no slot and no key is gathered into one task, and
+the same rows get the same shards however the table is partitioned.
 """
 
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dockside.llm.common import store, text_bytes
+from dockside.operators.ordered import global_rank
 
 SLOT_BITS = 12
 SLOTS = 1 << SLOT_BITS
@@ -79,8 +81,10 @@ def shard_rows(
     """Shard and place of every row of ``docs``: ``doc_id, size, text_crc32, shard, slot``.
 
     A NULL text has size 1 and checksum 0. Rows with a NULL or repeated ``doc_id``
-    share a slot of the ring and are counted one by one. Columns other than
-    ``doc_id`` and ``text`` are ignored; an empty table gives no rows.
+    share a slot of the ring and are counted one by one; of rows with one id and text
+    any may overflow, which changes no row of the result. Columns other than
+    ``doc_id`` and ``text`` are ignored; an empty table gives no rows. Only hashes, sizes
+    and checksums are shuffled, however long a text is.
     """
     spark = docs.sparkSession
     text = text_bytes()
@@ -90,32 +94,32 @@ def shard_rows(
             (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
             F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - SLOT_BITS).cast("int").alias("_slot"),
+            F.xxhash64("doc_id", text).alias("_hash"),
             F.monotonically_increasing_id().alias("_row"),
         ),
         "ring",
-    ).withColumn("_part", F.shiftright("_row", 33))
-    counted = keyed.groupBy("_slot", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_slot").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counted.select(
-        "_slot", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
+    counted = keyed.groupBy("_slot").agg(F.count(F.lit(1)).alias("n"))
     # At most one number per slot of the ring.
-    sums = counted.groupBy("_slot").agg(F.sum("_n").alias("n")).collect()
-    pieces = walk({row._slot: row.n for row in sums}, shards, virtual_nodes, slack)
+    sums = sorted((row._slot, row.n) for row in counted.collect())
+    pieces = walk(dict(sums), shards, virtual_nodes, slack)
+    begins, total = {}, 0
+    for slot, n in sums:
+        begins[slot], total = total, total + n
     by_slot: dict[int, list] = {}
     for slot, rank, shard, place in pieces:
         by_slot.setdefault(slot, []).append((rank, shard, place))
     plan = spark.createDataFrame(
-        [(slot, sorted(found)) for slot, found in by_slot.items()],
-        "_slot int, _pieces array<struct<rank:long,shard:int,place:long>>",
+        [(slot, begins[slot], sorted(found)) for slot, found in by_slot.items()],
+        "_slot int, _begin long, _pieces array<struct<rank:long,shard:int,place:long>>",
     )
-    within = Window.partitionBy("_slot", "_part").orderBy("_row")
+    # The row's number parts only equal rows of equal hash, so that a hot row is dealt to many ranges.
+    order = [F.asc("_slot"), F.asc("_hash"), F.asc("size"), F.asc("text_crc32"), F.asc("_row")]
     ranked = (
-        keyed.withColumn("_in", F.row_number().over(within) - 1)
-        .join(starts, ["_slot", "_part"])
-        .withColumn("_rank", F.col("_before") + F.col("_in"))
+        global_rank(keyed, order, "_place")
         # The plan has one row per slot of the ring.
         .join(F.broadcast(plan), "_slot")
+        .withColumn("_rank", F.col("_place") - 1 - F.col("_begin"))
     )
     piece = F.element_at(F.filter("_pieces", lambda p: p["rank"] <= F.col("_rank")), -1)
     return ranked.withColumn("_piece", piece).select(

@@ -76,3 +76,21 @@ def test_factor_below_one_loses_little(spark):
         exact |= {(n, int(j)) for j in np.argsort(-s)[:10]}
     assert found[1.0] == exact
     assert len(found[0.7] & exact) >= 0.9 * len(exact)
+
+
+@pytest.mark.parametrize("kind", ["equidistant", "equal", "two places"])
+def test_ties_do_not_deepen_the_tree(kind):
+    """Vectors at one distance from each other, or all at one place."""
+    vectors = {
+        "equidistant": np.eye(2000),
+        "equal": np.ones((2000, 3)),
+        "two places": np.repeat(np.eye(2), 1000, axis=0),
+    }[kind]
+    tree = Tree.build(np.arange(2000), vectors.astype("f4"), seed=1)
+    own = np.array([5, 1700])
+    query, ids, products = tree.search(own, vectors[own], 4)
+    for n, i in enumerate(own):
+        exact = vectors @ vectors[i]
+        want = sorted((j for j in range(2000) if j != i), key=lambda j: (-exact[j], j))[:4]
+        assert ids[query == n].tolist() == want and products[query == n].tolist() == exact[want].tolist()
+    assert len(tree.nodes) < 100

@@ -2,6 +2,8 @@ import zlib
 from collections import Counter
 
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from dockside.llm.sharding import SLOTS, bounds, ring_order, shard_rows, walk
 
@@ -60,3 +62,41 @@ def test_bounds_and_ring():
     for a, b in zip(pieces, [*pieces[1:], (None, 0, 0, 0)]):
         filled[a[2]] += (b[1] if b[0] == a[0] else 3) - a[1]
     assert sum(filled.values()) == 3 * SLOTS and max(filled.values()) <= bounds(3 * SLOTS, 8, 0.1)[0]
+
+
+def ring_walk(rows, shards, virtual_nodes, slack):
+    """Shard and place of every row, one by one around a plain ring; rows are ``(hash of id, hash, name)``."""
+    nodes = sorted(
+        (xxhash.xxh64_intdigest(f"shard {s} node {n}"), s) for s in range(shards) for n in range(virtual_nodes)
+    )
+    room = bounds(len(rows), shards, slack)
+    filled, out = [0] * shards, {}
+    waiting = sorted((h >> 52, own, name) for h, own, name in rows)
+    for turn in range(shards):
+        late = []
+        for slot, own, name in waiting:
+            at = [s for point, s in nodes if point >> 52 >= slot] + [s for _, s in nodes]
+            shard = list(dict.fromkeys(at))[turn]
+            if filled[shard] < room[shard]:
+                out[name] = (shard, filled[shard])
+                filled[shard] += 1
+            else:
+                late.append((slot, own, name))
+        waiting = late
+    return out
+
+
+@pytest.mark.parametrize("slack", [0.0, 0.2])
+def test_ring_row_by_row_and_any_partitioning(spark, slack):
+    rows = [(i, f"text {i % 7}") for i in range(400)] + [(None, f"none {i}") for i in range(30)]
+    rows += [(7, f"hot {i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = F.col("text").cast("binary")
+    hashed = docs.select(
+        "doc_id", "text", F.xxhash64("doc_id").alias("h"), F.xxhash64("doc_id", text).alias("own"), F.crc32(text).alias("c")
+    ).collect()
+    want = ring_walk([(r.h % 2**64, r.own, (r.doc_id, r.c)) for r in hashed], 8, 64, slack)
+    assert len(want) == len(rows)
+    for parts in (1, 3, 8):
+        got = shard_rows(docs.repartition(parts, "text"), slack=slack).collect()
+        assert {(r.doc_id, r.text_crc32): (r.shard, r.slot) for r in got} == want
