@@ -9,11 +9,13 @@ A phrase is looked up from its rarest term over the whole index: its places less
 its offset in the phrase are the possible starts, and every further term, rarest
 first, keeps the starts at which it stands, too. Terms outside the test set never
 matter for an exact or near match of its phrases, so only the test set's terms are
-kept. Test sets are small next to the corpus; what is sent to the tasks is
-bounded by ``MOST_TERMS``.
+kept: an index serves one test set, and another one is another index. Test sets are
+small next to the corpus; what is sent to the tasks is bounded by ``MOST_TERMS``,
+which is checked while the test set is read.
 """
 
 import hashlib
+from collections.abc import Iterable
 from itertools import repeat
 
 import numpy as np
@@ -103,15 +105,19 @@ class Phrases:
         self.owners = list(phrases.values())
         self.longest = max(map(len, self.phrases), default=1)
         self.order: list[np.ndarray] = []
+        self.led_by: dict[int, list[int]] = {}
 
     def rank(self, index: DataFrame) -> None:
-        """Order the terms of every phrase by how often they occur in the whole index."""
+        """Order the terms of every phrase by how often they occur in the whole index; file it by the rarest."""
         pairs = F.explode(F.arrays_zip("terms", "occurrences")).alias("p")
         sums = index.select(pairs).groupBy("p.terms").agg(F.sum("p.occurrences").alias("n"))
         often = np.zeros(len(self.terms), np.int64)
         for row in sums.collect():  # one row per term of the test set
             often[row.terms] = row.n
         self.order = [np.argsort(often[p], kind="stable") for p in self.phrases]
+        self.led_by = {}
+        for i, (phrase, order) in enumerate(zip(self.phrases, self.order)):
+            self.led_by.setdefault(int(phrase[order[0]]), []).append(i)
 
 
 class Postings:
@@ -129,10 +135,11 @@ class Postings:
         return self.places[self.ends[i - 1] if i else 0 : self.ends[i]]
 
     def candidates(self, phrases: Phrases):
-        """Numbers of the phrases of which this row has all terms."""
+        """Numbers of the phrases of which this row has all terms, looked up by the rarest one."""
         here = np.zeros(len(phrases.terms), bool)
         here[self.terms] = True
-        return [i for i, p in enumerate(phrases.phrases) if len(p) and here[p].all()]
+        led = (i for t in self.terms.tolist() for i in phrases.led_by.get(t, ()))
+        return [i for i in led if here[phrases.phrases[i]].all()]
 
     def exact(self, phrase: np.ndarray, order: np.ndarray) -> np.ndarray:
         """Starts of a phrase, by intersecting offset places from the rarest term on."""
@@ -203,15 +210,23 @@ def find_phrases(docs: DataFrame, phrases: dict[str, str], slop: int = 0) -> Dat
     )
 
 
-def windows_of(items: list[tuple[str, str | None]], size: int) -> dict[tuple[bytes, ...], list[str]]:
-    """Windows of ``size`` words and the items they come from; a shorter item is one window."""
+def windows_of(items: Iterable[tuple[str, str | None]], size: int) -> dict[tuple[bytes, ...], list[str]]:
+    """Windows of ``size`` words and the items they come from; a shorter item is one window.
+
+    Stops with an error at the item that brings the windows over ``MOST_TERMS`` terms.
+    """
     found: dict[tuple[bytes, ...], list[str]] = {}
+    terms = 0
     for item_id, text in items:
         words = tuple(words_of((text or "").encode()))
         if not words:
             continue
         for start in range(max(1, len(words) - size + 1)):
             owners = found.setdefault(words[start : start + size], [])
+            if not owners:
+                terms += min(size, len(words))
+                if terms > MOST_TERMS:
+                    raise ValueError(f"the benchmark's windows have more than {MOST_TERMS} terms")
             if item_id not in owners:
                 owners.append(item_id)
     return found
@@ -245,8 +260,8 @@ def contamination(
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text"
     )
-    # A test set is bounded: by its terms, checked in Phrases.
-    known = Phrases(windows_of([(r.item_id, r.text) for r in items.toLocalIterator()], size))
+    # A test set is bounded by its windows' terms, which are counted while it is read.
+    known = Phrases(windows_of(((r.item_id, r.text) for r in items.toLocalIterator()), size))
     index = build_index(docs, known.terms, size, row)
     known.rank(index)
 

@@ -3,7 +3,8 @@ import re
 
 import pytest
 
-from dockside.llm.decontaminate import contamination, find_phrases
+from dockside.llm import decontaminate
+from dockside.llm.decontaminate import Phrases, Postings, contamination, find_phrases, windows_of
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -75,3 +76,30 @@ def test_phrases_and_near_phrases(make_docs):
     assert exact == {(1, "p", 0, 3), (5, "p", 2, 5)}
     near = {tuple(r) for r in find_phrases(docs, phrases, slop=2).collect() if r.phrase_id == "p"}
     assert near == exact | {(2, "p", 0, 5)}
+
+
+def test_benchmark_is_bounded_while_it_is_read(monkeypatch):
+    monkeypatch.setattr(decontaminate, "MOST_TERMS", 100)
+    read = []
+
+    def items():
+        for i in range(1000):
+            read.append(i)
+            yield str(i), " ".join(f"w{i}x{j}" for j in range(15))
+
+    with pytest.raises(ValueError, match="more than 100 terms"):
+        windows_of(items(), 13)
+    assert len(read) == 3
+    # Equal windows count once.
+    assert len(windows_of(((str(i), "a b c") for i in range(500)), 13)) == 1
+
+
+def test_phrases_are_looked_up_by_their_rarest_term(make_docs):
+    known = Phrases({(b"a", b"rare"): ["p"], (b"a", b"b"): ["q"], (b"b", b"gone"): ["r"]})
+    index = decontaminate.build_index(make_docs([(1, "a a a b a b"), (2, "a rare a")]), known.terms, 2)
+    known.rank(index)
+    assert {w: known.led_by.get(t) for w, t in known.terms.items()} == {
+        b"a": None, b"b": [1], b"gone": [2], b"rare": [0],
+    }
+    row = Postings([known.terms[b"a"], known.terms[b"b"]], [1, 1], b"\0\0\0\0\1\0\0\0")
+    assert row.candidates(known) == [1]
