@@ -625,6 +625,28 @@ def prepared(text: str | None) -> dict:
     return wrapper
 
 
+# Headings of readers' comments, of other stories and of offers. They count only where
+# the wrapper knows the heading as the site's own.
+OTHER_HEADS = re.compile(
+    r"(?:(?:all|latest|reader|readers|recent|user|your)\s)?(?:comments|responses|replies)"
+    r"|(?:add|leave|post|write) a (?:comment|reply|response)|join the (?:conversation|discussion)"
+    r"|related (?:articles|content|links|news|posts|reading|stories)"
+    r"|(?:more|other|popular|recommended|top|trending) (?:articles|news|posts|stories)"
+    r"|read (?:more|next|on)|recommended(?: for you)?|most (?:popular|read)|trending(?: now)?|up next"
+    r"|you (?:may|might) (?:also )?(?:enjoy|like)(?: this| these)?"
+    r"|advertisement|sponsored(?: content| links)?|(?:our )?newsletter|share (?:this|this article|this post)"
+    r"|kommentare|leserkommentare|mehr zum thema|das könnte sie auch interessieren"
+    r"|commentaires|articles similaires|à lire aussi|comentarios|artículos relacionados|te puede interesar"
+)
+HEAD = re.compile(r"(?P<parent>.*)/(?P<rank>h[1-6])[^/]*\[\d+\]/#\[\d+\]")
+LISTS = ("ul", "ol", "dl")
+
+
+def only_links(parts: list) -> bool:
+    """Whether all text of a wrapper's parts is linked on all pages."""
+    return all(p[4] >= p[3] if p[0] == "#" else only_links(p[5]) for p in parts)
+
+
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote dd dt tr figcaption".split())
 
 
@@ -670,6 +692,11 @@ class Chooser:
         if not inside:
             return False
         own = slot is not None and slot[1] is not None and slot[2] >= SAME_ON
+        if not unlinked and self.wrapper["common"] and any(
+            e and e[3] >= SAME_ON and tag_of(name) in LISTS and only_links(e[5]) for name, e in steps
+        ):
+            # A list that holds links alone on all pages leads to other stories.
+            return False
         if tag in TEXT_TAGS:
             return not (own and self.wrapper["frame"] and slot[2] >= self.wrapper["n"])
         # Nothing but links, or equal on all pages: the site's own.
@@ -730,9 +757,51 @@ class Chooser:
         least = max(in_marks.values(), default=0) * (4 if len(in_marks) == 1 else 1)
         return holder if holder and whole > least else None
 
+    def _others_head(self, path: str, text: str):
+        """Parent and rank of a heading of the site's own that names something else than the article."""
+        head = HEAD.fullmatch(path)
+        if head and self.wrapper["common"] and OTHER_HEADS.fullmatch(text.lower().strip(" .:!?…")):
+            slot, _ = self._slots(path)
+            if slot is not None and slot[1] is not None and slot[2] >= SAME_ON:
+                return head["parent"], head["rank"]
+        return None
+
+    def without_others(self, rows: list[tuple]) -> list[tuple]:
+        """A page's rows without what stands under such headings.
+
+        If the heading is the first thing in its element, all of it goes up to the next
+        heading of its rank; else only the list or the like elements that follow it.
+        """
+        gone: set[int] = set()
+        for i, (path, text, _) in enumerate(rows):
+            found = None if i in gone else self._others_head(path, text)
+            if found is None:
+                continue
+            parent, rank = found
+            top = mark_in(path) or ""
+            within = [p.startswith(parent + "/") for p, _, _ in rows]
+            while sum(within) == 1 and len(parent) > len(top):
+                # Nothing but the heading is in there.
+                parent = parent[: parent.rindex("/")]
+                within = [p.startswith(parent + "/") for p, _, _ in rows]
+            own = parent != top and not any(within[:i])
+            gone.add(i)
+            step = None
+            for j in range(i + 1, len(rows)):
+                other = HEAD.fullmatch(rows[j][0])
+                if not within[j] or other and other["parent"] == parent and other["rank"] <= rank:
+                    break
+                name = rows[j][0][len(parent) + 1 :].split("[")[0]
+                if not own:
+                    if tag_of(name) in ("#", "p", "pre", "blockquote") or step not in (None, name):
+                        break
+                    step = name
+                gone.add(j)
+        return [r for i, r in enumerate(rows) if i not in gone] if len(gone) < len(rows) else rows
+
     def article(self, paths: list[str], texts: list[str], unlinked: list[bool]) -> str:
         """The article's blocks, joined by blank lines."""
-        rows = list(zip(paths, texts, unlinked))
+        rows = self.without_others(list(zip(paths, texts, unlinked)))
         if self.wrapper["by_mark"]:
             holder = self.body(rows)
             if holder is not None:

@@ -1,7 +1,9 @@
+import json
 import re
 
 import pytest
 
+from dockside.llm import html_extract
 from dockside.llm.html_extract import extract_text
 
 PAGE_TYPE = "page_id long, url string, html string, host string, text int, wrapper string"
@@ -208,3 +210,56 @@ def test_the_sites_own_paragraphs_go(extract):
     for i in range(6):
         assert got[i].text == TOLD.replace("{n}", f"no{i}")
         assert got[10 + i].text == TOLD.replace("{n}", "9")
+
+
+MIXED = (
+    "<html><body><article><h1>Title {i}</h1><p>Story {i} begins {w}.</p><h2>Comments on plan {i}</h2>"
+    "<p>It goes on {w} with <a href=x>a link</a>.</p><h3>Related stories</h3><ul class=more>"
+    "<li><a href=/{i}1>Other tale {i}</a><li><a href=/{i}2>One more {i}</a></ul><p>Rest {i} of it {w}.</p>"
+    "<ul><li>Point {i}<li>See <a href=y>there</a> for {i}</ul>"
+    "<ol class=links><li><a href=/{i}3>Far {i}</a></ol>"
+    "<section class=voices><div><h3>Responses:</h3></div><div class=one><p>I {i} disagree {w}</p></div>"
+    "<div class=one><h4>Ann</h4><p>Me, too {i}</p></div></section></article></body></html>"
+)
+
+
+def articles(pages, wrapper=True):
+    """Each page's article by the wrapper of them all, or by an empty one."""
+    merged, blocks = None, []
+    for page in pages:
+        held: list = []
+        root = html_extract.parse(page)
+        new = {"n": 1, "pages": [hash(page)], "parts": html_extract.wrapper_of(root, "", held)}
+        merged = new if merged is None else html_extract.merge_hosts(merged, new)
+        blocks.append(held)
+    chooser = html_extract.Chooser(html_extract.prepared(json.dumps(merged) if wrapper else None))
+    return [chooser.article(*zip(*held)) for held in blocks]
+
+
+def test_comments_and_lists_of_links_in_an_article_go_by_the_wrapper(extract):
+    filled = [(i, MIXED.replace("{i}", str(i)).replace("{w}", f"w{i} " * (i + 3))) for i in range(8)]
+    want = {}
+    for i, _ in filled:
+        w = " ".join([f"w{i}"] * (i + 3))
+        want[i] = "\n\n".join(
+            [
+                f"Title {i}", f"Story {i} begins {w} .", f"Comments on plan {i}", f"It goes on {w} with a link.",
+                f"Rest {i} of it {w} .", f"Point {i}", f"See there for {i}",
+            ]
+        )
+    got = extract([(i, f"http://mixed.example/{i}", page) for i, page in filled])
+    assert {i: r.text for i, r in got.items()} == want
+    pages = [page for _, page in filled]
+    assert articles(pages) == list(want.values())
+    assert all("disagree" in text and "Far" in text for text in articles(pages, wrapper=False))
+
+
+def test_a_heading_that_only_one_page_has_stays(extract):
+    """Headings say nothing unless the host repeats them."""
+    page = "<article><h1>T {i}</h1><p>Text {i}</p><section><h2>{h}</h2><p>Part {i}</p></section></article>"
+    heads = ["Responses", "Comments", "Method", "Method", "Method", "Method", "Method", "Read on"]
+    rows = [
+        (i, f"http://heads.example/{i}", page.replace("{i}", str(i)).replace("{h}", h)) for i, h in enumerate(heads)
+    ]
+    got = extract(rows)
+    assert all(r.text == f"T {i}\n\nText {i}\n\n{heads[i]}\n\nPart {i}" for i, r in got.items())
