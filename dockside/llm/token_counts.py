@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from dockside.llm.common import record_batch, worker_memo
 
 # White space and the splitting rule of the vocabulary.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + SPACE + r"\p{L}\p{N}]+"
     r"|[" + SPACE + r"]+(?![^" + SPACE + r"])|[" + SPACE + r"]+"
@@ -48,12 +48,37 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def check_rules(held: dict) -> None:
+    """Stop where a vocabulary file splits or merges by other rules than the ones written here."""
+    model, split = held["model"], held.get("pre_tokenizer") or {}
+    wrong = [
+        name
+        for name, right in (
+            ("normalizer", held.get("normalizer") is None),
+            ("pre_tokenizer", split.get("type") == "ByteLevel"),
+            ("add_prefix_space", split.get("add_prefix_space") is False),
+            ("use_regex", split.get("use_regex", True) is True),
+            ("model", model.get("type", "BPE") == "BPE"),
+            ("dropout", not model.get("dropout")),
+            ("ignore_merges", not model.get("ignore_merges")),
+            ("continuing_subword_prefix", not model.get("continuing_subword_prefix")),
+            ("end_of_word_suffix", not model.get("end_of_word_suffix")),
+        )
+        if not right
+    ]
+    flags = ("single_word", "lstrip", "rstrip", "normalized")
+    wrong += [f"{flag} of {t['content']}" for t in held["added_tokens"] for flag in flags if t.get(flag)]
+    if wrong:
+        raise ValueError(f"this vocabulary has other rules: {', '.join(wrong)}")
+
+
 class Counter:
     """Counts of one vocabulary file of the library ``tokenizers``."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             held = json.load(file)
+        check_rules(held)
         alphabet = byte_alphabet()
 
         def raw(token):

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from dockside.llm.licenses import BASE_PHRASES, LEAST_SHARE, TEMPLATES, TOLERANCE, Scanner, scan_licenses
+from dockside.llm.licenses import BASE_PHRASES, LEAST_SHARE, TEMPLATES, TOLERANCE, Scanner, scan_licenses, templates
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -131,9 +131,11 @@ def test_labels_and_score_as_brute_force(make_docs):
         assert got[i].score == pytest.approx(score, abs=1e-9)
 
 
-def test_nothing_is_found_without_postings(monkeypatch, make_docs):
-    monkeypatch.setattr(Scanner, "candidates", lambda self, present: [])
-    assert {r.labels for r in scan_licenses(make_docs(list(enumerate(TEXTS)))).collect()} == {""}
+def test_nothing_is_found_without_postings():
+    scanner = Scanner(templates(), 10, {})
+    assert [scanner.scan((t or "").encode())[5] for t in TEXTS[:3]] != ["", "", ""]
+    scanner.postings.clear()
+    assert {scanner.scan((t or "").encode())[5] for t in TEXTS} == {""}
 
 
 @pytest.mark.parametrize(

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -9,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from dockside.llm.packing import Mixture, WordEncoder, pack
-from dockside.llm.token_counts import Counter, longest_within, prefix_tables, token_counts
+from dockside.llm.token_counts import Counter, check_rules, longest_within, prefix_tables, token_counts
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -133,3 +134,22 @@ def test_every_window_has_the_shares():
     stream.sort()
     assert stream[0][0] == 0 and stream[-1][1] == 100_000
     assert all(a[1] == b[0] for a, b in zip(stream, stream[1:]))
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        {"normalizer": {"type": "NFC"}},
+        {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}},
+        {"pre_tokenizer": {"type": "Whitespace"}},
+        {"added_tokens": [{"id": 0, "content": "<s>", "lstrip": True}]},
+        {"model": {"type": "BPE", "ignore_merges": True}},
+        {"model": {"type": "Unigram"}},
+    ],
+)
+def test_a_vocabulary_of_other_rules_is_refused(change):
+    with open(BYTES, encoding="utf-8") as file:
+        held = json.load(file)
+    check_rules(held)
+    with pytest.raises(ValueError, match="other rules"):
+        check_rules(held | change)

@@ -68,6 +68,34 @@ def test_swaps_take_the_weight_from_groups(frames):
     assert weight(fair, b"idiot") > 1
 
 
+def test_neutral_mentions_of_groups_get_lower_scores(spark, frames):
+    docs, labels = frames
+    rng = random.Random(8)
+    groups = ["muslims", "women", "immigrants"]
+    rows = []
+    for i in range(120):
+        words = [f"word{rng.randrange(80)}" for _ in range(rng.randint(5, 30))]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words, groups[i % 3]]))]
+    neutral = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def scores(penalty):
+        got = toxicity.score(neutral, toxicity.fit(docs, labels, swap_penalty=penalty)).collect()
+        return {r.doc_id: r.score for r in got}
+
+    free, fair = scores(0.0), scores(10.0)
+    mentions = [i for i, _ in rows if i % 2]
+
+    def rise(by):
+        return sum(by[i] - by[i - 1] for i in mentions) / len(mentions)
+
+    def wrong(by):
+        return sum(by[i] >= 0.5 for i in mentions)
+
+    assert rise(fair) < 0.5 * rise(free)
+    assert sum(fair[i] for i in mentions) < sum(free[i] for i in mentions)
+    assert wrong(fair) < wrong(free)
+
+
 def test_training_never_sees_the_held_out_fifth(spark, frames):
     docs, labels = frames
     flipped = labels.selectExpr(
