@@ -95,7 +95,7 @@ def _tried(name: str, kind, date_pattern: str | None) -> Column:
         # Read in UTC and put on a clock without zone, whatever the session's zone is.
         at = F.try_to_timestamp(F.concat(F.col(name), F.lit(" +00:00")), F.lit(f"{date_pattern} xxx"))
         start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-        return start + F.make_dt_interval(secs=F.unix_seconds(at))
+        return start + F.unix_seconds(at) * F.expr("INTERVAL '1' SECOND")
     return F.col(name).try_cast(kind)
 
 
@@ -121,16 +121,32 @@ def split_orders_csv(
     raw = normalize_columns(raw.select("*", *place))
     known = ORDER_TYPES if types is None else types
     kinds = {name: known.get(name, "string") for name in names}
-    texts = raw.withColumns({name: F.when(~F.col(name).isin(*NULL_TOKENS), F.col(name)) for name in names})
-    tried = {name: _tried(name, kind, date_pattern) for name, kind in kinds.items()}
-    reason = F.coalesce(
-        F.when(F.col(CORRUPT).isNotNull(), "malformed line"),
-        *[F.when(F.col(n).isNotNull() & tried[n].isNull(), f"{n} does not fit") for n in names],
+    # Texts and faults of all columns go through arrays: an expression for each column makes
+    # a method so long that the JVM never compiles it. No header has names with a "#".
+    place = (CORRUPT, "_file", "_split")
+    cleared = F.transform(F.array(*names), lambda text: F.when(~text.isin(*NULL_TOKENS), text))
+    texts = raw.select(*place, cleared.alias("#texts")).select(
+        *place, *[F.col("#texts")[i].alias(name) for i, name in enumerate(names)]
     )
+    # A text always fits a text.
+    typed = {
+        name: f"#{name}" for name, kind in kinds.items()
+        if kind not in ("string", T.StringType()) or (name in DATE_COLUMNS and date_pattern)
+    }
+    tried = texts.select(
+        "*", *[_tried(name, kinds[name], date_pattern).alias(value) for name, value in typed.items()]
+    )
+    faults = [
+        F.when(F.col(name).isNotNull() & F.col(value).isNull(), f"{name} does not fit")
+        for name, value in typed.items()
+    ]
+    reason = F.when(F.col(CORRUPT).isNotNull(), "malformed line")
+    if faults:
+        reason = F.coalesce(reason, F.get(F.array_compact(F.array(*faults)), F.lit(0)))
     record = F.coalesce(F.col(CORRUPT), F.to_json(F.struct(*names)))
     held = store(
-        texts.select(
-            *[tried[name].alias(name) for name in names],
+        tried.select(
+            *[F.col(typed.get(name, name)).alias(name) for name in names],
             F.struct(
                 reason.alias("reason"), F.col("_file").alias("file"), F.col("_split").alias("split"),
                 F.when(reason.isNotNull(), record).alias("record"),

@@ -2,11 +2,13 @@
 
 import datetime
 import pathlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from dockside.sources import versions
+from dockside.schema import ORDER_TYPES
+from dockside.sources import csv_orders, versions
 from dockside.sources.csv_orders import read_orders_csv, split_orders_csv
 from dockside.sources.tables import load_stored, write_table
 from helpers import as_rows
@@ -155,3 +157,26 @@ def test_good_lines_are_read_alike(spark, tmp_path):
             assert sorted(as_rows(good)) == sorted(as_rows(plain))
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_code_for_wide_files_is_compiled(spark, tmp_path, monkeypatch, capsys):
+    """The JVM leaves methods of more than 8,000 bytes uncompiled."""
+    names = [*ORDER_TYPES, "order_date_dateorders", *[f"text_{i}" for i in range(26)]]
+    file = tmp_path / "wide.csv"
+    file.write_text(",".join(names) + "\n" + ",".join(["1"] * len(names)) + "\n")
+    monkeypatch.setattr(csv_orders, "store", lambda df, name: df)
+    good, bad = split_orders_csv(spark, str(file))
+    assert [r.reason for r in bad.collect()] == ["order_date_dateorders does not fit"]
+    assert good.columns == names and good.count() == 0
+    good.explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_names_of_headers_do_not_meet_own_ones(spark, tmp_path):
+    file = tmp_path / "names.csv"
+    file.write_text("Texts,#Order Id,try,Reason\nNA,7,b,c\n,x,,\n")
+    good, bad = split_orders_csv(spark, str(file))
+    assert good.columns == ["texts", "order_id", "try", "reason"]
+    assert as_rows(good) == [(None, 7, "b", "c")]
+    assert [(r.reason, r.record) for r in bad.collect()] == [("order_id does not fit", '{"order_id":"x"}')]
