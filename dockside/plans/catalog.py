@@ -338,9 +338,9 @@ def _first_use_sequence(spark, folder):
 
 
 def _write_csv(raw: DataFrame, path: str, **options) -> None:
-    """Several Latin-1 files with headers as an export has them."""
+    """Latin-1 files with headers as an export has them, one for each task."""
     headers = [f" {name.replace('_', ' ').title()} " for name in raw.columns]
-    writer = raw.toDF(*headers).repartition(4).write.options(
+    writer = raw.toDF(*headers).write.options(
         header=True,
         encoding="ISO-8859-1",
         escape='"',

@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from dockside.plans.catalog import _write_csv
 from dockside.schema import ORDER_TYPES
 from dockside.sources import csv_orders, versions
 from dockside.sources.csv_orders import read_orders_csv, split_orders_csv
@@ -180,3 +181,10 @@ def test_names_of_headers_do_not_meet_own_ones(spark, tmp_path):
     assert good.columns == ["texts", "order_id", "try", "reason"]
     assert as_rows(good) == [(None, 7, "b", "c")]
     assert [(r.reason, r.record) for r in bad.collect()] == [("order_id does not fit", '{"order_id":"x"}')]
+
+
+def test_every_task_writes_a_csv_file(spark, tmp_path):
+    path = tmp_path / "export"
+    _write_csv(spark.range(0, 900, 1, 9).toDF("order_id"), str(path))
+    assert len(list(path.glob("*.csv"))) == 9
+    assert read_orders_csv(spark, str(path)).count() == 900
