@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from dockside.llm.common import record_batch, store, worker_memo
 
 # Words that a worker remembers at most.
-REMEMBERED = 200_000
+REMEMBERED = 800_000
 
 # Sources that a mixture can have; their totals and quanta go to every task.
 MOST_SOURCES = 10_000
@@ -69,7 +69,7 @@ class WordEncoder:
             # One text for many words: each run of a word ends at a token with the end mark.
             (joined,) = self._encode([" ".join(part)])
             ends = np.flatnonzero(self.ends[joined]) + 1
-            runs = np.cumsum([len(self.RUNS.findall(w)) for w in part])
+            runs = np.cumsum([1 if w.isalpha() else len(self.RUNS.findall(w)) for w in part])
             if len(ends) == runs[-1]:
                 cuts = ends[runs - 1].tolist()
                 raw = joined.tobytes()

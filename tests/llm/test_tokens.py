@@ -46,6 +46,17 @@ def test_ids(texts):
             assert flat[a:b].tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_words_met_before_are_not_encoded_again():
+    letters = "abcdefghijklmnop"
+    words = ["".join(letters[i >> shift & 15] for shift in (0, 4, 8, 12, 16)) for i in range(250_000)]
+    own = WordEncoder(WORDS)
+    batch = pa.array([" ".join(words)])
+    ids, cuts = own.encode(batch)
+    own.tokenizer = None  # not needed a second time
+    again, cuts_again = own.encode(batch)
+    assert ids.tolist() == again.tolist() and cuts.tolist() == cuts_again.tolist()
+
+
 def test_token_counts(make_docs, corpus):
     library = Tokenizer.from_file(BYTES)
     want = []
