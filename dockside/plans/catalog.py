@@ -22,7 +22,7 @@ from dockside.operators import (
     vectors,
 )
 from dockside.schema import FREQUENCY_COLUMNS, ORDER_TYPES, PII_COLUMNS, USEFULNESS_COLUMNS
-from dockside.session import materialize, new_shared_path
+from dockside.session import materialize, new_shared_path, remove, shuffles_freed
 from dockside.plans.ingest import run_ingest
 from dockside.sources.csv_orders import normalize_columns, read_orders_csv, split_orders_csv
 from dockside.sources.star import (
@@ -337,8 +337,15 @@ def _first_use_sequence(spark, folder):
     return uses.select("user_id", F.array_join("sequence", ",").alias("sequence"))
 
 
+# How the wide export is packed. A packed file is read whole by one task, so files are kept small.
+PACKED = {"compression": "gzip", "zlib.compress.level": "FOUR", "maxRecordsPerFile": 100_000}
+
+
 def _write_csv(raw: DataFrame, path: str, **options) -> None:
-    """Latin-1 files with headers as an export has them, one for each task."""
+    """Latin-1 files with headers as an export has them, written by every task.
+
+    The shuffles of ``raw`` go as soon as the files stand.
+    """
     headers = [f" {name.replace('_', ' ').title()} " for name in raw.columns]
     writer = raw.toDF(*headers).write.options(
         header=True,
@@ -349,16 +356,18 @@ def _write_csv(raw: DataFrame, path: str, **options) -> None:
         timestampNTZFormat="M/d/yyyy H:mm",
         **options,
     )
-    writer.csv(path)
+    with shuffles_freed(raw.sparkSession):
+        writer.csv(path)
 
 
 def _csv_round_trip(spark, folder):
     """The raw order table through CSV files, cleaning and storing."""
     path = new_shared_path(spark, "round-trip")
-    _write_csv(sales_orders(spark, folder, RAW_COLUMNS), f"{path}/csv")
+    _write_csv(sales_orders(spark, folder, RAW_COLUMNS), f"{path}/csv", **PACKED)
     types = {**ORDER_TYPES, "product_status": "int"}
     read = read_orders_csv(spark, f"{path}/csv", types)
     write_table(cleaning.clean_orders(read), f"{path}/orders")
+    remove(spark, f"{path}/csv")
     return load_orders(spark, f"{path}/orders", view=None)
 
 
@@ -389,9 +398,10 @@ def _csv_quarantine(spark, folder):
 def _ingest(spark, folder):
     """The whole load from CSV files, run twice over the same target: rows of what it stored."""
     path = new_shared_path(spark, "ingest")
-    _write_csv(sales_orders(spark, folder, RAW_COLUMNS), f"{path}/csv")
+    _write_csv(sales_orders(spark, folder, RAW_COLUMNS), f"{path}/csv", **PACKED)
     for _ in range(2):
         paths = run_ingest(spark, f"{path}/csv", f"{path}/out", keep_bad=True)
+    remove(spark, f"{path}/csv")
     stored = load_knowledge(spark, paths["knowledge"])
     found = stored.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     for name in ("orders", "rejected"):

@@ -1,6 +1,7 @@
 """Session settings and the shared folder for data that must outlive executors."""
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
@@ -9,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _local_dirs: dict[str, str] = {}
 _run_dirs: set[str] = set()
@@ -84,6 +86,36 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def store_at(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written once to ``path``, tightly packed, and read from there; who names the path removes it."""
+    df.write.parquet(path, compression="zstd")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder before the application ends; frames read from it cannot be used any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Shuffle files of a query that runs inside go when it has ended.
+
+    Otherwise they stay until the driver's JVM happens to collect its garbage, beside all that
+    is written meanwhile.
+    """
+    before = spark.conf.get(CLEANUP_KEY, None)
+    spark.conf.set(CLEANUP_KEY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP_KEY)
+        else:
+            spark.conf.set(CLEANUP_KEY, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once on reliable storage, for frames read several times."""
     spark = df.sparkSession

@@ -14,7 +14,7 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> No
     ``df`` may be read from the table itself. ``partition_by="market"`` lets one-market reports skip the other folders;
     each task writes its own files, so a hot market is still written by many.
     """
-    writer = df.write
+    writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     replace_table(df.sparkSession, path, writer.parquet)

@@ -6,6 +6,7 @@ holds all it says, so a reader sees the old version or the new one, whole. A wri
 fails leaves the table as it was, and a table may be replaced by what is read from it.
 """
 
+import time
 import uuid
 from collections.abc import Callable
 
@@ -67,7 +68,10 @@ def replace_table(
     try:
         write(f"{path}/{name}")
     except BaseException:
-        files.delete(make(f"{path}/{name}"), True)
+        # Tasks that are being stopped may still make their files, and the folder with them.
+        for _ in range(10):
+            files.delete(make(f"{path}/{name}"), True)
+            time.sleep(0.1)
         raise
     before = commits(spark, path)
     number = int(before[-1].split("-")[0]) + 1 if before else 0

@@ -1,5 +1,6 @@
 import os
 import pathlib
+import re
 import subprocess
 import sys
 import time
@@ -117,6 +118,15 @@ def test_star_reads_only_what_is_needed(spark):
     assert as_rows(whole.selectExpr("count(order_id)", "count(market)")) == [(few.count(),) * 2]
 
 
+def test_lines_meet_parts_before_orders(spark):
+    """Of both sides the parts have fewer columns, and lines with them are shuffled again."""
+    whole = sales_orders(spark, "/root/testdata/sf0.001", RAW_COLUMNS)
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    # The outer join is written first.
+    keys = re.findall(r"Join LeftOuter, \((\w+)", plan)
+    assert [key for key in keys if key.startswith("l_")] == ["l_orderkey", "l_partkey"]
+
+
 def test_shared_folder_is_stable(spark):
     assert shared_dir(spark) == shared_dir(spark)
 

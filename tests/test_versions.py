@@ -3,12 +3,15 @@
 import datetime
 import pathlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from dockside.plans.catalog import _write_csv
+from dockside.plans import catalog
+from dockside.plans.catalog import PACKED, _write_csv
 from dockside.schema import ORDER_TYPES
+from dockside.session import CLEANUP_KEY
 from dockside.sources import csv_orders, versions
 from dockside.sources.csv_orders import read_orders_csv, split_orders_csv
 from dockside.sources.tables import load_stored, write_table
@@ -188,3 +191,54 @@ def test_every_task_writes_a_csv_file(spark, tmp_path):
     _write_csv(spark.range(0, 900, 1, 9).toDF("order_id"), str(path))
     assert len(list(path.glob("*.csv"))) == 9
     assert read_orders_csv(spark, str(path)).count() == 900
+
+
+def _shuffle_files(spark):
+    """How many shuffle files lie on the local disks."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return blocks.getAllFiles().mkString(" ").count("shuffle_")
+
+
+def test_an_export_frees_its_shuffles(spark, tmp_path):
+    before = spark.conf.get(CLEANUP_KEY, None)
+    held = _shuffle_files(spark)
+    _write_csv(spark.range(900).repartition(3, "id").toDF("order_id"), str(tmp_path / "export"))
+    for _ in range(100):
+        if _shuffle_files(spark) <= held:
+            break
+        time.sleep(0.1)  # files go shortly after the query
+    assert _shuffle_files(spark) <= held
+    assert spark.conf.get(CLEANUP_KEY, None) == before
+
+
+def test_packed_exports_are_small_files_with_the_same_rows(spark, tmp_path):
+    rows = spark.range(0, 2500, 1, 2).selectExpr(
+        "id AS order_id", "concat('São \"', id, ' Paulo') AS market", "id / 7 AS sales",
+        "timestamp_ntz '2018-01-31 22:56:00' AS order_date_dateorders",
+    )
+    plain, packed = tmp_path / "plain", tmp_path / "packed"
+    _write_csv(rows, str(plain))
+    _write_csv(rows, str(packed), **{**PACKED, "maxRecordsPerFile": 500})
+    assert len(list(packed.glob("*.csv.gz"))) == 6
+    want = sorted(as_rows(rows))
+    assert sorted(as_rows(read_orders_csv(spark, str(packed)))) == want
+    good, bad = split_orders_csv(spark, str(packed))
+    assert sorted(as_rows(good)) == want and bad.count() == 0
+    sizes = [sum(f.stat().st_size for f in folder.glob("part-*")) for folder in (plain, packed)]
+    assert sizes[1] * 3 < sizes[0]
+
+
+def test_round_trip_packs_its_export_and_removes_it(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(catalog, "new_shared_path", lambda spark, name: str(tmp_path / name))
+    real = catalog.read_orders_csv
+
+    def read(spark, path, *more):
+        seen.extend(file.name for file in pathlib.Path(path).glob("part-*"))
+        return real(spark, path, *more)
+
+    monkeypatch.setattr(catalog, "read_orders_csv", read)
+    found = catalog.QUERIES["csv_round_trip"](spark, "/root/testdata/sf0.001")
+    assert seen and all(name.endswith(".csv.gz") for name in seen)
+    assert [p.name for p in (tmp_path / "round-trip").iterdir()] == ["orders"]
+    assert found.count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
