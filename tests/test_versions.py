@@ -1,6 +1,7 @@
 """Tables that are replaced in one step, and CSV lines kept apart."""
 
 import datetime
+import functools
 import pathlib
 import re
 import time
@@ -8,9 +9,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from dockside.plans import catalog
+from dockside.plans import catalog, ingest
 from dockside.plans.catalog import PACKED, _write_csv
-from dockside.schema import ORDER_TYPES
+from dockside.schema import ORDER_TYPES, REQUIRED_COLUMNS
 from dockside.session import CLEANUP_KEY
 from dockside.sources import csv_orders, versions
 from dockside.sources.csv_orders import read_orders_csv, split_orders_csv
@@ -242,3 +243,30 @@ def test_round_trip_packs_its_export_and_removes_it(spark, tmp_path, monkeypatch
     assert seen and all(name.endswith(".csv.gz") for name in seen)
     assert [p.name for p in (tmp_path / "round-trip").iterdir()] == ["orders"]
     assert found.count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+
+
+@pytest.mark.parametrize("fails", [False, True])
+def test_lines_held_by_a_load_go_with_it(spark, tmp_path, monkeypatch, fails):
+    file = tmp_path / "wide.csv"
+    names = (*REQUIRED_COLUMNS, "order_id", "customer_zipcode")
+    file.write_text("\n".join([",".join(names), ",".join("1" for _ in names), "x"]) + "\n")
+    held = tmp_path / "lines"
+    monkeypatch.setattr(ingest, "new_shared_path", lambda spark, name: str(tmp_path / name))
+    clean, seen = ingest.clean_orders, []
+
+    def cleaned(lines):
+        seen.append(held.is_dir())
+        if fails:
+            raise RuntimeError("no more")
+        return clean(lines)
+
+    monkeypatch.setattr(ingest, "clean_orders", cleaned)
+    load = functools.partial(ingest.run_ingest, spark, str(file), str(tmp_path / "out"), keep_bad=True)
+    if fails:
+        with pytest.raises(RuntimeError, match="no more"):
+            load()
+    else:
+        paths = load()
+        assert load_stored(spark, paths["orders"]).count() == 1
+        assert [r.reason for r in load_stored(spark, paths["rejected"]).collect()] == ["malformed line"]
+    assert seen == [True] and not held.exists()
